@@ -142,7 +142,7 @@ WITH t AS (
 ), d AS (
   SELECT doc_id, p, s, array_to_string(list(w) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), ' ') AS g,
          count(*) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS k FROM t
-), b AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), x -> lower(x)) AS w FROM benchmark),
+), b AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM benchmark),
 g AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS g FROM b, LATERAL (SELECT unnest(generate_series(1, len(w) - 7)) AS i) WHERE len(w) >= 8),
 h AS (SELECT DISTINCT doc_id, item_id, p FROM d JOIN g USING (g) WHERE k = 8),
 r AS (SELECT doc_id, item_id, min(p) AS p0, max(p) + 7 AS p1 FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY p) AS z FROM h) GROUP BY doc_id, item_id, z)

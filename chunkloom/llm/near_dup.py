@@ -206,7 +206,7 @@ def op7_near_dup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), x -> lower(x)) AS w FROM documents WHERE doc_id IS NOT NULL
+  SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE doc_id IS NOT NULL
 ), s AS (
   SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+2], ' ') END AS s
   FROM w, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i) WHERE len(w) > 0
