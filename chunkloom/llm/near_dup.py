@@ -25,8 +25,8 @@ from chunkloom.llm.components import connected_components
 from chunkloom.plans.lineage import cut, small_side
 
 SHINGLE = 3  #: words
-THRESHOLD = 0.7  #: Jaccard similarity of shingle sets
-M, R = 8, 2  #: half-keys of a collection, minhashes of a half-key: a pair at 0.7 shares a table with 0.99
+THRESHOLD = 0.5  #: Jaccard similarity of shingle sets: every tenth word of a copy may differ
+M, R = 12, 2  #: half-keys of a collection, minhashes of a half-key: a pair at 0.5 shares a table with 0.94, at 0.6 with 0.98
 BLOCK_BYTES = 32 << 20
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, 2 * M * R, dtype=np.uint64) | np.uint64(1)
@@ -213,7 +213,7 @@ WITH RECURSIVE w AS (
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 e AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
-  GROUP BY 1, 2, x.n, y.n HAVING count(*) >= 0.7 * (x.n + y.n - count(*))
+  GROUP BY 1, 2, x.n, y.n HAVING count(*) >= 0.5 * (x.n + y.n - count(*))
 ), r AS (SELECT doc_id AS id, doc_id AS g FROM documents WHERE doc_id IS NOT NULL UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id)
 SELECT id AS doc_id, min(g) AS group_id, id = min(g) AS is_kept FROM r GROUP BY id
 """
