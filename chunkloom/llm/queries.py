@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = {
     "op5_decontaminate": "decontaminate",
     "op7_near_dup": "near_dup",
+    "op9_pii": "pii",
 }
 
 
