@@ -11,6 +11,7 @@ _MODULES = {
     "op5_decontaminate": "decontaminate",
     "op7_near_dup": "near_dup",
     "op9_pii": "pii",
+    "op10_toxicity": "toxicity",
 }
 
 
