@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op3_language_mix": "language_mix",
     "op5_decontaminate": "decontaminate",
     "op7_near_dup": "near_dup",
     "op9_pii": "pii",
