@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op3_language_mix": "language_mix",
+    "op4_pack_dp": "pack_dp",
     "op5_decontaminate": "decontaminate",
     "op7_near_dup": "near_dup",
     "op9_pii": "pii",
