@@ -12,6 +12,7 @@ _MODULES = {
     "op3_language_mix": "language_mix",
     "op4_pack_dp": "pack_dp",
     "op5_decontaminate": "decontaminate",
+    "op6_html_content": "html_content",
     "op7_near_dup": "near_dup",
     "op8_pack_bfd": "pack_bfd",
     "op9_pii": "pii",
