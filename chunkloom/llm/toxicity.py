@@ -22,9 +22,9 @@ from chunkloom.llm._grams import Grams, bounded_sample
 from chunkloom.llm._text import Words, segments
 from chunkloom.plans.lineage import BROADCAST_ROWS, small_side
 
-SAMPLE = 8000  #: labelled rows at most that the model is fitted on
+SAMPLE = 6000  #: labelled rows at most that the model is fitted on
 SIZES, BITS, DIM, WINDOW = (3, 4, 5), 18, 8, 16
-CLEAN_WINDOWS = 3  #: windows of clean documents per window of toxic ones
+CLEAN = 4  #: clean documents per toxic one, and clean windows per window of toxic ones, at most
 EPOCHS, STEPS, BATCH, RATE = 10, 400, 256, 0.4  #: STEPS: minibatches at least, for small samples
 
 
@@ -66,17 +66,18 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     """Fits on the even rows, sets the threshold on the odd ones; of one class only, nothing is toxic."""
     labels = np.asarray(labels, np.int64)
     even = np.arange(len(texts)) % 2 == 0
-    fit = [i for i in np.flatnonzero(even) if texts[i]]
-    words = Words([texts[i] for i in fit])
-    y_doc = labels[fit]
-    table, bias = _fit(words, y_doc, np.random.default_rng(seed))
+    fit = np.array([i for i in np.flatnonzero(even) if texts[i]], np.int64)
+    rng = np.random.default_rng(seed)
+    clean = rng.permutation(fit[labels[fit] == 0])[: CLEAN * int((labels[fit] == 1).sum())]
+    fit = np.sort(np.concatenate([fit[labels[fit] == 1], clean]))
+    table, bias = _fit(_Bag([texts[i] for i in fit]), labels[fit], rng)
     if table is None:
         return Model(np.zeros(1 << BITS), 0.0, np.inf)
     odd = [i for i in np.flatnonzero(~even) if texts[i]]
     held, best = labels[odd], np.zeros(len(odd))
-    for at in range(0, len(odd), 500):
-        w = Words([texts[i] for i in odd[at : at + 500]])
-        best[at : at + 500] = worst_windows(w, word_scores(w, table))[0] + bias
+    for at in range(0, len(odd), 200):
+        w = Words([texts[i] for i in odd[at : at + 200]])
+        best[at : at + 200] = worst_windows(w, word_scores(w, table))[0] + bias
     return Model(table, bias, threshold_of(best, held))
 
 
@@ -93,7 +94,30 @@ def threshold_of(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k] - 1e-9)
 
 
-def _fit(words: Words, y_doc: np.ndarray, rng: np.random.Generator):
+class _Bag:
+    """Words and n-grams of many texts, gathered in slices so that memory follows the n-grams alone."""
+
+    def __init__(self, texts: list[str]) -> None:
+        first, inverse, grams, buckets = [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)], []
+        for at in range(0, len(texts), 200):
+            words = Words(texts[at : at + 200])
+            g = Grams(words, SIZES, BITS, whole=True)
+            inverse.append((g.inverse + sum(len(x) - 1 for x in grams[1:])).astype(np.int32))
+            first.append(words.first[1:] + first[-1][-1])
+            buckets.append(g.buckets)
+            grams.append(np.concatenate([[0], g.first[1:] + grams[-1][-1]]))
+        self.first = np.concatenate(first)
+        self.grams = np.concatenate([[0], *[x[1:] for x in grams[1:]]])
+        self.inverse = np.concatenate([np.zeros(0, np.int32), *inverse])
+        self.buckets = np.concatenate([np.zeros(0, np.uint32), *buckets])
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """Of each word the mean of its n-grams' values."""
+        c = np.concatenate([[0.0], np.cumsum(table[self.buckets], dtype=np.float64)])
+        return ((c[self.grams[1:]] - c[self.grams[:-1]]) / np.maximum(np.diff(self.grams), 1))[self.inverse]
+
+
+def _fit(words: _Bag, y_doc: np.ndarray, rng: np.random.Generator):
     n = np.diff(words.first)
     doc = np.repeat(np.arange(len(n)), np.maximum(-(-n // WINDOW), 1) * (n > 0))
     if not len(doc) or y_doc.min(initial=1) == y_doc.max(initial=0):
@@ -104,8 +128,7 @@ def _fit(words: Words, y_doc: np.ndarray, rng: np.random.Generator):
     start = np.maximum(end - WINDOW, words.first[doc])
     y = y_doc[doc]
     bad, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    clean = rng.permutation(clean)[: CLEAN_WINDOWS * len(bad)]
-    g = Grams(words, SIZES, BITS, whole=True)
+    clean = rng.permutation(clean)[: CLEAN * len(bad)]
     e = rng.normal(0, 0.05, (1 << BITS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
@@ -114,8 +137,7 @@ def _fit(words: Words, y_doc: np.ndarray, rng: np.random.Generator):
     for epoch in range(epochs):
         if epoch >= epochs // 2:  # relabel: a window of a toxic document must itself look toxic
             v = e @ (w[:, 1] - w[:, 0])
-            score = segments(v[g.buckets].astype(np.float64), g.first, np.add) / np.maximum(np.diff(g.first), 1)
-            c = np.concatenate([[0.0], np.cumsum(score[g.inverse])])
+            c = np.concatenate([[0.0], np.cumsum(words.means(v))])
             logit = (c[end] - c[start]) / (end - start) + b[1] - b[0]
             top = np.full(len(n), -np.inf)
             np.maximum.at(top, doc, logit)
@@ -125,9 +147,9 @@ def _fit(words: Words, y_doc: np.ndarray, rng: np.random.Generator):
             k = rows[at : at + BATCH]
             m = end[k] - start[k]
             owner = np.repeat(np.arange(len(k)), m)
-            word = g.inverse[np.repeat(start[k], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-            size = (g.first[word + 1] - g.first[word])
-            gram = g.buckets[np.repeat(g.first[word], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+            word = words.inverse[np.repeat(start[k], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            size = words.grams[word + 1] - words.grams[word]
+            gram = words.buckets[np.repeat(words.grams[word], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
             share = np.repeat((1.0 / (m[owner] * size)).astype(np.float32), size)
             bag = np.repeat(owner, size)
             h = np.stack([np.bincount(bag, share * e[gram, d], len(k)) for d in range(DIM)], 1).astype(np.float32)
@@ -147,7 +169,7 @@ def _fit(words: Words, y_doc: np.ndarray, rng: np.random.Generator):
             e[used] -= RATE * grad / np.sqrt(acc_e[used])[:, None]
     v = e @ (w[:, 1] - w[:, 0])
     seen = np.zeros(1 << BITS, bool)
-    seen[g.buckets] = True
+    seen[words.buckets] = True
     v[~seen] = v[seen].mean()  # a bucket that no training word has says nothing
     return v, float(b[1] - b[0])
 
