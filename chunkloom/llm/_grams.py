@@ -40,9 +40,9 @@ class Grams:
             place += count
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
     """About ``rows`` rows of ``df``, those whose key's hash is smallest; all of them if there are fewer."""
     n = df.count()
     if n <= rows:
         return df
-    return df.where(F.xxhash64(key) < F.lit(int(-(1 << 63) + (rows / n) * (1 << 64))))
+    return df.where(F.xxhash64(F.col(key), F.lit(seed)) < F.lit(int(-(1 << 63) + (rows / n) * (1 << 64))))

@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op1_vector_graph": "vector_graph",
     "op2_warc": "warc",
     "op3_language_mix": "language_mix",
     "op4_pack_dp": "pack_dp",
