@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.llm._frames import free
 from chunkloom.llm._text import Words, chunks
-from chunkloom.plans.lineage import BROADCAST_ROWS, cut, small_side
+from chunkloom.plans.lineage import cut, small_side
 
 WINDOW = 8  #: words; an item of fewer is looked for as a whole
 LEAST = 4  #: words below which an item says nothing about leaking
@@ -119,14 +120,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak, all columns kept. A row with a null doc_id is judged by its own text."""
+    (bad_id,) = free(docs, "bad")
     named = docs.where("doc_id is not null")
-    bad = cut(leaks(named, benchmark).select(F.col("doc_id").alias("_bad")).distinct())
-    n_bad = bad.count()
-    clean = docs.join(small_side(bad, n_bad, BROADCAST_ROWS), docs["doc_id"] == F.col("_bad"), "left_anti")
+    bad = cut(leaks(named, benchmark).select(F.col("doc_id").alias(bad_id)).distinct())
+    clean = docs.join(small_side(bad, bad.count()), F.col("doc_id") == F.col(bad_id), "left_anti")
     nameless = docs.where("doc_id is null").select(F.xxhash64("text").alias("doc_id"), "text")
     if not nameless.isEmpty():
-        bad = leaks(nameless, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-        clean = clean.join(bad, clean["doc_id"].isNull() & (F.xxhash64(clean["text"]) == F.col("_bad")), "left_anti")
+        bad = cut(leaks(nameless, benchmark).select(F.col("doc_id").alias(bad_id)).distinct())
+        clean = clean.join(small_side(bad, bad.count()), F.col("doc_id").isNull() & (F.xxhash64("text") == F.col(bad_id)), "left_anti")
     return clean
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkloom.llm._frames import free
 from chunkloom.llm._text import Words, binary, chunks, mix, segments, shingles
 from chunkloom.llm.components import connected_components
 from chunkloom.plans.lineage import cut, small_side
@@ -185,19 +186,21 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of rows that repeat a kept doc_id one stays (that of the smallest text hash). Rows with a null doc_id
     stay: they can't be told apart by id. Empty texts stay unless their doc_id repeats.
     """
+    gone_id, again_id, number = free(docs, "gone", "again", "number")
     groups = cut(near_duplicate_groups(docs))
-    gone = groups.where(~F.col("is_kept")).select(F.col("doc_id").alias("_gone"))
+    gone = groups.where(~F.col("is_kept")).select(F.col("doc_id").alias(gone_id))
     n_gone = gone.count()
-    kept = docs.join(small_side(gone, n_gone), docs["doc_id"] == F.col("_gone"), "left_anti")
-    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    kept = docs.join(small_side(gone, n_gone), F.col("doc_id") == F.col(gone_id), "left_anti")
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again_id))
     ids = cut(ids)
     n_again = ids.count()
     if not n_again:
         return kept
-    twice = kept.join(small_side(ids, n_again), kept["doc_id"] == F.col("_again"), "left_semi")
-    once = kept.join(small_side(ids, n_again), kept["doc_id"] == F.col("_again"), "left_anti")
+    repeats = small_side(ids, n_again)
+    twice = kept.join(repeats, F.col("doc_id") == F.col(again_id), "left_semi")
+    once = kept.join(repeats, F.col("doc_id") == F.col(again_id), "left_anti")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-    return once.unionByName(twice.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn"))
+    return once.unionByName(twice.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number))
 
 
 def op7_near_dup(spark, sf_dir: str) -> DataFrame:
