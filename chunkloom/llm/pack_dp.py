@@ -16,7 +16,6 @@ window is the only one that sharding can leave less full than one run over every
 
 from __future__ import annotations
 
-import re
 from collections import deque
 
 import numpy as np
@@ -29,18 +28,32 @@ from chunkloom.llm._frames import slices
 
 WINDOW = 2048
 SENTENCE_CUT, HARD_CUT = 64, 512  #: in tokens of padding
-SHARD_CHARS = 256 << 20
+SHARD_CHARS = 32 << 20
 BUCKETS = 4096
 
-_END = re.compile(r"[.!?…]+[\"')\]»”’]*(?=\s)|[。！？]+|\S(?=\n)")
+_SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x3000], np.uint32)
+_SIGNS = np.zeros(0x3100, np.uint8)  # 1 space, 2 terminator, 3 closing sign, 4 terminator that needs no space
+_SIGNS[_SPACES] = 1
+_SIGNS[[ord(c) for c in ".!?…"]] = 2
+_SIGNS[[ord(c) for c in "\"')]»”’"]] = 3
+_SIGNS[ord("。")] = 4
 
 
-def sentence_ends(text: str) -> np.ndarray:
-    """Characters at which sentences end, the text's end last; white space begins the next sentence."""
-    ends = [m.end() for m in _END.finditer(text)]
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
-    return np.array(ends, np.int64)
+def sentence_ends(cps: np.ndarray) -> np.ndarray:
+    """Code points at which sentences end, the text's end last; white space begins the next sentence.
+
+    A sentence ends after terminators (and closing signs) before white space, after ideographic ones, and
+    before a line feed that doesn't follow white space.
+    """
+    n = len(cps)
+    sign = np.where(cps < 0x3100, _SIGNS[np.minimum(cps, 0x30FF)], np.where((cps == 0xFF01) | (cps == 0xFF1F), 4, 0))
+    body = np.maximum.accumulate(np.where(sign != 3, np.arange(n), 0))  # the last that is no closing sign
+    end = np.zeros(n + 1, bool)
+    space = sign[1:] == 1
+    end[1:n] = space & ((sign[body[:-1]] == 2) | (cps[1:] == 10) & (sign[:-1] != 1))
+    end[1:n] |= (sign[:-1] == 4) & (sign[1:] != 4)
+    end[n] = True
+    return np.flatnonzero(end)
 
 
 def units(text: str, window: int, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,8 +67,9 @@ def units(text: str, window: int, path: str) -> tuple[np.ndarray, np.ndarray, np
         return (np.zeros(0, np.int64),) * 3
     size = _bpe.encoder(path)[1][ids]
     begin = np.cumsum(size) - size
-    at_byte = _bpe.byte_starts(text) if not text.isascii() else None
-    ends = sentence_ends(text)
+    cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    at_byte = None if text.isascii() else _bpe.byte_starts(cps)
+    ends = sentence_ends(cps)
     cut = np.searchsorted(begin, ends if at_byte is None else at_byte[ends])
     cut[-1] = len(ids)
     keep = np.diff(cut, prepend=0) > 0
