@@ -20,6 +20,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once: inside a lambda an expression is evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def subwords(n: Column) -> Column:
     return F.when(n <= 0, 0).when(n <= 6, 1).otherwise(1 + F.ceil((n - 6) / F.lit(4)).cast("int"))
 
@@ -154,9 +159,11 @@ def heading_intent(text: Column | str) -> Column:
 
 def shingles(text: Column | str, size: int = 5) -> Column:
     """Distinct word n-grams; the whole of a shorter text. A text without words has none."""
-    words = F.regexp_extract_all(casefold(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
-    return F.when(F.size(words) >= size, F.array_distinct(many)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    def of(words: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+        return F.when(F.size(words) >= size, F.array_distinct(many)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(casefold(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -184,8 +191,15 @@ def alias_share(text: Column | str) -> Column:
     """The share of segments that begin with the most frequent first word; 0 below five segments."""
     parts = F.filter(F.transform(F.split(_c(text), r"[;\n•]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
     heads = F.filter(F.transform(parts, lambda x: F.regexp_extract(casefold(F.regexp_replace(x, r"[^\p{L}\p{N}_\s]", " ")), r"^\s*(\S+)", 1)), lambda x: x != "")
-    top = F.array_max(F.transform(F.array_distinct(heads), lambda h: F.size(F.filter(heads, lambda x: x == h))))
-    return F.when(F.size(parts) >= 5, F.coalesce(top, F.lit(0)) / F.size(parts)).otherwise(F.lit(0.0))
+    # counted over the sorted heads in one pass: (head, its run, the longest run)
+    start = F.struct(F.lit("").alias("h"), F.lit(0).alias("n"), F.lit(0).alias("top"))
+
+    def step(a: Column, h: Column) -> Column:
+        n = F.when(a["h"] == h, a["n"] + 1).otherwise(1)
+        return F.struct(h.alias("h"), n.alias("n"), F.greatest(a["top"], n).alias("top"))
+
+    top = F.aggregate(F.array_sort(heads), start, step, lambda a: a["top"])
+    return F.when(F.size(parts) >= 5, top / F.size(parts)).otherwise(F.lit(0.0))
 
 
 def length_score(size: Column | str, least: int = 100, target: int = 500, most: int = 800) -> Column:
@@ -215,6 +229,7 @@ def context_prefix(title: Column, path: Column, source: Column, separator: str =
 
 def merge_terms(a: Column, b: Column, limit: int = 512) -> Column:
     """Union in order; of terms that differ by case the first."""
-    every = F.concat(a, b)
-    folded = F.transform(every, lambda x: casefold(x))
-    return F.slice(F.filter(every, lambda x, i: F.array_position(folded, casefold(x)) == i + 1), 1, limit)
+    def of(every: Column) -> Column:
+        return let(F.transform(every, lambda x: casefold(x)), lambda folded: F.filter(every, lambda x, i: F.array_position(folded, casefold(x)) == i + 1))
+
+    return F.slice(let(F.concat(a, b), of), 1, limit)
