@@ -52,7 +52,7 @@ class Section:
         return self.path[-1] if self.path else ""
 
     def render(self) -> str:
-        return "\n\n".join([_hashes(self.heading)] * (self.heading is not None) + [t for b in self.blocks if (t := b.text.strip())])
+        return "\n\n".join(([_hashes(self.heading)] if self.heading else []) + [t for b in self.blocks if (t := b.text.strip())])
 
 
 def _hashes(b: Block) -> str:

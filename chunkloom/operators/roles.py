@@ -140,7 +140,7 @@ def shape_of(text: str) -> Shape:
     return s
 
 
-def extract_terms(text: str, limit: int = 256) -> list[str]:
+def extract_terms(text: str, limit: int | None = None) -> list[str]:
     """The terms of a list in order, the first of those that differ by case alone."""
     found: dict[str, str] = {}
     for line in map(str.strip, text.split("\n")):

@@ -6,6 +6,8 @@ of them; sizes, ids, context, duplicates, scores and reports are expressions on
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +32,11 @@ _EXTRA = pa.struct([
 ])
 _MEASURES = pa.struct([
     ("body", pa.string()), ("is_terms", pa.bool_()), ("fenced", pa.float64()), ("verb_ratio", pa.float64()), ("sentences", pa.int32()), ("brackets", pa.bool_()), ("topic_shift", pa.bool_()),
+    ("words", pa.int32()), ("meaningful", pa.int32()), ("distinct", pa.int32()), ("alnum", pa.float64()), ("alias", pa.float64()),
 ])
 _CHUNK = pa.struct([
     ("chunk_index", pa.int32()), ("content", pa.string()), ("heading_path", pa.list_(pa.string())), ("content_type", pa.string()), ("semantic_role", pa.string()), ("language", pa.string()),
-    ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("overlap_prefix_chars", pa.int32()), ("sentence_count", pa.int32()),
+    ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("overlap_prefix_chars", pa.int32()), ("sentence_count", pa.int32()), ("size", pa.int32()), ("word_count", pa.int32()), ("token_count", pa.int32()),
     ("retrieval", pa.struct([(f, pa.list_(pa.string())) for f in FIELDS])), ("extra", _EXTRA), ("measures", _MEASURES),
 ])
 _OUT = [("strategy", pa.string()), ("content", pa.string()), ("characters", pa.int64()), ("error", pa.string()), ("blocks", pa.list_(_BLOCK)), ("chunks", pa.list_(_CHUNK))]
@@ -75,7 +78,12 @@ def topic_shift(parts: list[str]) -> bool:
 def _measures(text: str, kind: str) -> dict:
     body = "\n".join(x for x in text.split("\n") if not T.re.match(r"\s{0,3}#{1,6}\s", x)).strip()
     s, parts = shape_of(text), T.sentences(body)
-    return {"body": body, "is_terms": s.is_terms, "fenced": s.fenced, "verb_ratio": s.verb_ratio, "sentences": len(parts), "brackets": brackets_balanced(text), "topic_shift": kind == "text" and topic_shift(parts)}
+    words = body.split()
+    meaning = [w for w in (T.casefold(x.strip(".,;:!?()[]{}\"'`*")) for x in words) if w and w not in _STOP]
+    segments = [x for x in map(str.strip, T.re.split(r"[;\n•]", body)) if x]
+    heads = Counter(T.casefold(w[0]) for w in (T.re.sub(r"[^\w\s]", " ", x).split() for x in segments) if w)
+    return {"words": len(words), "meaningful": len(meaning), "distinct": len(set(meaning)), "alnum": T.alnum_share(body), "alias": max(heads.values(), default=0) / len(segments) if len(segments) >= 5 else 0.0,
+        "body": body, "is_terms": s.is_terms, "fenced": s.fenced, "verb_ratio": s.verb_ratio, "sentences": len(parts), "brackets": brackets_balanced(text), "topic_shift": kind == "text" and topic_shift(parts)}
 
 
 def kernel(text: str | None, cfg: Config) -> dict:
@@ -96,7 +104,7 @@ def kernel(text: str | None, cfg: Config) -> dict:
         t = d.text.strip()
         out["chunks"].append({
             "chunk_index": i, "content": t, "heading_path": d.path, "content_type": d.content_type, "semantic_role": d.role, "language": d.language, "start_offset": d.start, "end_offset": d.end,
-            "overlap_prefix_chars": d.overlap_chars, "sentence_count": len(T.sentences(t)),
+            "overlap_prefix_chars": d.overlap_chars, "sentence_count": len(T.sentences(t)), "size": T.measure(t, cfg.chunking.unit), "word_count": len(t.split()), "token_count": T.count_tokens(t),
             "retrieval": {f: d.terms.get(f, [])[: cfg.semantics.max_terms_per_field] for f in FIELDS},
             "extra": {k: getattr(d, k) for k in ("block_types", "merged_sections", "part_index", "part_total", "block_split", "code_split", "heading_only")},
             "measures": _measures(t, d.content_type),
@@ -127,13 +135,13 @@ def blocks_of(processed: DataFrame) -> DataFrame:
 
 
 def chunks_of(processed: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """The chunk table: ids, sizes and counts as expressions on the kernel's texts."""
+    """The chunk table: a row per chunk of the kernel, with its id and place."""
     c = (cfg or Config()).chunking
     rows = processed.select("document_id", "title", "source", "strategy", F.size("chunks").alias("total_chunks"), F.inline("chunks"))
     section = F.try_element_at("heading_path", F.lit(-1))
     return rows.withColumns({
         "id": X.chunk_id("document_id", "chunk_index"), "section": section, "parent_section": F.when(F.size("heading_path") > 1, F.try_element_at("heading_path", F.lit(-2))),
-        "unit": F.lit(c.unit), "size": X.measure("content", c.unit), "char_count": F.length("content"), "word_count": X.count_words("content"), "token_count": X.count_tokens("content"),
+        "unit": F.lit(c.unit), "char_count": F.length("content"),
     })
 
 
@@ -187,8 +195,7 @@ def score(chunks: DataFrame, cfg: Config | None = None) -> DataFrame:
     q, c = cfg.quality, cfg.chunking
     m = F.col("measures")
     body, kind, role = m["body"], F.col("content_type"), F.col("semantic_role")
-    words = F.regexp_extract_all(body, F.lit(r"\S+"), F.lit(0))
-    n = F.size(words)
+    n = m["words"]
     empty = F.trim(F.regexp_replace(body, r"\s+", " ")) == ""
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     minus = lambda condition, x: F.when(F.coalesce(condition, F.lit(False)), F.lit(x)).otherwise(F.lit(0.0))
@@ -196,7 +203,7 @@ def score(chunks: DataFrame, cfg: Config | None = None) -> DataFrame:
     length = X.length_score("size", c.min_size, c.target_size, c.max_size)
     fences, table, cut_list = ~X.balanced_fences("content"), X.broken_table("content"), F.col("extra")["block_split"] & X.broken_list(body)
     prose = ~empty & ~kind.isin("table", "list", "code", "heading", "metadata")
-    last = F.regexp_extract(body, r"([^\n]*\S[^\n]*)\s*$", 1)
+    last = F.substring_index(body, "\n", -1)  # the body has no white space at its end
     open_end = prose & ~F.trim(last).rlike(r"^(- |\* |\+ |\||>|```|~~~|(?:\d+|[a-zA-Z])[.)]\s)") & ~X.ends_sentence(last)
     low_start = prose & (kind == "text") & X.starts_lower(body)
     shift = (kind == "text") & m["topic_shift"] & (m["sentences"] > 5)
@@ -207,9 +214,8 @@ def score(chunks: DataFrame, cfg: Config | None = None) -> DataFrame:
     context = F.when(F.size(path) > 0, 0.45 + F.least(F.size(path), F.lit(3)) * 0.05).otherwise(0.0) + minus(has("title"), 0.2) + minus(has("source"), 0.1) + minus(has("context_prefix"), 0.1) + minus(named, 0.1)
     context = F.least(F.lit(1.0), context)
     bare = (n < q.low_context_word_threshold) & (F.size(path) == 0)
-    lowered = F.transform(words, lambda w: X.casefold(F.regexp_replace(w, r"^[.,;:!?()\[\]{}\"'`*]+|[.,;:!?()\[\]{}\"'`*]+$", "")))
-    meaning = F.filter(lowered, lambda w: (w != "") & ~w.isin(*sorted(_STOP)))
-    info = 0.4 * F.least(F.size(meaning) / F.greatest(n, F.lit(1)) / 0.6, F.lit(1.0)) + 0.3 * F.size(F.array_distinct(meaning)) / F.greatest(F.size(meaning), F.lit(1)) + 0.15 * F.least(X.alnum_share(body) / 0.7, F.lit(1.0)) + 0.15 * F.least(m["verb_ratio"] / 0.5, F.lit(1.0))
+    some = F.greatest(m["meaningful"], F.lit(1))
+    info = 0.4 * F.least(m["meaningful"] / F.greatest(n, F.lit(1)) / 0.6, F.lit(1.0)) + 0.3 * m["distinct"] / some + 0.15 * F.least(m["alnum"] / 0.7, F.lit(1.0)) + 0.15 * F.least(m["verb_ratio"] / 0.5, F.lit(1.0))
     info = F.when(n == 0, F.lit(0.0)).otherwise(unit(info))
     terms = m["is_terms"] & (m["fenced"] < 0.4)
     few, orphan = n < q.min_knowledge_words, role.isin(*NEEDS_PARENT) & (F.size(path) == 0)
@@ -223,7 +229,7 @@ def score(chunks: DataFrame, cfg: Config | None = None) -> DataFrame:
         _flag(fences | F.col("extra")["code_split"], "code_split"), _flag(table, "fragmented_table"), _flag(cut_list, "fragmented_list"), _flag(open_end | low_start, "broken_sentence"), _flag(shift, "mixed_topics"),
         _flag(bare | (context < 0.35), "low_context"), _flag((n < 8) | (info < 0.35) | (plain & few), "low_information"),
         _flag(empty, "heading_only"), _flag(~empty & role.isin("document_meta", "navigation"), "metadata_only"), _flag(~empty & ((role == "retrieval_terms") | (terms & ~auxiliary)), "keyword_heavy"),
-        _flag(~empty & ~auxiliary & terms & (X.alias_share(body) >= 0.55), "alias_heavy"), _flag(plain & orphan, "orphaned_context"), F.col("duplicate_kind"),
+        _flag(~empty & ~auxiliary & terms & (m["alias"] >= 0.55), "alias_heavy"), _flag(plain & orphan, "orphaned_context"), F.col("duplicate_kind"),
     ))
     context = F.when(bare, context * 0.5).otherwise(context)
     total = retrieval * 0.3 + info * 0.25 + coherence * 0.2 + context * 0.15 + length * 0.1

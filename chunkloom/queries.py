@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.config import Chunking, Config
+from chunkloom.config import Chunking, Config, Semantics
 from chunkloom.functions import exprs as X
 from chunkloom.functions import udfs as U
 from chunkloom.operators import corpus, search, stages
@@ -580,8 +580,8 @@ def i16(spark, d):
 
 @query("I14_pages_lose_nothing", "SELECT CAST(page_id AS VARCHAR) AS doc FROM pages WHERE FALSE")
 def i14_pages(spark, d):
-    """Violations: blocks of pages that reach no chunk and no term list."""
-    cfg = Config()
+    """Violations: blocks of pages that reach no chunk and no term list; terms are cut to no number here."""
+    cfg = Config(semantics=Semantics(max_terms_per_field=1 << 30))
     p = corpus.cut(stages.process(tables.pages_as_documents(_t(spark, d, "pages")).withColumnRenamed("page_id", "document_id"), cfg))
     return stages.audit(p, stages.chunks_of(p, cfg)).where("destination = 'dropped'").select("doc")
 
@@ -695,12 +695,12 @@ def k8(spark, d):
 
 @query("K9_cosine_top", """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS key, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v, v q WHERE q.vec_id % 10 = 0 AND q.vec_id <> v.vec_id)
-SELECT query, key, round(cosine, 5) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, key) AS rank FROM s) WHERE rank <= 5""")
+SELECT query, key, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, key) AS rank FROM s) WHERE rank <= 5""")
 def k9(spark, d):
     v = _t(spark, d, "embeddings")
     # every tenth vector is a query of this table of queries; all vectors are searched
     q = v.where("vec_id % 10 = 0")
-    return search.cosine_top(v, "vec_id", "embedding", q, "vec_id").select("query", "key", F.round("cosine", 5).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+    return search.cosine_top(v, "vec_id", "embedding", q, "vec_id").select("query", "key", "cosine", F.col("rank").cast("bigint").alias("rank"))
 
 
 # ---- embeddings, exports ----------------------------------------------------------------------------------
