@@ -63,11 +63,11 @@ def worst_windows(words: Words, scores: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
-    """Fits on the even rows, sets the threshold on the odd ones; of one class only, nothing is toxic."""
+    """Fits on a random half of the rows, sets the threshold on the other; of one class only, nothing is toxic."""
     labels = np.asarray(labels, np.int64)
-    even = np.arange(len(texts)) % 2 == 0
-    fit = np.array([i for i in np.flatnonzero(even) if texts[i]], np.int64)
     rng = np.random.default_rng(seed)
+    even = rng.permutation(len(texts)) % 2 == 0  # drawn, so that no pattern of the ids decides the halves
+    fit = np.array([i for i in np.flatnonzero(even) if texts[i]], np.int64)
     clean = rng.permutation(fit[labels[fit] == 0])[: CLEAN * int((labels[fit] == 1).sum())]
     fit = np.sort(np.concatenate([fit[labels[fit] == 1], clean]))
     table, bias = _fit(_Bag([texts[i] for i in fit]), labels[fit], rng)
