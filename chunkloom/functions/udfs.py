@@ -89,22 +89,23 @@ def bpe_count(text: Column | str, path: str = "/opt/tokenizers/byte_bpe_50k.tikt
     return run(text)
 
 
+@lru_cache(1 << 16)
+def _place(word: str, size: int) -> tuple[int, float]:
+    h = hashlib.blake2b(word.encode(), digest_size=8).digest()
+    return int.from_bytes(h[:4], "big") % size, 1.0 if h[4] & 1 else -1.0
+
+
 def hash_embedding(text: Column | str, dimensions: int = 256) -> Column:
     """Signed hashed bag of words, of unit length; a text without words gives zeros."""
     size = max(8, dimensions)
 
-    @lru_cache(1 << 16)
-    def place(word: str) -> tuple[int, float]:
-        h = hashlib.blake2b(word.encode(), digest_size=8).digest()
-        return int.from_bytes(h[:4], "big") % size, 1.0 if h[4] & 1 else -1.0
-
     @pandas_udf(ArrayType(FloatType()))
     def run(t: pd.Series) -> pd.Series:
         out = []
         for x in t:
             v = np.zeros(size)
             for w in T.casefold(x or "").split():
-                i, sign = place(w)
+                i, sign = _place(w, size)
                 v[i] += sign
             n = np.linalg.norm(v)
             out.append((v / n if n else v).astype(np.float32))

@@ -121,7 +121,14 @@ class _Markdown(HTMLParser):
         if self.cell is None:
             self.out.append("\n" * n)
 
+    def end_cell(self) -> None:
+        if self.cell is not None and self.rows:
+            self.rows[-1].append(" ".join("".join(self.cell).split()).replace("|", "\\|"))
+        self.cell = None
+
     def handle_starttag(self, tag, attrs):
+        if tag in ("td", "th", "tr"):
+            self.end_cell()
         a = {k: v or "" for k, v in attrs}
         if self.skipped or tag in self.skip_tags:
             if tag in self.skip_tags:
@@ -206,10 +213,10 @@ class _Markdown(HTMLParser):
             if self.lists:
                 self.lists.pop()
             self.line(1 if self.lists else 2)
-        elif tag in ("td", "th") and self.cell is not None:
-            self.rows[-1].append(" ".join("".join(self.cell).split()).replace("|", "\\|"))
-            self.cell = None
+        elif tag in ("td", "th", "tr"):
+            self.end_cell()
         elif tag == "table" and self.rows is not None:
+            self.end_cell()
             rows, self.rows = [r for r in self.rows if r], None
             if rows:
                 width = max(map(len, rows))
