@@ -125,7 +125,7 @@ def test_parsers():
     assert P.parse_markdown("Head\n====\ntext").content.startswith("# Head")
     title, md, meta = P.html_to_markdown('<title>T</title><meta name="author" content="A"><nav><form>no</form></nav><h1>H</h1><ul><li>a<ul><li>b</li></ul></li></ul><pre><code class="language-py">x  = 1\n  y</code></pre><table><tr><th>a<th>b<tr><td>1</table>')
     assert title == "T" and meta["author"] == "A" and "no" not in md
-    assert "  - b" in md and "```py\nx  = 1\n  y\n```" in md and "| 1 |  |" in md
+    assert "  - b" in md and "```py\nx  = 1\n  y\n```" in md and "| 1 | |" in md
     assert P.parse_json('[{"title": "A", "x": 1}, {"name": "B"}]').content.startswith("## A\n- title: A")
     with pytest.raises(P.ParseError, match="line 2"):
         P.load_json('{"a": 1}\nnope\n')
