@@ -114,20 +114,21 @@ def a10c(spark, d):
 
 
 @query("A11b_page_boilerplate", """
-WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, '. '), lambda x: trim(x)), lambda x: x <> '') AS xs FROM conversations),
+WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace('Report ' || conv_id || '. ' || text, '. ', chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS xs FROM conversations),
 c AS (SELECT conv_id, turn, unnest(CASE WHEN len(xs) >= 4 THEN list_concat(xs[1:2], xs[-2:]) ELSE list_concat(xs[1:2], xs[-least(2, len(xs)):]) END) AS line FROM l),
 p AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY 1)
 SELECT c.conv_id, line, count(*) AS n FROM c JOIN p USING (conv_id) WHERE pages >= 3 AND length(line) BETWEEN 3 AND 120 GROUP BY c.conv_id, line, pages HAVING count(*) >= greatest(3, CAST(floor(0.6 * pages) AS BIGINT))""")
 def a11b(spark, d):
-    return tables.page_boilerplate(_t(spark, d, "conversations").select("conv_id", "turn", F.replace("text", F.lit(". "), F.lit("\n")).alias("text")), "conv_id", "text")
+    return tables.page_boilerplate(_t(spark, d, "conversations").select("conv_id", "turn", F.replace(F.concat(F.lit("Report "), F.col("conv_id").cast("string"), F.lit(". "), "text"), F.lit(". "), F.lit("\n")).alias("text")), "conv_id", "text")
 
 
 @query("A11d_heading_lines", """
-WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+WITH l AS (SELECT doc_id, trim(unnest(string_split(CASE WHEN doc_id % 2 = 0 THEN '2.1 Heading' ELSE 'SUMMARY' END || chr(10) || text, chr(10)))) AS line FROM documents)
 SELECT doc_id, line, CASE WHEN regexp_matches(line, '^\\d+(\\.\\d+)*\\.?\\s+\\p{Lu}') THEN least(6, 2 + length(regexp_replace(regexp_extract(line, '^[\\d.]*\\d'), '[^.]', '', 'g'))) ELSE 2 END AS level FROM l
 WHERE line <> '' AND len(string_split(line, ' ')) <= 10 AND NOT regexp_matches(line, '[.!?,;:]$') AND (regexp_matches(line, '^\\d+(\\.\\d+)*\\.?\\s+\\p{Lu}') OR (line = upper(line) AND regexp_matches(line, '\\p{Lu}')))""")
 def a11d(spark, d):
-    return tables.heading_lines(_t(spark, d, "documents"), "doc_id", "text")
+    made = F.concat(F.when(F.col("doc_id") % 2 == 0, "2.1 Heading").otherwise("SUMMARY"), F.lit("\n"), "text")
+    return tables.heading_lines(_t(spark, d, "documents").withColumn("text", made), "doc_id", "text")
 
 
 @query("A13_dataset_sniff", "SELECT doc_id, contains(('{\"documents\": [{\"content\": \"' || text)[1:4096], '\"documents\"') AND contains((CASE WHEN doc_id % 2 = 0 THEN '{\"documents\": [{\"content\": \"' ELSE '' END || text)[1:4096], '\"content\"') AS is_dataset FROM documents")
@@ -554,7 +555,7 @@ _VOCAB = "list_distinct(regexp_extract_all(replace(lower({x}), 'ß', 'ss'), '[\\
 
 @query("I14_coverage", f"""
 WITH b AS (SELECT conv_id AS doc, turn AS block, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS words, {_VOCAB.format(x='text')} AS v FROM conversations),
-k AS (SELECT conv_id AS doc, CASE WHEN turn % 3 = 0 THEN 'knowledge' ELSE 'metadata' END AS dest, unnest({_VOCAB.format(x='text')}) AS w FROM conversations WHERE turn % 3 < 2),
+k AS (SELECT conv_id AS doc, CASE WHEN role = 'user' THEN 'knowledge' ELSE 'metadata' END AS dest, unnest({_VOCAB.format(x='text')}) AS w FROM conversations WHERE length(text) >= 200),
 u AS (SELECT doc, block, unnest(v) AS w FROM b),
 h AS (SELECT u.doc, u.block, count(*) FILTER (WHERE dest = 'knowledge') AS kn, count(*) FILTER (WHERE dest = 'metadata') AS me FROM u JOIN (SELECT DISTINCT doc, dest, w FROM k) k ON k.doc = u.doc AND k.w = u.w GROUP BY 1, 2),
 r AS (SELECT b.doc, b.block, b.words, len(v) AS n, coalesce(kn, 0) / nullif(len(v), 0) AS pk, coalesce(me, 0) / nullif(len(v), 0) AS pm FROM b LEFT JOIN h USING (doc, block)),
@@ -566,7 +567,7 @@ def i14(spark, d):
 
 def _coverage_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
     c = _t(spark, d, "conversations")
-    pieces = c.where("turn % 3 < 2").select(F.col("conv_id").alias("doc"), F.when(F.col("turn") % 3 == 0, "knowledge").otherwise("metadata").alias("destination"), "text")
+    pieces = c.where(F.length("text") >= 200).select(F.col("conv_id").alias("doc"), F.when(F.col("role") == "user", "knowledge").otherwise("metadata").alias("destination"), "text")
     return c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("block"), "text"), pieces
 
 
@@ -694,19 +695,17 @@ def k8(spark, d):
 
 
 @query("K9_cosine_top", """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS key, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v, v q WHERE q.vec_id % 10 = 0 AND q.vec_id <> v.vec_id)
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS key, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v, v q WHERE q.vec_id <> v.vec_id)
 SELECT query, key, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, key) AS rank FROM s) WHERE rank <= 5""")
 def k9(spark, d):
     v = _t(spark, d, "embeddings")
-    # every tenth vector is a query of this table of queries; all vectors are searched
-    q = v.where("vec_id % 10 = 0")
-    return search.cosine_top(v, "vec_id", "embedding", q, "vec_id").select("query", "key", "cosine", F.col("rank").cast("bigint").alias("rank"))
+    return search.cosine_top(v, "vec_id", "embedding", v, "vec_id").select("query", "key", "cosine", F.col("rank").cast("bigint").alias("rank"))
 
 
 # ---- embeddings, exports ----------------------------------------------------------------------------------
 
 
-@query("L2_hash_embedding_norms", "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END AS norm, CAST(256 AS BIGINT) AS dimensions FROM documents")
+@query("L2_hash_embedding_norms", "SELECT doc_id, CAST(CASE WHEN trim(text) = '' THEN 0 ELSE 1 END AS DOUBLE) AS norm, CAST(256 AS BIGINT) AS dimensions FROM documents")
 def l2(spark, d):
     e = _t(spark, d, "documents").select("doc_id", U.hash_embedding("text").alias("e"))
     return e.select("doc_id", F.round(F.sqrt(search.dot(F.col("e"), F.col("e"))), 5).alias("norm"), F.size("e").cast("bigint").alias("dimensions"))

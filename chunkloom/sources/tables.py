@@ -45,7 +45,7 @@ def repeated_lines(texts: DataFrame, group: str, key: str, text: str, least: int
 
 def page_boilerplate(pages: DataFrame, doc: str, text: str, share: float = 0.6) -> DataFrame:
     """``(doc, line, n)``: lines among the first or last two of many of a document's pages."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     edges = F.concat(F.slice("l", 1, 2), F.when(F.size("l") >= 2, F.slice("l", -2, 2)).otherwise(F.col("l")))
     p = pages.select(doc, lines.alias("l"), F.count("*").over(Window.partitionBy(doc)).alias("pages")).where("pages >= 3")
     c = p.select(doc, "pages", F.explode(edges).alias("line")).where(F.length("line").between(3, 120))
