@@ -1,6 +1,6 @@
 """Operator 3: language mixtures of documents by expectation-maximisation over n-gram likelihoods.
 
-Per language, smoothed frequencies of boundary-padded character trigrams come from labelled documents
+A document's words count where they have a letter. Per language, smoothed frequencies of boundary-padded character trigrams come from labelled documents
 (bounded sample of SAMPLE rows a language); a further component ``und`` gives every trigram the same small
 probability. A document is a bag of words drawn from a mixture of languages; EM estimates the proportions.
 The language set is chosen by penalised likelihood: starting from all languages of at least MIN_SHARE, the
@@ -108,18 +108,21 @@ def _rows(first: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mixtures(texts: list[str], model: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(documents, languages + 1) proportions of the chosen sets, log-likelihoods a word, and words."""
-    words = Words(texts)
-    n, k = np.diff(words.first), len(model.names) + 1
-    if not len(words.start):
+    """(documents, languages + 1) proportions of the chosen sets, log-likelihoods a word, and words that have a letter."""
+    words, k = Words(texts), len(model.names) + 1
+    spoken = np.concatenate([[0], np.cumsum(words.folded > 57)])  # letters; a number says nothing about a language
+    some = spoken[words.end] > spoken[words.start]
+    first = np.concatenate([[0], np.cumsum(some)])[words.first]
+    n = np.diff(first)
+    if not some.any():
         return np.zeros((len(texts), k)), np.zeros(len(texts)), n
-    p, top = word_likelihoods(words, model)
-    scale = segments(top, words.first, np.add)
-    pi, ll = em(p, words.first, np.ones((len(texts), k)))
+    p, top = (x[some] for x in word_likelihoods(words, model))
+    scale = segments(top, first, np.add)
+    pi, ll = em(p, first, np.ones((len(texts), k)))
     small = (pi < MIN_SHARE) & (pi < pi.max(1, keepdims=True))
     active = np.flatnonzero(n)
     allowed = (~small).astype(np.float64)
-    rows, start = _rows(words.first, active)
+    rows, start = _rows(first, active)
     pi[active], ll[active] = em(p[rows], start, allowed[active])
     while True:
         active = active[allowed[active].sum(1) > 1]
@@ -128,7 +131,7 @@ def mixtures(texts: list[str], model: Languages) -> tuple[np.ndarray, np.ndarray
         less = allowed[active]
         share = np.where(less > 0, pi[active], np.inf)
         less[np.arange(len(active)), share.argmin(1)] = 0
-        rows, start = _rows(words.first, active)
+        rows, start = _rows(first, active)
         new_pi, new_ll = em(p[rows], start, less)
         better = new_ll + PENALTY * np.log(n[active] + 1) >= ll[active]
         active = active[better]
@@ -145,7 +148,7 @@ def identified(docs: DataFrame, model: Languages) -> DataFrame:
     """``(doc_id, text)`` -> doc_id, main_lang, languages, shares, score, accepted: a row for each row of ``docs``.
 
     Languages stand by falling share, by name in a tie; shares are rounded to 4 places. ``score`` is the mean
-    tempered log-likelihood a word. Texts without words (null, empty, signs only) have no language, main_lang
+    tempered log-likelihood a word. Texts without words of letters (null, empty, signs and numbers only) have no language, main_lang
     ``und``, and aren't accepted. Without any labelled row there is no model and everything is accepted as
     ``und``. Repeated rows come out alike, a null doc_id is kept, other columns are ignored.
     """
