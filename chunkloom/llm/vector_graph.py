@@ -7,8 +7,14 @@ greedy search runs from the medoid over the united lists, and from what it finds
 is expanded, neighbour by neighbour, until nothing within the radius is new. Cosines are computed again in
 double precision before a pair counts.
 
+Dense groups don't go into the graphs, since one of many shards would scatter its pairs. Where the sample
+shows at least half a shard of vectors within the radius of one of them, that one becomes a leader, and all
+within its radius are compared with everything that the triangle inequality lets them reach, block by block.
+Their pairs are counted but not written; a vector is linked to the leaders whose members it is near to.
+
 The search is audited: AUDIT vectors are compared with all others by brute force, and as long as less than
-RECALL of their partners were found, everything is repeated with one more shard a vector and twice the beam.
+RECALL of their partners were found, on the mean over the vectors that have any, everything is repeated with
+one more shard a vector and twice the beam. After ROUNDS of this the pairs are sought by brute force.
 
 Shards hold about SHARD vectors whatever the size of the table; the centroids, one per SHARD vectors, are
 what is broadcast, and SHARD grows where they would take more than CENTROID_BYTES.
@@ -16,6 +22,8 @@ what is broadcast, and SHARD grows where they would take more than CENTROID_BYTE
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +42,9 @@ BATCH = 256
 AUDIT, RECALL, ROUNDS = 512, 0.95, 4
 SAMPLE = 16384  #: vectors that the centroids are fitted on, at most
 CENTROID_BYTES = 32 << 20
+BLOCK_BYTES, TILE = 32 << 20, 1 << 20  #: vectors broadcast at once for comparisons with all; cosines held at once
+
+log = logging.getLogger(__name__)
 
 
 def centroids(x: np.ndarray, k: int, seed: int = 3, rounds: int = 8) -> np.ndarray:
@@ -264,19 +275,50 @@ def _assign(v: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
     return v.mapInArrow(run, "shard bigint, id bigint, v array<float>")
 
 
-def _brute(v: DataFrame, queries: tuple[np.ndarray, np.ndarray], cosine: float) -> DataFrame:
+def _brute(v: DataFrame, queries: tuple[np.ndarray, np.ndarray], cosine: float, once: bool = False) -> DataFrame:
+    """Pairs of the queries with all of ``v``; with ``once`` only those whose query has the smaller id."""
     shared = v.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
-        q_ids, q = shared.value
+        q_ids, q = shared.value[0], _unit(shared.value[1].astype(np.float64))
+        step = max(1, TILE // max(1, len(q_ids)))
         for batch in batches:
-            s = _unit(_matrix(batch.column(1))) @ q.T
-            r, c = np.nonzero(s >= cosine)
-            ids = batch.column(0).to_numpy()[r]
-            keep = ids != q_ids[c]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, q_ids[c])[keep]), pa.array(np.maximum(ids, q_ids[c])[keep])], ["a", "b"])
+            x, all_ids = _unit(_matrix(batch.column(1))), batch.column(0).to_numpy()
+            for at in range(0, len(x), step):
+                s = x[at : at + step] @ q.T
+                r, c = np.nonzero(s >= cosine)
+                ids, sim = all_ids[at + r], s[r, c]
+                keep = ids > q_ids[c] if once else ids != q_ids[c]
+                lo, hi = np.minimum(ids, q_ids[c])[keep], np.maximum(ids, q_ids[c])[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(sim[keep])], ["a", "b", "cosine"])
+
+    return v.mapInArrow(run, "a bigint, b bigint, cosine double")
+
+
+def _blocks(v: DataFrame, n: int, dim: int):
+    """The ``n`` rows of ``v`` on the driver, in tables of about BLOCK_BYTES."""
+    parts = max(1, -(-n * dim * 4 // BLOCK_BYTES))
+    for k in range(parts):
+        yield v.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts)) == k).toArrow()
+
+
+def all_pairs(v: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """``near_pairs`` by brute force."""
+    n, dim = v.count(), v.select(F.size("v")).first()[0]
+    found = None
+    for t in _blocks(v.select("id", "v"), n, dim):
+        if t.num_rows:
+            pairs = cut(_brute(v, (t.column("id").to_numpy(), _matrix(t.column("v")).astype(np.float32)), cosine, True))
+            found = pairs if found is None else found.unionByName(pairs)
+    return found
+
 
-    return v.mapInArrow(run, "a bigint, b bigint").distinct()
+def _recall(true: DataFrame, found: DataFrame, audited: DataFrame) -> float:
+    """The share of its partners that an audited vector was given, on the mean over those that have any."""
+    hit = true.join(found.select("a", "b", F.lit(1.0).alias("hit")), ["a", "b"], "left")
+    each = hit.select(F.explode(F.array("a", "b")).alias("id"), F.coalesce("hit", F.lit(0.0)).alias("hit")).join(F.broadcast(audited), "id")
+    mean = each.groupBy("id").agg(F.avg("hit").alias("r")).agg(F.avg("r")).first()[0]
+    return 1.0 if mean is None else mean
 
 
 def near_pairs(v: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
@@ -293,8 +335,9 @@ def near_pairs(v: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> Data
     few = bounded_sample(v, "id", AUDIT, 1).orderBy("id").toPandas()
     true = None
     if len(few):
-        q = few["id"].to_numpy(np.int64), _unit(np.stack(few["v"]).astype(np.float64))
-        true = cut(_brute(v, q, cosine))
+        q = few["id"].to_numpy(np.int64), np.stack(few["v"]).astype(np.float32)
+        true = cut(_brute(v, q, cosine).select("a", "b").distinct())
+        audited = spark.createDataFrame([(int(i),) for i in q[0]], "id bigint")
     overlap, beam = OVERLAP, BEAM
     for _ in range(ROUNDS):
         members = cut(_assign(v, c, overlap))
@@ -303,12 +346,101 @@ def near_pairs(v: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> Data
         found = members.join(lists, "id").select("shard", "id", "v", "out").groupBy("shard").applyInArrow(_search(cosine, beam), "a bigint, b bigint, cosine double")
         found = cut(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
         if true is None:
-            break
-        want = true.count()
-        if not want or true.join(found, ["a", "b"], "left_semi").count() >= RECALL * want:
-            break
+            return found
+        recall = _recall(true, found, audited)
+        if recall >= RECALL:
+            return found
+        log.warning("graph search found %.3f of the audited partners with %d shards a vector and beam %d", recall, overlap, beam)
         overlap, beam = overlap + 1, 2 * beam
-    return found
+    log.warning("graph search stays below %.2f: %d vectors are compared by brute force", RECALL, n)
+    return all_pairs(v, cosine)
+
+
+def leaders(x: np.ndarray, n: int, cosine: float, dense: int) -> np.ndarray:
+    """Rows of the unit vectors x, a sample of n, near which about ``dense`` of the n lie; none near another one."""
+    y = x.astype(np.float32)
+    count = np.concatenate([(y[a : a + 512] @ y.T >= cosine).sum(1) for a in range(0, len(y), 512)])
+    left = np.flatnonzero(count >= max(3, dense * len(x) / n))
+    left, out = left[np.argsort(-count[left], kind="stable")], []
+    while len(left):
+        out.append(left[0])
+        left = left[1:][x[left[1:]] @ x[left[0]] < cosine]
+    return np.array(out, np.int64)
+
+
+def _home(v: DataFrame, lead: np.ndarray, cosine: float) -> DataFrame:
+    """``(id, v, w)`` and the nearest leader within the cosine, -1 where there is none."""
+    shared = v.sparkSession.sparkContext.broadcast(lead)
+
+    def run(batches):
+        for batch in batches:
+            s = _unit(_matrix(batch.column(1))) @ shared.value.T
+            home = np.where(s.max(1) >= cosine, s.argmax(1), -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home)], ["id", "v", "w", "home"])
+
+    return v.mapInArrow(run, "id bigint, v array<float>, w bigint, home bigint")
+
+
+def _against(v: DataFrame, block: pa.Table, lead: np.ndarray, lead_ids: np.ndarray, cosine: float) -> DataFrame:
+    """All of ``v`` against a block of members: ``near`` counts to be added up, and leaders of members that are near."""
+    block = block.sort_by("home")
+    q = _matrix(block.column("v")).astype(np.float32)
+    shared = v.sparkSession.sparkContext.broadcast((q, *(block.column(k).to_numpy() for k in ("id", "w", "home")), lead, lead_ids))
+    # two radii from the leader: no member is near to what lies beyond
+    reach = np.cos(min(np.pi, 2 * np.arccos(np.clip(cosine, -1, 1)))) - 1e-9
+
+    def rows(ids, near, leader=None):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.int64()), pa.array(leader, pa.int64()) if leader is not None else pa.nulls(len(ids), pa.int64())], ["id", "near", "leader"])
+
+    def run(batches):
+        q, ids, w, home, lead, lead_ids = shared.value
+        q, w, total = _unit(q.astype(np.float64)), w.astype(np.float64), np.zeros(len(ids))
+        first = np.searchsorted(home, np.arange(len(lead) + 1))
+        for batch in batches:
+            x, x_ids, x_w = _unit(_matrix(batch.column(1))), batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.float64)
+            to_lead, own = x @ lead.T, np.zeros(len(x))
+            for k in np.flatnonzero(np.diff(first)):
+                a, b = first[k], first[k + 1]
+                reached = np.flatnonzero(to_lead[:, k] >= reach)
+                step = max(1, TILE // (b - a))
+                for at in range(0, len(reached), step):
+                    r = reached[at : at + step]
+                    hit = ((x[r] @ q[a:b].T >= cosine) & (x_ids[r][:, None] != ids[a:b])).astype(np.float64)
+                    total[a:b] += x_w[r] @ hit
+                    own[r] += hit @ w[a:b]
+                    linked = x_ids[r][hit.any(1)]
+                    yield rows(linked, np.zeros(len(linked), np.int64), np.full(len(linked), lead_ids[k]))
+            lone = (batch.column(3).to_numpy() < 0) & (own > 0)  # members are counted from their own side
+            yield rows(x_ids[lone], own[lone].astype(np.int64))
+        yield rows(ids[total > 0], total[total > 0].astype(np.int64))
+
+    return v.mapInArrow(run, "id bigint, near bigint, leader bigint")
+
+
+def dense_groups(v: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """``(id, v, w)`` -> the vectors of no dense group, and of the pairs with a member of one: ``(id, near)`` by weight w, and ``(a, b)`` links."""
+    n, dense = v.count(), max(2, shard // 2)
+    if n < dense:
+        return v, None, None
+    sample = bounded_sample(v.select("id", "v"), "id", SAMPLE).orderBy("id").toPandas()
+    if not len(sample):
+        return v, None, None
+    x = _unit(np.stack(sample["v"]).astype(np.float64))
+    at = leaders(x, n, cosine, dense)
+    if not len(at):
+        return v, None, None
+    lead, lead_ids = x[at], sample["id"].to_numpy(np.int64)[at]
+    v = cut(_home(v.select("id", "v", "w"), lead, cosine))
+    members = v.where("home >= 0")
+    met = None
+    for block in _blocks(members, members.count(), x.shape[1]):
+        if block.num_rows:
+            got = cut(_against(v, block, lead, lead_ids, cosine))
+            met = got if met is None else met.unionByName(got)
+    own = v.sparkSession.createDataFrame(list(enumerate(lead_ids.tolist())), "home bigint, leader bigint")
+    stars = members.join(F.broadcast(own), "home").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    links = met.where("leader is not null").select(F.col("id").alias("a"), F.col("leader").alias("b")).union(stars)
+    return v.where("home < 0"), met.groupBy("id").agg(F.sum("near").alias("near")), links.where("a <> b").distinct()
 
 
 def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
@@ -327,11 +459,16 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE, shard:
     ok = F.coalesce(good & (F.size("v") == F.lit(size[0] if size else 0)), F.lit(False))
     exact = e.where(ok).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.collect_list("id").alias("ids"))
     exact = cut(exact)
-    pairs = near_pairs(exact.select(F.col("rep").alias("id"), "v"), cosine, shard)
+    rest, near_dense, links = dense_groups(exact.select(F.col("rep").alias("id"), "v", F.col("times").alias("w")), cosine, shard)
+    pairs = near_pairs(rest.select("id", "v"), cosine, shard)
     sides = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     times = exact.select(F.col("rep").alias("other"), F.col("times").alias("more"))
-    near = sides.join(times, "other").groupBy("rep").agg(F.sum("more").alias("near"))
-    groups = connected_components(pairs.select("a", "b")).withColumnRenamed("id", "rep")
+    near = sides.join(times, "other").select("rep", F.col("more").alias("near"))
+    edges = pairs.select("a", "b")
+    if links is not None:
+        near, edges = near.union(near_dense.select("id", "near")), edges.union(links)
+    near = near.groupBy("rep").agg(F.sum("near").alias("near"))
+    groups = connected_components(edges).withColumnRenamed("id", "rep")
     out = exact.join(near, "rep", "left").join(groups, "rep", "left")
     out = out.select(F.explode("ids").alias("vec_id"), F.coalesce("component", "rep").alias("group_id"), (F.coalesce("near", F.lit(0)) + F.col("times") - 1).alias("n_near"))
     lone = e.where(~ok).select(F.col("id").alias("vec_id"), F.col("id").alias("group_id"), F.lit(0).cast("bigint").alias("n_near"))

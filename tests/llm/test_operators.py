@@ -282,3 +282,52 @@ def test_vector_groups_against_brute_force(spark):
     assert sum(min(got[i].n_near, near[i]) for i in ids) >= 0.9 * near[ids].sum()
     assert all(got[i].n_near <= near[i] + 1 for i in ids)
     assert vector_graph.near_duplicate_vectors(df.where("false")).count() == 0
+
+
+def _exact_groups(x):
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= vector_graph.COSINE
+    group = np.arange(len(x))
+    while (low := np.where(near, group, len(x)).min(1)).tolist() != group.tolist():
+        group = low
+    return near.sum(1) - 1, group
+
+
+def test_vector_groups_of_many_shards_are_exact(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16))
+    one, two = x[0] + 0.1 * rng.normal(size=(600, 16)), x[1] + 0.17 * rng.normal(size=(400, 16))  # dense, and looser than the radius
+    x = np.concatenate([x, one, two, x[:20] + 0.3 * rng.normal(size=(20, 16)), one[:9]])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    near, group = _exact_groups(x)
+    got = {r.vec_id: r for r in vector_graph.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), shard=64).collect()}
+    assert near[300:900].min() > 500  # a group of about ten shards
+    wrong = [i for i in range(len(x)) if got[i].n_near != near[i] or got[i].group_id != group[i]]
+    assert not [i for i in wrong if near[i] >= 64] and len(wrong) <= 0.01 * len(x)
+
+
+def test_vector_search_that_stays_below_its_recall_ends_in_brute_force(spark, monkeypatch):
+    def blind(cosine, beam):
+        import pyarrow as pa
+
+        return lambda table: pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+
+    monkeypatch.setattr(vector_graph, "_search", blind)
+    monkeypatch.setattr(vector_graph, "ROUNDS", 1)
+    monkeypatch.setattr(vector_graph, "BLOCK_BYTES", 2000)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 16))
+    x = np.concatenate([x, x[:30] + 0.03 * rng.normal(size=(30, 16))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    near, group = _exact_groups(x)
+    got = {r.vec_id: r for r in vector_graph.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    assert all(got[i].n_near == near[i] and got[i].group_id == group[i] for i in range(len(x)))
+
+
+def test_vector_recall_counts_each_vector_once(spark):
+    pairs = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    group = list(itertools.combinations(range(20), 2))
+    true, audited = pairs([*group, (30, 31), (32, 33)]), spark.createDataFrame([(i,) for i in [*range(20), 30, 32]], "id bigint")
+    assert abs(vector_graph._recall(true, pairs(group), audited) - 20 / 22) < 1e-9  # 190 of 192 pairs
+    assert vector_graph._recall(true.where("false"), pairs(group), audited) == 1
