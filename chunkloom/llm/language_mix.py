@@ -3,8 +3,9 @@
 A document's words count where they have a letter. Per language, smoothed frequencies of boundary-padded character trigrams come from labelled documents
 (bounded sample of SAMPLE rows a language); a further component ``und`` gives every trigram the same small
 probability. A document is a bag of words drawn from a mixture of languages; EM estimates the proportions.
-The language set is chosen by penalised likelihood: starting from all languages of at least MIN_SHARE, the
-one of the smallest share is taken out as long as that raises log-likelihood - PENALTY * |set| * log(words).
+The language set is chosen by penalised likelihood: starting from all languages, each in turn, the one of the
+smallest share first, is taken out if that raises log-likelihood - PENALTY * |set| * log(words). EM runs until
+a bound on what is left to gain falls below GAIN, or for ROUNDS * REPEATS rounds.
 
 One scan: EM runs for all the documents of an Arrow slice at once, over a words x languages matrix.
 """
@@ -25,7 +26,7 @@ SAMPLE = 1500  #: labelled documents a language at most, about
 BITS, SIZES = 16, (3,)
 TEMPER = 0.5  #: overlapping trigrams aren't independent
 SMOOTHING, UNKNOWN = 0.02, 2e-6  #: added to each trigram's count; probability of a trigram in ``und``
-ROUNDS, PENALTY, MIN_SHARE = 8, 1.0, 0.02
+ROUNDS, REPEATS, GAIN, PENALTY = 8, 8, 0.5, 1.0
 REJECT = 0.5  #: share of ``und`` above which a document is in no known language
 UND = "und"
 
@@ -86,19 +87,34 @@ def word_likelihoods(words: Words, model: Languages) -> tuple[np.ndarray, np.nda
     return np.exp(logs - top[:, None]).astype(np.float32)[g.inverse], top[g.inverse]
 
 
-def em(p: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (documents, languages) within the allowed sets, and each document's log-likelihood under them."""
+def em(p: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS, pi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions (documents, languages) within the allowed sets, from ``pi`` on if given; each document's log-likelihood under them; what more rounds can add to it at most."""
     n = np.diff(first)
-    pi = allowed / np.maximum(allowed.sum(1, keepdims=True), 1)
+    pi = allowed / np.maximum(allowed.sum(1, keepdims=True), 1) if pi is None else pi
     doc = np.repeat(np.arange(len(n)), n)
     for _ in range(rounds):
+        old = pi
         r = p * pi.astype(np.float32)[doc]
         s = r.sum(1)
         r /= np.maximum(s, 1e-37)[:, None]
         pi = segments(r, first, np.add).astype(np.float64)
         pi /= np.maximum(pi.sum(1, keepdims=True), 1e-37)
     s = np.maximum((p * pi.astype(np.float32)[doc]).sum(1), 1e-37)
-    return pi, segments(np.log(s).astype(np.float64), first, np.add)
+    # the log-likelihood is concave: no proportions gain more than n times the log of the largest step
+    step = np.divide(pi, old, out=np.zeros_like(pi), where=old > 0).max(1)
+    return pi, segments(np.log(s).astype(np.float64), first, np.add), n * np.log(np.maximum(step, 1))
+
+
+def settled(p: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``em`` until no document has more than GAIN left, REPEATS times at most."""
+    pi, ll, left = em(p, first, allowed)
+    for _ in range(REPEATS - 1):
+        more = np.flatnonzero(left > GAIN)
+        if not len(more):
+            break
+        rows, start = _rows(first, more)
+        pi[more], ll[more], left[more] = em(p[rows], start, allowed[more], pi=pi[more])
+    return pi, ll
 
 
 def _rows(first: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,24 +134,22 @@ def mixtures(texts: list[str], model: Languages) -> tuple[np.ndarray, np.ndarray
         return np.zeros((len(texts), k)), np.zeros(len(texts)), n
     p, top = (x[some] for x in word_likelihoods(words, model))
     scale = segments(top, first, np.add)
-    pi, ll = em(p, first, np.ones((len(texts), k)))
-    small = (pi < MIN_SHARE) & (pi < pi.max(1, keepdims=True))
-    active = np.flatnonzero(n)
-    allowed = (~small).astype(np.float64)
-    rows, start = _rows(first, active)
-    pi[active], ll[active] = em(p[rows], start, allowed[active])
+    allowed = np.ones((len(texts), k))
+    pi, ll = settled(p, first, allowed)
+    open_, active = allowed > 0, np.flatnonzero(n)  # languages that nothing was decided about
     while True:
-        active = active[allowed[active].sum(1) > 1]
+        active = active[(allowed[active].sum(1) > 1) & open_[active].any(1)]
         if not len(active):
             break
         less = allowed[active]
-        share = np.where(less > 0, pi[active], np.inf)
-        less[np.arange(len(active)), share.argmin(1)] = 0
+        least = np.where(open_[active], pi[active], np.inf).argmin(1)
+        less[np.arange(len(active)), least] = 0
+        open_[active, least] = False
         rows, start = _rows(first, active)
-        new_pi, new_ll = em(p[rows], start, less)
+        new_pi, new_ll = settled(p[rows], start, less)
         better = new_ll + PENALTY * np.log(n[active] + 1) >= ll[active]
-        active = active[better]
-        allowed[active], pi[active], ll[active] = less[better], new_pi[better], new_ll[better]
+        went = active[better]
+        allowed[went], pi[went], ll[went] = less[better], new_pi[better], new_ll[better]
     pi[n == 0] = 0
     return pi, (ll + scale) / np.maximum(n, 1), n
 

@@ -331,3 +331,22 @@ def test_vector_recall_counts_each_vector_once(spark):
     true, audited = pairs([*group, (30, 31), (32, 33)]), spark.createDataFrame([(i,) for i in [*range(20), 30, 32]], "id bigint")
     assert abs(vector_graph._recall(true, pairs(group), audited) - 20 / 22) < 1e-9  # 190 of 192 pairs
     assert vector_graph._recall(true.where("false"), pairs(group), audited) == 1
+
+
+def test_language_of_a_small_share_stays_in_a_long_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = language_mix.fit(docs)
+    words = {}
+    for r in docs.where("text is not null").orderBy("doc_id").collect():
+        words.setdefault(r.lang, []).extend(r.text.split())
+    long = " ".join((words["de"] * 20)[:20000] + words["es"][:120])
+    pi, _, n = language_mix.mixtures([long], m)
+    share = dict(zip(m.names, pi[0]))
+    assert share["de"] > 0.95 and 0.003 < share["es"] < 0.02
+    # taking it out costs more likelihood than the penalty gives
+    w = Words([long])
+    p, _ = language_mix.word_likelihoods(w, m)
+    sets = np.repeat((pi > 0).astype(float), 2, 0)
+    sets[1, m.names.index("es")] = 0
+    both, less = (language_mix.em(p, w.first, s[None], 60)[1][0] for s in sets)
+    assert both - less > language_mix.PENALTY * np.log(n[0] + 1)
