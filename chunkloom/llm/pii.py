@@ -1,6 +1,6 @@
 """Operator 9: format-preserving Feistel pseudonyms for validated personal data.
 
-A found value is checked (Luhn digit, mod-97, calendar, octet and area-code ranges), turned into a number
+A found value is checked (Luhn digit, mod-97, calendar, octet ranges, the written form of a phone), turned into a number
 of its domain, permuted there by an alternating Feistel network keyed per kind, and written back in the
 same format: digits stay digits, letters letters, separators and check digits stay right. The permutation
 depends on the value alone, never on place or punctuation, so equal values stay linked across documents;
@@ -127,13 +127,10 @@ def _phone(m, key):
     digits = re.sub(r"\D", "", m)
     body = digits[-10:]
     if len(digits) in (10, 11) and (len(digits) == 10 or digits[0] == "1") and "+" not in m.replace("+1", "", 1):
-        loose = body[0] >= "2"
         if _nanp(int(body)):
             return _fill(m, digits[:-10] + f"{moved(int(body), 10**10, key, 'phone', _nanp):010d}")
-        if not loose:
-            return None
-        valid = lambda v: f"{v:010d}"[0] >= "2" and not _nanp(v)
-        return _fill(m, digits[:-10] + f"{moved(int(body), 10**10, key, 'phone-loose', valid):010d}")
+        # written as a phone, though no such area or exchange exists: permuted among its like
+        return _fill(m, digits[:-10] + f"{moved(int(body), 10**10, key, 'phone-loose', lambda v: not _nanp(v)):010d}")
     if m.lstrip().startswith("+") and 8 <= len(digits) <= 15:
         cc = 1 if digits[0] in "17" else 2
         rest, n = digits[cc:], 10 ** (len(digits) - cc)

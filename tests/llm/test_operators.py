@@ -350,3 +350,15 @@ def test_language_of_a_small_share_stays_in_a_long_text(spark, sf):
     sets[1, m.names.index("es")] = 0
     both, less = (language_mix.em(p, w.first, s[None], 60)[1][0] for s in sets)
     assert both - less > language_mix.PENALTY * np.log(n[0] + 1)
+
+
+def test_pii_phones_of_any_area_code():
+    seen = set()
+    for phone in ("+1 (017) 555-7713", "+1 (171) 555-2028", "+1 (211) 555-2028", "(099) 123-4567", "017-555-7713", "+10175557713", "+1 (499) 055-6503"):
+        out, kinds = pii.scrub(f"call {phone} now")
+        assert kinds == ["phone"] and phone not in out
+        new = out[5:-4]
+        assert len(new) == len(phone) and [c for c in new if not c.isdigit()] == [c for c in phone if not c.isdigit()]
+        assert not pii._nanp(int("".join(c for c in new if c.isdigit())[-10:]))
+        seen.add("".join(c for c in new if c.isdigit())[-10:])
+    assert len(seen) == 5  # three of the seven are notations of one number
