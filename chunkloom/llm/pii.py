@@ -23,6 +23,7 @@ from chunkloom.llm._frames import replacing, slices
 
 KEY = b"replace this key"  #: default of the queries; give a secret one in production
 ROUNDS = 10
+CHUNK = 64  #: signs of a value that are permuted together
 
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -32,6 +33,7 @@ def feistel(x: int, a: int, b: int, key: bytes, kind: str) -> int:
     left, right = divmod(x, b)
     for r in range(ROUNDS):
         other = right if r % 2 == 0 else left
+        # values of by_class are at most CHUNK signs, so the digest never exceeds 64 bytes
         h = hashlib.blake2b(f"{kind}|{a}|{b}|{r}|{other}".encode(), key=key[:64], digest_size=16 + (a * b).bit_length() // 8)
         f = int.from_bytes(h.digest(), "big")
         if r % 2 == 0:
@@ -87,7 +89,18 @@ _RADIX = (("0123456789", "0-9"), ("abcdefghijklmnopqrstuvwxyz", "a-z"), ("ABCDEF
 
 
 def by_class(value: str, key: bytes, kind: str, classes=None) -> str:
-    """Letters and digits permuted together, each within its class; other signs stay."""
+    """Letters and digits permuted together, each within its class; other signs stay.
+
+    Longer values go by CHUNK signs, each under a key of all that stands before it, which keeps different
+    values apart and takes time in proportion to the length.
+    """
+    if len(value) > CHUNK:
+        before, out = hashlib.blake2b(digest_size=16), []
+        for a in range(0, len(value), CHUNK):
+            part = value[a : a + CHUNK]
+            out.append(by_class(part, key, f"{kind}|{before.hexdigest()}" if a else kind, classes))
+            before.update(part.encode("utf-8", "surrogatepass"))
+        return "".join(out)
     sets = classes or [s for s, _ in _RADIX]
     x, n, places = 0, 1, []
     for c in value:
@@ -165,6 +178,28 @@ def _iban(m, key):
     return "".join(" " if c == " " else next(it) for c in m)
 
 
+#: Lengths by country, without spaces.
+_IBAN_CHARS = {
+    k: n
+    for n, all_of in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for k in all_of.split()
+}
+
+
+def _own_iban(m: str) -> str:
+    """The part of a match that is as long as its country's IBANs and valid; where there is none, all of it."""
+    ends = [i + 1 for i, c in enumerate(m) if c != " "]
+    size = _IBAN_CHARS.get(m[:2], len(ends))
+    if len(ends) > size and m[ends[size - 1]] == " ":
+        plain = m[: ends[size - 1]].replace(" ", "")
+        if _mod97(plain[:2], plain[4:]) == plain[2:4]:
+            return m[: ends[size - 1]]
+    return m
+
+
 _MONTHS = {name.lower(): i for i, name in enumerate(calendar.month_name) if name} | {name.lower(): i for i, name in enumerate(calendar.month_abbr) if name}
 
 
@@ -234,7 +269,7 @@ _KINDS = {"email": _email, "secret": _secret, "aws": _aws, "iban": _iban, "ip":
 #: Every alternative starts at a letter or digit of its own; the scan meets each sign once.
 _FINDER = re.compile(
     r"(?<![\w.@+-])(?P<email>[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})"
-    r"|(?<!\w)(?P<secret>(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{8,128})"
+    r"|(?<!\w)(?P<secret>(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_.-][^\s\"']{6,}[A-Za-z0-9+/_=-])"
     r"|(?<!\w)(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})(?!\w)"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"
@@ -257,15 +292,18 @@ def scrub(text: str | None, key: bytes = KEY) -> tuple[str | None, list[str]]:
     """The text with every validated value replaced, and the kinds found in their order."""
     if not text or not ("=" in text or ":" in text or _DIGIT.search(text)):
         return text, []
-    out, at, kinds = [], 0, []
-    for m in _FINDER.finditer(text):
-        kind = m.lastgroup
-        new = pseudonym(kind, m.group(), key)
+    out, at, kinds, scan = [], 0, [], 0
+    while m := _FINDER.search(text, scan):
+        kind, value = m.lastgroup, m.group()
+        if kind == "iban":
+            value = _own_iban(value)
+        scan = m.start() + len(value)
+        new = pseudonym(kind, value, key)
         if new is None:
             continue
         out += text[at : m.start()], new
         kinds.append(kind)
-        at = m.end()
+        at = scan
     out.append(text[at:])
     return "".join(out), kinds
 

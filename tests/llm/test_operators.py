@@ -362,3 +362,20 @@ def test_pii_phones_of_any_area_code():
         assert not pii._nanp(int("".join(c for c in new if c.isdigit())[-10:]))
         seen.add("".join(c for c in new if c.isdigit())[-10:])
     assert len(seen) == 5  # three of the seven are notations of one number
+
+
+def test_pii_secrets_and_ibans_in_full():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    for value in ("q7Rk" * 100, "z" * 90, jwt, "ab12!cd34%ef56", "x9" * 3000):
+        for text in (f"token={value} end", f'secret: "{value}" end.'):
+            out, kinds = pii.scrub(text)
+            new = out.split("=", 1)[1].split(" ")[0] if "=" in text[:6] else out.split('"')[1]
+            assert kinds == ["secret"] and len(out) == len(text) and out.endswith(text[-4:])
+            assert all(value[a : a + 40] != new[a : a + 40] for a in range(0, len(value), 40))
+    assert pii.scrub("password: welcome. Then") == ("password: welcome. Then", [])
+    for iban in ("ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874"):
+        alone = pii.scrub(iban)[0]
+        assert alone != iban
+        for after in (" EUR", " 12 EUR", " USD7", ""):
+            assert pii.scrub(iban + after) == (alone + after, ["iban"])
+    assert pii.scrub("AT61 1904 3002 3457 3201 4994 2260 2090 0891")[1] == ["iban", "card"]
