@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from chunkloom.llm._frames import free
+from chunkloom.llm._frames import free, slices
 from chunkloom.llm._text import Words, binary, chunks, mix, segments, shingles
 from chunkloom.llm.components import connected_components
 from chunkloom.plans.lineage import cut, small_side
@@ -54,13 +55,18 @@ def half_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _text_hashes(words: Words) -> list[np.ndarray]:
+    """h1 and h2 of each text: its words in their order."""
+    w, at = words.hashes(), np.arange(len(words.start)) - np.repeat(words.first[:-1], np.diff(words.first))
+    return [segments(mix(w + at.astype(np.uint64) * np.uint64(c)), words.first, np.add).view(np.int64) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
+
+
 def _signatures(batches):
     for batch, texts in chunks(batches):
         words = Words(texts)
         h, first = shingles(words, SHINGLE)
         keys = half_keys(h, first)
-        w, at = words.hashes(), np.arange(len(words.start)) - np.repeat(words.first[:-1], np.diff(words.first))
-        sums = [segments(mix(w + at.astype(np.uint64) * np.uint64(c)), words.first, np.add).view(np.int64) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
+        sums = _text_hashes(words)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.diff(words.first)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), 2 * M).cast(pa.list_(pa.int64()))],
             ["doc_id", "h1", "h2", "n_words", "keys"],
@@ -69,9 +75,18 @@ def _signatures(batches):
 
 def _sets(batches):
     for batch, texts in chunks(batches):
-        h, first = shingles(Words(texts), SHINGLE)
+        words = Words(texts)
+        h, first = shingles(words, SHINGLE)
         sets = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary(sets)], ["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, _text_hashes(words)), binary(sets)], ["doc_id", "h1", "h2", "shingles"])
+
+
+def _hashed(*names: str):
+    def run(batches):
+        for part, texts in slices(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, _text_hashes(Words([t or "" for t in texts])))], [*part.schema.names, *names])
+
+    return run
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -151,8 +166,8 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     wordless = sig.where("n_words = 0").select("doc_id", F.col("doc_id").alias("rep"))
     exact = Window.partitionBy("h1", "h2", "n_words")
     sig = sig.where("n_words > 0").withColumn("rep", F.min("doc_id").over(exact))
-    sig = cut(sig.select("doc_id", "rep", "h1", "keys"))
-    reps = sig.where("doc_id = rep").select("doc_id", "h1", "keys")
+    sig = cut(sig.select("doc_id", "rep", "h1", "h2", "keys"))
+    reps = sig.where("doc_id = rep").select("doc_id", "h1", "h2", "keys")
     # the tables: each distinct text at M * M keys; buckets of one vanish in the window's filter
     table = F.explode(F.flatten(F.array(*[F.array(*[F.xxhash64(F.lit(i * M + j), F.col("keys")[i], F.col("keys")[M + j]) for j in range(M)]) for i in range(M)])))
     keyed = reps.select("doc_id", table.alias("key"))
@@ -163,11 +178,11 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     groups = sig.select("doc_id", "rep")
     if n_loose:
         # a repeated doc_id may have several texts: the signature's hash says which one is meant
-        members = reps.join(loose.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "keys", "component")
+        members = reps.join(loose.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "h1", "h2", "keys", "component")
         near = d.join(small_side(loose.select(F.col("id").alias("doc_id")), n_loose), "doc_id", "left_semi")
-        sets = near.mapInArrow(_sets, "doc_id bigint, shingles binary")
-        sets = sets.groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
-        members = cut(members.join(sets, "doc_id"))
+        sets = near.mapInArrow(_sets, "doc_id bigint, h1 bigint, h2 bigint, shingles binary")
+        sets = sets.groupBy("doc_id", "h1", "h2").agg(F.min("shingles").alias("shingles"))
+        members = cut(members.join(sets, ["doc_id", "h1", "h2"]))
         blocks = members.groupBy("component").agg(F.ceil(F.sum(F.length("shingles") + 256) / F.lit(BLOCK_BYTES / 2)).cast("int").alias("blocks"))
         members = members.join(blocks, "component")
         mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -183,10 +198,10 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each group left, all columns kept.
 
-    Of rows that repeat a kept doc_id one stays (that of the smallest text hash). Rows with a null doc_id
+    Of rows that repeat a kept doc_id one stays (that of the smallest hash, whose text was compared). Rows with a null doc_id
     stay: they can't be told apart by id. Empty texts stay unless their doc_id repeats.
     """
-    gone_id, again_id, number = free(docs, "gone", "again", "number")
+    gone_id, again_id, number, h1, h2 = free(docs, "gone", "again", "number", "h1", "h2")
     groups = cut(near_duplicate_groups(docs))
     gone = groups.where(~F.col("is_kept")).select(F.col("doc_id").alias(gone_id))
     n_gone = gone.count()
@@ -199,8 +214,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     repeats = small_side(ids, n_again)
     twice = kept.join(repeats, F.col("doc_id") == F.col(again_id), "left_semi")
     once = kept.join(repeats, F.col("doc_id") == F.col(again_id), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-    return once.unionByName(twice.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number))
+    twice = twice.mapInArrow(_hashed(h1, h2), StructType([*twice.schema.fields, StructField(h1, LongType()), StructField(h2, LongType())]))
+    first = Window.partitionBy("doc_id").orderBy(h1, h2, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return once.unionByName(twice.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number, h1, h2))
 
 
 def op7_near_dup(spark, sf_dir: str) -> DataFrame:

@@ -379,3 +379,18 @@ def test_pii_secrets_and_ibans_in_full():
         for after in (" EUR", " 12 EUR", " USD7", ""):
             assert pii.scrub(iban + after) == (alone + after, ["iban"])
     assert pii.scrub("AT61 1904 3002 3457 3201 4994 2260 2090 0891")[1] == ["iban", "card"]
+
+
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    r = random.Random(8)
+    text = lambda: [f"w{r.randrange(10**6)}" for _ in range(40)]
+    rows, pairs = [], {}
+    for i in range(16):
+        a, b = text(), text()
+        pairs[i] = " ".join(a), " ".join(b)
+        rows += [(i, pairs[i][0]), (i, pairs[i][1]), (100 + i, " ".join(["new", *a[1:]])), (200 + i, " ".join(["new", *b[1:]]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {x.doc_id: x.text for x in near_dup.drop_near_duplicates(docs).collect()}
+    for i, (a, b) in pairs.items():
+        # the copy of the text that stays goes, the copy of the other one doesn't
+        assert (100 + i in kept, 200 + i in kept) == ((False, True) if kept[i] == a else (True, False))
