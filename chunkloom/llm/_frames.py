@@ -10,6 +10,8 @@ from pyspark.sql.types import StructType
 
 from chunkloom.llm._text import CHUNK_CHARS
 
+TASKS = 1 << 16  #: partitions at most of a shuffle by shard
+
 
 def free(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``df`` has, whatever the case."""
@@ -42,3 +44,8 @@ def replacing(df: DataFrame, column: str, kernel: Callable[[list[str | None]], l
             yield part.set_column(i, part.schema.field(i), pa.array(kernel(texts), part.schema.field(i).type))
 
     return df.mapInArrow(run, StructType(df.schema.fields))
+
+
+def spread(df: DataFrame, shard: str, shards: int) -> DataFrame:
+    """``df`` shuffled by ``shard`` into as many partitions as there are shards, so that a task's share doesn't grow with the table."""
+    return df.repartition(max(1, min(shards, TASKS)), shard)

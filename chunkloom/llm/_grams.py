@@ -41,8 +41,10 @@ class Grams:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
-    """About ``rows`` rows of ``df``, those whose key's hash is smallest; all of them if there are fewer."""
+    """The ``rows`` rows of ``df`` whose key's hash is smallest, or all of them; no key may make it more."""
     n = df.count()
     if n <= rows:
         return df
-    return df.where(F.xxhash64(F.col(key), F.lit(seed)) < F.lit(int(-(1 << 63) + (rows / n) * (1 << 64))))
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    enough = rows + 10 * rows**0.5 + 100  # hashes below this limit are expected; what is too much is cut
+    return df.where(h < F.lit(int(min((1 << 63) - 1, -(1 << 63) + (enough / n) * (1 << 64))))).orderBy(h, key).limit(rows)

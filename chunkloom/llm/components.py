@@ -1,11 +1,18 @@
-"""Connected components by alternating large and small stars, each round a written table."""
+"""Connected components by alternating large and small stars, each round a written table.
+
+The least neighbour of a node is aggregated before anything is shuffled and joined back, so that a node which
+a third of all edges meet is no task's burden: the aggregate has one row for it, and the join's other side
+can be split.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.plans.lineage import cut
+from chunkloom.plans.lineage import cut, small_side
+
+COPIES = 1 << 20  #: copies from which on they are named by a broadcast join, not a shuffle
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -26,12 +33,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        m = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", m).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        m = F.min("b").over(Window.partitionBy("a"))
-        small = large.distinct().withColumn("m", m)
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         e = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         e = cut(e)
     return e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).select("id", "component").union(
         e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     ) if before else e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def named(own: DataFrame, copies: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``(key, *by)``, ``(*by, rep, copies)`` -> ``(key, rep)``: the representative of the copies that each row is one of.
+
+    Copies without number meet in no task: their group is broadcast, there being few such.
+    """
+    many = copies.where("copies > 1").select(*by, "rep", "copies")
+    hot = many.where(F.col("copies") > COPIES).drop("copies")
+    out, rest = [], own
+    if n_hot := hot.count():
+        hot = small_side(hot, n_hot)
+        out.append(own.join(hot, by).select(key, "rep"))
+        rest = own.join(hot, by, "left_anti")
+    out.append(rest.join(many.where(F.col("copies") <= COPIES).drop("copies"), by, "left").select(key, F.coalesce("rep", key).alias("rep")))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
