@@ -1,16 +1,16 @@
 """Operator 9: format-preserving Feistel pseudonyms for validated personal data.
 
-A found value is checked (Luhn digit, mod-97, calendar, octet ranges, the written form of a phone), turned into a number
-of its domain, permuted there by an alternating Feistel network keyed per kind, and written back in the
-same format: digits stay digits, letters letters, separators and check digits stay right. The permutation
-depends on the value alone, never on place or punctuation, so equal values stay linked across documents;
-being a bijection it keeps different values apart (but for ``moved``). Values outside a domain's valid part are walked past
-(cycle walking).
+A found value is checked (Luhn digit, mod-97, calendar, octet ranges, the written form of a phone), turned
+into a number of its domain, permuted there by an alternating Feistel network keyed per kind, and written
+back in the same format: digits stay digits, letters letters of their script, separators and check digits
+stay right. The permutation depends on the value alone, never on place or punctuation, so equal values stay
+linked across documents; being a bijection it keeps different values apart (but for ``moved``). Values
+outside a domain's valid part are walked past (cycle walking). Names of months are read and written in
+English, German, Spanish and French.
 """
 
 from __future__ import annotations
 
-import calendar
 import datetime
 import hashlib
 import re
@@ -21,21 +21,26 @@ from pyspark.sql import DataFrame
 
 from chunkloom.llm._frames import replacing, slices
 
-KEY = b"replace this key"  #: default of the queries; give a secret one in production
+KEY = b"replace this key"  #: of the query, whose result must be repeatable; ``pseudonymise`` has no default
 ROUNDS = 10
 CHUNK = 64  #: signs of a value that are permuted together
 
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+def _digest(message: bytes, size: int, key: bytes) -> int:
+    """A keyed digest of any number of bytes: blake2b, by counter beyond its 64."""
+    if size <= 64:
+        return int.from_bytes(hashlib.blake2b(message, key=key[:64], digest_size=size).digest(), "big")
+    return int.from_bytes(b"".join(hashlib.blake2b(b"%d|" % i + message, key=key[:64]).digest() for i in range(-(-size // 64))), "big")
+
+
 def feistel(x: int, a: int, b: int, key: bytes, kind: str) -> int:
     """A keyed permutation of 0 .. a * b - 1 by ROUNDS rounds that alternate between the two parts."""
     left, right = divmod(x, b)
     for r in range(ROUNDS):
         other = right if r % 2 == 0 else left
-        # values of by_class are at most CHUNK signs, so the digest never exceeds 64 bytes
-        h = hashlib.blake2b(f"{kind}|{a}|{b}|{r}|{other}".encode(), key=key[:64], digest_size=16 + (a * b).bit_length() // 8)
-        f = int.from_bytes(h.digest(), "big")
+        f = _digest(f"{kind}|{a}|{b}|{r}|{other}".encode(), 16 + (a * b).bit_length() // 8, key)
         if r % 2 == 0:
             left = (left + f) % a
         else:
@@ -85,7 +90,13 @@ def _fill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
-_RADIX = (("0123456789", "0-9"), ("abcdefghijklmnopqrstuvwxyz", "a-z"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A-Z"))
+def _letters(first: int, last: int, lower: bool) -> str:
+    return "".join(c for c in map(chr, range(first, last + 1)) if c.isalpha() and c.islower() == lower)
+
+
+#: Classes within which signs are exchanged: digits, and per script and case its letters.
+_RADIX = ["0123456789", *(_letters(a, b, low) for a, b in ((0x41, 0x7A), (0xC0, 0x24F), (0x370, 0x3FF), (0x400, 0x4FF)) for low in (True, False)), _letters(0x4E00, 0x9FFF, False), _letters(0x3040, 0x30FF, False), _letters(0xAC00, 0xD7A3, False)]
+_CLASS = {c: s for s in reversed(_RADIX) for c in s}
 
 
 def by_class(value: str, key: bytes, kind: str, classes=None) -> str:
@@ -101,10 +112,10 @@ def by_class(value: str, key: bytes, kind: str, classes=None) -> str:
             out.append(by_class(part, key, f"{kind}|{before.hexdigest()}" if a else kind, classes))
             before.update(part.encode("utf-8", "surrogatepass"))
         return "".join(out)
-    sets = classes or [s for s, _ in _RADIX]
+    sets = classes or _RADIX
     x, n, places = 0, 1, []
     for c in value:
-        s = next((s for s in sets if c in s), None)
+        s = next((s for s in sets if c in s), None) if classes else _CLASS.get(c)
         places.append(s)
         if s:
             x, n = x * len(s) + s.index(c), n * len(s)
@@ -148,6 +159,8 @@ def _phone(m, key):
         cc = 1 if digits[0] in "17" else 2
         rest, n = digits[cc:], 10 ** (len(digits) - cc)
         return _fill(m, digits[:cc] + f"{moved(int(rest), n, key, f'phone{len(digits)}'):0{len(rest)}d}")
+    if m[0] == "0" and 9 <= len(digits) <= 12:  # within a country: the first 0 stays
+        return _fill(m, "0" + f"{moved(int(digits[1:]), 10 ** (len(digits) - 1), key, f'national{len(digits)}'):0{len(digits) - 1}d}")
     return None
 
 
@@ -170,12 +183,14 @@ def _mod97(country: str, body: str) -> str:
 
 
 def _iban(m, key):
-    plain = m.replace(" ", "")
+    plain = m.replace(" ", "").upper()
     if not 15 <= len(plain) <= 34 or _mod97(plain[:2], plain[4:]) != plain[2:4]:
         return None
+    if m.upper() != m and _IBAN_CHARS.get(plain[:2]) != len(plain):  # words are written like that too
+        return None
     body = by_class(plain[4:], key, "iban" + plain[:2])
     it = iter(plain[:2] + _mod97(plain[:2], body) + body)
-    return "".join(" " if c == " " else next(it) for c in m)
+    return "".join(" " if c == " " else next(it).lower() if c.islower() else next(it) for c in m)
 
 
 #: Lengths by country, without spaces.
@@ -192,15 +207,30 @@ _IBAN_CHARS = {
 def _own_iban(m: str) -> str:
     """The part of a match that is as long as its country's IBANs and valid; where there is none, all of it."""
     ends = [i + 1 for i, c in enumerate(m) if c != " "]
-    size = _IBAN_CHARS.get(m[:2], len(ends))
+    size = _IBAN_CHARS.get(m[:2].upper(), len(ends))
     if len(ends) > size and m[ends[size - 1]] == " ":
-        plain = m[: ends[size - 1]].replace(" ", "")
+        plain = m[: ends[size - 1]].replace(" ", "").upper()
         if _mod97(plain[:2], plain[4:]) == plain[2:4]:
             return m[: ends[size - 1]]
     return m
 
 
-_MONTHS = {name.lower(): i for i, name in enumerate(calendar.month_name) if name} | {name.lower(): i for i, name in enumerate(calendar.month_abbr) if name}
+#: By language, full names and abbreviations in the order of the months.
+_NAMES = {
+    "en": ("january february march april may june july august september october november december", "jan feb mar apr may jun jul aug sep oct nov dec"),
+    "de": ("januar februar märz april mai juni juli august september oktober november dezember", "jan feb mär apr mai jun jul aug sep okt nov dez"),
+    "es": ("enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre", "ene feb mar abr may jun jul ago sep oct nov dic"),
+    "fr": ("janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "janv févr mars avr mai juin juil août sept oct nov déc"),
+}
+#: A month's name -> its number, language and form (0 full, 1 abbreviated) in each language that has it.
+_MONTHS: dict[str, list[tuple[int, str, int]]] = {}
+for _l, _forms in _NAMES.items():
+    for _k, _all in enumerate(_forms):
+        for _i, _name in enumerate(_all.split()):
+            _MONTHS.setdefault(_name, []).append((_i + 1, _l, _k))
+_MONTHS["sept"].insert(0, (9, "en", 1))
+_MONTHS["setiembre"] = [(9, "es", 0)]
+_NAMED = re.compile(r"(\d{1,2})(\.|er|st|nd|rd|th)?( de | )([^\W\d_]+)(\.?,?)( del? | )(\d{4})|([^\W\d_]+)(\.? )(\d{1,2})(st|nd|rd|th)?(,? )(\d{4})")
 
 
 def _day(year: int, month: int, day: int) -> int | None:
@@ -211,20 +241,37 @@ def _day(year: int, month: int, day: int) -> int | None:
     return x if _FIRST_DAY <= x <= _LAST_DAY else None
 
 
+def _other_day(x: int, key: bytes) -> datetime.date:
+    return datetime.date.fromordinal(_FIRST_DAY + moved(x - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, "date"))
+
+
+def _ordinal(day: int) -> str:
+    return "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+
+
 def _date(m, key):
     """Any notation of a day gives the same new day in that notation; leading zeros are kept where they were."""
-    named = re.fullmatch(r"(\d{1,2})(\.? (?:de )?)([A-Za-z]+)(\.?,? (?:de )?)(\d{4})|([A-Za-z]+)(\.? )(\d{1,2})(,? )(\d{4})", m)
-    if named:
+    if named := _NAMED.fullmatch(m):
         g = named.groups()
-        day, month, year = (g[0], g[2], g[4]) if g[0] else (g[7], g[5], g[9])
-        if month.lower() not in _MONTHS:
+        day, month, year = (g[0], g[3], g[6]) if g[0] else (g[9], g[7], g[12])
+        known = _MONTHS.get(month.lower())
+        if not known:
             return None
-        x = _day(int(year), _MONTHS[month.lower()], int(day))
+        # of languages that share a name, the one whose notation it is
+        wanted = "es" if " de" in m else "de" if g[1] == "." else "fr" if g[1] == "er" or month.islower() else "en"
+        number, language, form = next((k for k in known if k[1] == wanted), known[0])
+        x = _day(int(year), number, int(day))
         if x is None:
             return None
-        y = datetime.date.fromordinal(_FIRST_DAY + moved(x - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, key, "date"))
-        name = (calendar.month_abbr if len(month) == 3 else calendar.month_name)[y.month]
-        return f"{y.day}{g[1]}{name}{g[3]}{y.year}" if g[0] else f"{name}{g[6]}{y.day}{g[8]}{y.year}"
+        y = _other_day(x, key)
+        name = _NAMES[language][form].split()[y.month - 1]
+        name = name.upper() if month.isupper() else name.capitalize() if month[0].isupper() else name
+        d = f"{y.day:0{len(day)}d}" if day[0] == "0" else str(y.day)
+        if not g[0]:
+            return f"{name}{g[8]}{d}{_ordinal(y.day) if g[10] else ''}{g[11]}{y.year}"
+        mark = g[1] or ""
+        mark = _ordinal(y.day) if mark in ("st", "nd", "rd", "th") else ("er" if y.day == 1 else "") if language == "fr" and mark != "." else mark
+        return f"{d}{mark}{g[2]}{name}{g[4]}{g[5]}{y.year}"
     a, s1, b, s2, c = re.fullmatch(r"(\d{1,4})([-/.])(\d{1,2})([-/.])(\d{1,4})", m).groups()
     if s1 != s2 or (len(a) < 4) == (len(c) < 4):
         return None
@@ -238,8 +285,7 @@ def _date(m, key):
     x = _day(int(part["y"]), int(part["m"]), int(part["d"]))
     if x is None:
         return None
-    n, size = x - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1
-    y = datetime.date.fromordinal(_FIRST_DAY + moved(n, size, key, "date"))
+    y = _other_day(x, key)
     padded = any(len(part[k]) == 2 and part[k][0] == "0" for k in "md") or len(part["m"]) == len(part["d"]) == 2
     new = {"y": str(y.year), "m": f"{y.month:02d}" if padded else str(y.month), "d": f"{y.day:02d}" if padded else str(y.day)}
     return s1.join(new[k] for k in order)
@@ -268,16 +314,17 @@ _KINDS = {"email": _email, "secret": _secret, "aws": _aws, "iban": _iban, "ip":
 
 #: Every alternative starts at a letter or digit of its own; the scan meets each sign once.
 _FINDER = re.compile(
-    r"(?<![\w.@+-])(?P<email>[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})"
+    r"(?<![\w.@+%-])(?P<email>[^\W_][\w.+%-]*+@(?:[^\W_](?:[\w-]{0,62})\.)+[^\W\d_]{2,24})"
     r"|(?<!\w)(?P<secret>(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_.-][^\s\"']{6,}[A-Za-z0-9+/_=-])"
     r"|(?<!\w)(?P<aws>(?:AKIA|ASIA)[A-Z0-9]{16})(?!\w)"
-    r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
+    r"|(?<!\w)(?P<iban>[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?)(?!\w)"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"
     r"|(?<![\w./-])(?P<date>\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
-    r"|\d{1,2}\.? [A-Z][a-z]{2,8}\.?,? \d{4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]{0,6}\.? \d{1,2},? \d{4})(?![\w/-])"
+    r"|\d{1,2}(?:\.|er|st|nd|rd|th)?(?: de | )[^\W\d_]{3,10}\.?,?(?: del? | )\d{4}|[^\W\d_]{3,10}\.? \d{1,2}(?:st|nd|rd|th)?,? \d{4})(?![\w/-])"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?<!\w)(?P<card>\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\w)"
-    r"|(?<!\w)(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4})(?!\w)"
+    r"|(?<!\w)(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}"
+    r"|0[1-9](?:[ .-]\d{2}){4}|0[1-9]\d{1,3}(?:[ /]|-|/-)\d{3,8}(?:[ -]\d{1,5})?)(?!\w)"
 )
 _DIGIT = re.compile(r"[0-9@]")  #: any value has one, but for passwords, which have one of the two signs below
 
@@ -288,7 +335,7 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return _KINDS[kind](value, key)
 
 
-def scrub(text: str | None, key: bytes = KEY) -> tuple[str | None, list[str]]:
+def scrub(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
     """The text with every validated value replaced, and the kinds found in their order."""
     if not text or not ("=" in text or ":" in text or _DIGIT.search(text)):
         return text, []
@@ -297,23 +344,24 @@ def scrub(text: str | None, key: bytes = KEY) -> tuple[str | None, list[str]]:
         kind, value = m.lastgroup, m.group()
         if kind == "iban":
             value = _own_iban(value)
-        scan = m.start() + len(value)
         new = pseudonym(kind, value, key)
-        if new is None:
+        if new is None:  # what isn't valid as a whole may hold something that is
+            scan = m.start() + 1
             continue
         out += text[at : m.start()], new
         kinds.append(kind)
-        at = scan
+        at = scan = m.start() + len(value)
     out.append(text[at:])
     return "".join(out), kinds
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with the personal data of ``text`` replaced; rows, order of columns and other columns stay.
 
     Null and empty texts stay as they are; a value that fails its check (a wrong Luhn digit, 31 February)
-    is left alone. Repeated rows give the same text again. An empty table gives an empty one. Columns of
-    any other name pass through. Whole texts are searched, whatever their length.
+    is left alone, what lies within it is still looked at. Repeated rows give the same text again. An empty
+    table gives an empty one. Columns of any other name pass through. Whole texts and whole values (addresses
+    and secrets of any length) are taken, in time proportional to them.
     """
     return replacing(docs, "text", lambda texts: [scrub(t, key)[0] for t in texts])
 
@@ -324,7 +372,7 @@ def op9_pii(spark, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for part, texts in slices(batches):
-            found = [scrub(t) for t in texts]
+            found = [scrub(t, KEY) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([len(k) for _, k in found], pa.int64()), pa.array([sorted(set(k)) for _, k in found], pa.list_(pa.string()))],
                 ["doc_id", "text", "n_replaced", "kinds"],
