@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm import _bpe
-from chunkloom.llm._frames import slices
+from chunkloom.llm._frames import slices, spread
+from chunkloom.plans.lineage import cut, small_side
 
 WINDOW = 2048
 PAD = _bpe.EOS
@@ -77,9 +78,9 @@ def best_fit_decreasing(sizes: np.ndarray, window: int) -> np.ndarray:
     return row
 
 
-def _matrix(shard: int, doc_ids: np.ndarray, ids: list[np.ndarray], window: int) -> pa.Table:
+def _matrix(shard: int, doc_ids: pa.Array, ids: list[np.ndarray], window: int) -> pa.Table:
     pieces, of, number = [], [], []
-    for d, x in zip(doc_ids.tolist(), ids):
+    for d, x in enumerate(ids):
         for k, at in enumerate(range(0, len(x), window)):
             pieces.append(x[at : at + window])
             of.append(d)
@@ -108,7 +109,7 @@ def _matrix(shard: int, doc_ids: np.ndarray, ids: list[np.ndarray], window: int)
     return pa.Table.from_arrays(
         [
             pa.array(np.full(n, shard)), pa.array(np.arange(n)), pa.array(used.astype(np.int32)),
-            lists(first, np.array(of, np.int64)[order], pa.int64()), lists(first, np.array(number, np.int32)[order], pa.int32()),
+            pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), doc_ids.take(pa.array(np.array(of, np.int64)[order]))), lists(first, np.array(number, np.int32)[order], pa.int32()),
             lists(np.append(lead, len(bounds)), bounds, pa.int32()), lists(whole, out, pa.int32()), lists(whole, pos, pa.int32()),
         ],
         ["shard", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "ids", "positions"],
@@ -120,27 +121,36 @@ def packed_ids(docs: DataFrame, window: int = WINDOW, tokenizer: str = _bpe.DEFA
 
     ``pieces`` number a document's pieces; joined in that order and without the end sign they decode to the
     whole text. ``cu_seqlens`` starts with 0 and ends with ``n_tokens``; ids after that are PAD, positions 0.
-    Empty texts give their end sign alone; null texts and rows without doc_id are left out. Rows that repeat
-    a doc_id are each packed (in the order of their texts' hashes). Equal sizes are placed in the order of
-    doc_id. An empty table gives no rows; other columns are ignored.
+    Empty texts give their end sign alone, null texts are left out; rows without doc_id are packed under a
+    null. Rows that repeat a doc_id are each packed (in the order of their texts' hashes); any number of
+    equal rows spread over several shards. Equal sizes are placed in the order of doc_id, nulls last. Texts of
+    any length are split losslessly. An empty table gives no rows; other columns are ignored.
     """
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    chars = d.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
-    shards = 1 + chars // shard_chars
-    d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).withColumn("h", F.xxhash64("text"))
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    d = d.withColumn("h", F.xxhash64("text"))
+    # rows and characters of equal rows: one key may hold a third of the table
+    same = cut(d.groupBy("doc_id", "h").agg(F.count("*").alias("rows"), F.sum(F.length("text") + 1).alias("chars")))
+    chars = same.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
+    shards, key = 1 + chars // shard_chars, [F.col("doc_id"), F.col("h")]
+    hot = same.where((F.col("rows") > 1) & (F.col("chars") > shard_chars // 2))
+    if n_hot := hot.count():
+        parts = hot.select(F.col("doc_id").alias("id_"), F.col("h").alias("h_"), F.floor(1 + 2 * F.col("chars") / shard_chars).alias("parts"))
+        d = d.join(small_side(parts, n_hot), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left")
+        key.append(F.coalesce(F.monotonically_increasing_id() % F.col("parts"), F.lit(0)))
+    d = d.select("doc_id", "text", F.pmod(F.xxhash64(*key), F.lit(shards)).alias("shard"), "h")
 
     def encode(batches):
         for part, texts in slices(batches):
             ids = [np.append(_bpe.encode(t, tokenizer), _bpe.EOS).astype(np.int32).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), part.column(3), pa.array(ids, pa.binary())], ["shard", "doc_id", "h", "ids"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("shard", "doc_id", "h")), pa.array(ids, pa.binary())], ["shard", "doc_id", "h", "ids"])
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("h", "ascending")])
         ids = [np.frombuffer(b, np.int32) for b in table.column("ids").to_pylist()]
-        return _matrix(table.column("shard")[0].as_py(), table.column("doc_id").to_numpy(), ids, window)
+        return _matrix(table.column("shard")[0].as_py(), table.column("doc_id").combine_chunks(), ids, window)
 
     encoded = d.mapInArrow(encode, "shard bigint, doc_id bigint, h bigint, ids binary")
-    return encoded.groupBy("shard").applyInArrow(pack, SCHEMA)
+    return spread(encoded, "shard", shards).groupBy("shard").applyInArrow(pack, SCHEMA)
 
 
 def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
