@@ -7,32 +7,36 @@ sent once up and once down give exact marginals; text of nodes whose content mar
 the page's content. The weights maximise the conditional likelihood of labelled pages; its gradient is the
 difference of observed and expected features, the latter from the same messages.
 
-Labelled pages: pages whose title begins a document of the ``documents`` table; an element's own text is
-content where that document has it (bounded sample of SAMPLE pages). Messages run for all the pages of an
-Arrow slice together, one vectorised step for each depth of the trees.
+Labelled pages: a bounded sample (SAMPLE) of the pages whose title begins a document of the ``documents`` table;
+an element's own text is content where such a document has it. Messages run for all the pages of an Arrow
+slice together, one vectorised step for each depth of the trees, in time proportional to the nodes.
 """
 
 from __future__ import annotations
 
 import html
+import logging
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.llm._frames import slices
 from chunkloom.llm._grams import bounded_sample
 from chunkloom.plans.lineage import cut
 
-SAMPLE = 800  #: pages at most that labels are sought for
-AMBIGUOUS = 3  #: documents that may begin like a page's title; a title of more says nothing
-KEY_CHARS = 30
+SAMPLE = 800  #: labelled pages at most that the model is fitted on
+TEXTS = 8  #: distinct documents at most that a sampled page is labelled by, where many begin like its title
+KEY_CHARS = 12  #: shorter titles say nothing about a document
+DEPTH = 512  #: levels of nesting; what is deeper hangs on the element at that level, as in browsers
 TAGS, FEATURES, STEPS = 64, 1024, 150
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+log = logging.getLogger(__name__)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg iframe head".split())
 _BLOCK = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
@@ -42,55 +46,92 @@ _SCOPE = frozenset("html body table td th article section aside nav main div blo
 
 
 class Dom:
-    """The elements of one page in document order, and its text in pieces (number of the element, text, whether a line begins)."""
+    """The elements of one page in document order, and its text in pieces (number of the element, text, whether a line begins).
+
+    Every step moves on in the source or takes an element off the stack, so the time is linear in the page's
+    length whatever stands in it.
+    """
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.names, self.pieces = ["#page"], [-1], [""], []
-        stack, at, fresh, n = [0], 0, True, len(source)
+        self.stack, self.open, self.scopes = [0], {}, []
+        at, fresh, n = 0, True, len(source)
+        tags_end, quotes, raw_end = source.rfind(">"), True, {}  # what was found out about the rest of the page
         while at < n:
-            m = _TOKEN.search(source, at)
-            end = m.start() if m else n
+            end = self._next(source, at, tags_end)
             if end > at:
                 text = source[at:end]
                 if text.strip():
                     text = html.unescape(text) if "&" in text else text
-                    self.pieces.append((stack[-1], " ".join(text.split()), fresh, text[:1].isspace()))
+                    self.pieces.append((self.stack[-1], " ".join(text.split()), fresh, text[:1].isspace()))
                     fresh = False
-            if not m:
+            if end == n:
                 break
-            at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
+            if source[end + 1] in "!?":
+                close = source.find("-->", end + 4) if source.startswith("<!--", end) else source.find(">", end)
+                at = n if close < 0 else close + (3 if source.startswith("<!--", end) else 1)
                 continue
+            name = _NAME.match(source, end + 1).group()
+            begin = end + 1 + len(name)
+            close = _QUOTED.match(source, begin).end() if quotes else n
+            if close == n or source[close] != ">":  # a quote that nothing closes: from here on quotes don't count
+                quotes, close = False, source.find(">", begin)
+            rest, at = source[begin:close], close + 1
+            closes, tag = name[0] == "/", name.lstrip("/").lower()
             fresh |= tag in _BLOCK
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
-                    if self.tag[stack[k]] in _SCOPE and tag not in _SCOPE:
-                        break
+            if closes:
+                k = self._last(tag)
+                if k and (tag in _SCOPE or not self.scopes or self.scopes[-1] < k):
+                    self._pop(k)
                 continue
-            if tag in _RAW and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-                at = close.end() if close else (n if tag != "head" else at)
+            if tag in _RAW and not rest.endswith("/"):
+                if tag not in raw_end or -1 < raw_end[tag] < at:
+                    m = re.compile(rf"</{re.escape(tag)}\b", re.I).search(source, at)
+                    raw_end[tag] = m.start() if m else -1
+                if raw_end[tag] >= 0:
+                    close = source.find(">", raw_end[tag])
+                    at = n if close < 0 else close + 1
+                elif tag != "head":
+                    at = n
                 continue
             if tag in _VOID:
                 continue
-            ends, scope = ({"p"}, _SCOPE) if tag in _BLOCK and tag != "br" else (set(), set())
-            more, up_to = _ENDS.get(tag, (set(), set()))
-            for k in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[k]]
-                if t in more or t in ends:
-                    del stack[k:]
-                    break
-                if t in up_to or not more and t in scope:
-                    break
+            more, up_to = _ENDS.get(tag, ((), ()))
+            ends = max(self._last(t) for t in (*more, "p")) if tag in _BLOCK else max(map(self._last, more), default=0)
+            stop = max(map(self._last, up_to), default=0) if more else self.scopes[-1] if self.scopes else 0
+            if ends > stop:
+                self._pop(ends)
             self.tag.append(tag)
-            self.parent.append(stack[-1])
-            self.names.append(" ".join(x for a in _ATTR.finditer(m[3]) for x in a.groups() if x).lower() if "=" in m[3] else "")
-            if not m[3].endswith("/"):
-                stack.append(len(self.tag) - 1)
+            self.parent.append(self.stack[min(len(self.stack), DEPTH) - 1])
+            self.names.append(" ".join(x for a in _ATTR.finditer(rest) for x in a.groups() if x).lower() if "=" in rest else "")
+            if not rest.endswith("/"):
+                self.open.setdefault(tag, []).append(len(self.stack))
+                if tag in _SCOPE:
+                    self.scopes.append(len(self.stack))
+                self.stack.append(len(self.tag) - 1)
+
+    @staticmethod
+    def _next(source: str, at: int, tags_end: int) -> int:
+        """Where the next tag, comment or declaration begins; the source's end if there is none."""
+        while (at := source.find("<", at)) >= 0:
+            c = source[at + 1 : at + 2]
+            if c and c in "!?" or at < tags_end and _NAME.match(source, at + 1):
+                return at
+            at += 1
+        return len(source)
+
+    def _last(self, tag: str) -> int:
+        """The place in the stack of the last open element of a tag, 0 if there is none."""
+        at = self.open.get(tag)
+        return at[-1] if at else 0
+
+    def _pop(self, k: int) -> None:
+        for i in range(len(self.stack) - 1, k - 1, -1):
+            tag = self.tag[self.stack[i]]
+            self.open[tag].pop()
+            if tag in _SCOPE:
+                self.scopes.pop()
+        del self.stack[k:]
 
 
 def _bucket(value: str, n: int) -> int:
@@ -119,6 +160,11 @@ class Forest:
             depth[at : at + len(d)] = d
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1]) if n else []
+        inner = np.zeros(n, np.int64)
+        for level in self.levels:
+            inner[level] = np.arange(len(level))
+        #: of each level but the first the places of the parents in the level above
+        self.up = [None, *(inner[self.parent[level]] for level in self.levels[1:])]
         known: dict[str, int] = {}
         tags = [t for p in pages for t in p.tag]
         self.tag = np.array([known[t] if t in known else known.setdefault(t, _bucket(t, TAGS)) for t in tags], np.int64)
@@ -133,10 +179,9 @@ class Forest:
                 marks[at + i] += text.count(".") + text.count(",")
                 links[at + i] += k * inside[i]
         own = words.copy()
-        for level in self.levels[:0:-1]:
-            up = self.parent[level]
+        for k in range(len(self.levels) - 1, 0, -1):
             for x in (words, links, marks):
-                x += np.bincount(up, x[level], n)
+                x[self.levels[k - 1]] += np.bincount(self.up[k], x[self.levels[k]], len(self.levels[k - 1]))
         children = np.bincount(self.parent[self.parent >= 0], minlength=n)
         log = lambda x: np.minimum(np.log2(x + 1), 15).astype(np.int64)
         share = lambda a, b: np.round(4 * a / np.maximum(b, 1)).clip(0, 7).astype(np.int64)
@@ -162,12 +207,12 @@ def marginals(f: Forest, m: Model) -> tuple[np.ndarray, np.ndarray]:
     own[:, 1] = m.node[f.features].sum(1)
     belief, message = own.copy(), np.zeros((n, 2))  # message: to the parent, by the parent's state
     edge = m.edge[f.tag]
-    for level in f.levels[:0:-1]:
+    for k in range(len(f.levels) - 1, 0, -1):
+        level, above = f.levels[k], f.levels[k - 1]
         x = edge[level] + belief[level][:, None, :]
         message[level] = np.logaddexp(x[:, :, 0], x[:, :, 1])
-        up = f.parent[level]
         for s in (0, 1):
-            belief[:, s] += np.bincount(up, message[level, s], n)
+            belief[above, s] += np.bincount(f.up[k], message[level, s], len(above))
     pair = np.zeros((n, 2, 2))
     whole = belief.copy()
     for level in f.levels[1:]:
@@ -227,9 +272,14 @@ def text_of(page: Dom, content: np.ndarray) -> str:
     return "".join(out)
 
 
+_TITLE, _TITLE_END = re.compile(r"<title(?=[\s>])", re.I), re.compile(r"</title", re.I)
+
+
 def title_of(source: str) -> str:
-    m = re.search(r"<title[^>]*>(.*?)</title>", source, re.S | re.I)
-    return " ".join(html.unescape(m[1]).split()) if m else ""
+    """The text of the first title element, "" where there is none or nothing closes it."""
+    if not (m := _TITLE.search(source)) or (at := source.find(">", m.end()) + 1) < 1 or not (end := _TITLE_END.search(source, at)):
+        return ""
+    return " ".join(html.unescape(source[at : end.start()]).split())
 
 
 def label(page: Dom, texts: list[str]) -> np.ndarray | None:
@@ -248,18 +298,26 @@ def label(page: Dom, texts: list[str]) -> np.ndarray | None:
 
 
 def labelled_pages(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE) -> list[tuple[str, list[str]]]:
-    """(html, texts of the documents that begin like its title) of a bounded sample of pages, in order of page_id."""
-    p = pages.select("page_id", "html").where("page_id is not null and html is not null")
-    rows = sorted(bounded_sample(p, "page_id", sample).collect())
-    keys = {i: title_of(h)[:KEY_CHARS] for i, h in rows}
-    wanted = documents.sparkSession.createDataFrame([(k,) for k in sorted(set(keys.values())) if k], "key string")
-    key = F.trim(F.substring(F.substring_index("text", "\n", 1), 1, KEY_CHARS))
-    d = cut(documents.where("text is not null").select(key.alias("key"), "text").join(F.broadcast(wanted), "key"))  # at most ``sample`` keys
-    clear = d.groupBy("key").count().where(F.col("count") <= AMBIGUOUS)
+    """(html, texts of the documents that begin like its title) of a bounded sample of the pages that have such documents."""
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title(?:\s[^>]*)?>([^<]*)", 1), r"\s+", " "))
+    p = pages.where("page_id is not null").select("page_id", F.substring(title, 1, KEY_CHARS).alias("key")).where(F.length("key") == KEY_CHARS)
+    d = documents.select("text", F.substring(F.substring_index(F.ltrim("text"), "\n", 1), 1, KEY_CHARS).alias("key")).where(F.length("key") == KEY_CHARS)
+    # keys are single values on this side, so a title that many pages have meets one row
+    known = cut(p.join(d.select("key").distinct(), "key", "left_semi").select("page_id").distinct())
+    picked = bounded_sample(known, "page_id", sample).select("page_id")
+    rows = sorted((i, h) for i, h in pages.join(F.broadcast(picked), "page_id").groupBy("page_id").agg(F.min("html")).collect())
+    titles = {i: title_of(h) for i, h in rows}
+    wanted = sorted({t for t in titles.values() if len(t) >= KEY_CHARS})
+    begins = documents.sparkSession.createDataFrame([(t, t[:KEY_CHARS]) for t in wanted], "title string, key string")
+    # a title a sampled page: at most ``sample`` rows on this side, and TEXTS hashes of each
+    hits = d.join(F.broadcast(begins), "key").where(F.startswith(F.ltrim("text"), F.col("title"))).select("title", F.xxhash64("text").alias("h")).distinct()
+    few = F.row_number().over(Window.partitionBy("title").orderBy("h"))
+    hits = cut(hits.withColumn("n", few).where(F.col("n") <= TEXTS).select("title", "h"))
+    found = d.select("text", F.xxhash64("text").alias("h")).join(F.broadcast(hits.select("h").distinct()), "h").groupBy("h").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in d.join(F.broadcast(clear), "key").select("key", "text").collect():
-        texts.setdefault(r[0], []).append(r[1])
-    return [(h, sorted(texts[keys[i].strip()])) for i, h in rows if keys[i].strip() in texts]
+    for t, text in hits.join(found, "h").select("title", "text").collect():
+        texts.setdefault(t, []).append(text)
+    return [(h, sorted(texts[titles[i]])) for i, h in rows if titles[i] in texts]
 
 
 def fit(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE) -> Model:
@@ -270,6 +328,9 @@ def fit(pages: DataFrame, documents: DataFrame, sample: int = SAMPLE) -> Model:
         if y is not None:
             doms.append(page)
             labels.append(y)
+    if not doms:
+        log.warning("no page has a title that begins a document: content is judged by the prior model")
+    log.info("content model fitted on %d labelled pages", len(doms))
     return train(doms, labels)
 
 
@@ -278,8 +339,9 @@ def extracted(pages: DataFrame, model: Model) -> DataFrame:
 
     ``text`` has the content in document order, a line a block; ``least_sure`` is the marginal nearest to a
     half, as its distance from it. Null and empty html give an empty text and one node. A null page_id is
-    kept, repeated rows come out alike, other columns are ignored. Unclosed and misnested tags are repaired
-    as browsers do in the usual cases. Pages of any length are read whole. Ties (a marginal of a half) are content.
+    kept, repeated rows come out alike, other columns are ignored, an empty table gives no rows. Unclosed and
+    misnested tags are repaired as browsers do in the usual cases. Pages of any length are read whole, in time
+    proportional to it. Ties (a marginal of a half) are content.
     """
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html"))
     shared = pages.sparkSession.sparkContext.broadcast(model)
