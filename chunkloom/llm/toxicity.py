@@ -1,7 +1,8 @@
 """Operator 10: toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the mean of the vectors of its character n-grams, a window the mean of its words; a linear
-softmax reads the window. Vectors and softmax are trained together in numpy on windows of labelled
+A word is the mean of the vectors of its character n-grams, a window the mean of its words, in which a
+repeated word counts once and its further places as zeros, so that repetition adds nothing; a linear softmax
+reads the window. Vectors and softmax are trained together in numpy on windows of labelled
 documents (bounded sample of SAMPLE rows, half of it held out to set the threshold). Labels name documents,
 not places, so after the first epochs the windows of toxic documents that look clean are relabelled.
 Misspellings and inflections that were never seen share most of their n-grams with those that were.
@@ -35,30 +36,44 @@ class Model:
         self.table, self.bias, self.threshold = table.astype(np.float32), float(bias), float(threshold)
 
 
-def word_scores(words: Words, table: np.ndarray) -> np.ndarray:
-    """Each word's share; 0 for a word that stood in the same window before, so that repetition adds nothing."""
-    g = Grams(words, SIZES, BITS, whole=True)
-    mean = segments(table[g.buckets].astype(np.float64), g.first, np.add) / np.maximum(np.diff(g.first), 1)
-    scores = mean[g.inverse]
-    order = np.argsort(g.inverse, kind="stable")
-    near = (g.inverse[order][1:] == g.inverse[order][:-1]) & (np.diff(order) < WINDOW)
-    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    near &= text[order][1:] == text[order][:-1]
-    scores[order[1:][near]] = 0
-    return scores
+def previous(forms: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each word the last word before it in its text that has the same form, -1 if there is none."""
+    order = np.argsort(forms, kind="stable")
+    out = np.full(len(forms), -1, np.int64)
+    same = forms[order][1:] == forms[order][:-1]
+    out[order[1:][same]] = order[:-1][same]
+    out[out < np.repeat(first[:-1], np.diff(first))] = -1
+    return out
+
 
+def window_means(values: np.ndarray, before: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The mean over each window, which has ``size`` <= WINDOW words from ``start`` on; a word that stood in it before counts as 0."""
+    total = np.zeros(len(start))
+    for j in range(int(size.max(initial=0))):
+        at = np.minimum(start + j, len(values) - 1)
+        new = (j < size) & (before[at] < start)
+        total += np.where(new, values[at], 0)
+    return total / np.maximum(size, 1)
 
-def worst_windows(words: Words, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text the highest mean of WINDOW words in a row (of all the words of a shorter text), and where it starts."""
+
+def worst_windows(words: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the highest mean of a window of WINDOW words (of all the words of a shorter text), and where it starts."""
     n, first = np.diff(words.first), words.first
-    c = np.concatenate([[0.0], np.cumsum(scores)])
     best, where = np.full(len(n), -np.inf), np.zeros(len(n), np.int64)
-    for i in np.flatnonzero(n):
-        a, b = first[i], first[i + 1]
-        w = min(WINDOW, b - a)
-        means = (c[a + w : b + 1] - c[a : b - w + 1]) / w
-        where[i] = np.argmax(np.round(means, 9))
-        best[i] = means[where[i]]
+    if not n.any():
+        return best, where
+    g = Grams(words, SIZES, BITS, whole=True)
+    mean = segments(table[g.buckets].astype(np.float64), g.first, np.add) / np.maximum(np.diff(g.first), 1)
+    count = np.where(n > 0, np.maximum(n - WINDOW + 1, 1), 0)  # windows of each text
+    lead = np.concatenate([[0], np.cumsum(count)])
+    inner = np.arange(lead[-1]) - np.repeat(lead[:-1], count)
+    means = window_means(mean[g.inverse], previous(g.inverse, first), np.repeat(first[:-1], count) + inner, np.repeat(np.minimum(n, WINDOW), count))
+    full = n > 0
+    best[full] = np.maximum.reduceat(means, lead[:-1][full])
+    at = np.flatnonzero(means >= np.repeat(best, count) - 1e-9)  # of equal windows the first
+    text = np.searchsorted(lead, at, "right") - 1
+    text, head = np.unique(text, return_index=True)
+    where[text] = inner[at[head]]
     return best, where
 
 
@@ -77,7 +92,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     held, best = labels[odd], np.zeros(len(odd))
     for at in range(0, len(odd), 200):
         w = Words([texts[i] for i in odd[at : at + 200]])
-        best[at : at + 200] = worst_windows(w, word_scores(w, table))[0] + bias
+        best[at : at + 200] = worst_windows(w, table)[0] + bias
     return Model(table, bias, threshold_of(best, held))
 
 
@@ -127,6 +142,7 @@ def _fit(words: _Bag, y_doc: np.ndarray, rng: np.random.Generator):
     end = np.minimum(start + WINDOW, words.first[doc + 1])
     start = np.maximum(end - WINDOW, words.first[doc])
     y = y_doc[doc]
+    before = previous(words.inverse, words.first)
     bad, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     clean = rng.permutation(clean)[: CLEAN * len(bad)]
     e = rng.normal(0, 0.05, (1 << BITS, DIM)).astype(np.float32)
@@ -137,8 +153,7 @@ def _fit(words: _Bag, y_doc: np.ndarray, rng: np.random.Generator):
     for epoch in range(epochs):
         if epoch >= epochs // 2:  # relabel: a window of a toxic document must itself look toxic
             v = e @ (w[:, 1] - w[:, 0])
-            c = np.concatenate([[0.0], np.cumsum(words.means(v))])
-            logit = (c[end] - c[start]) / (end - start) + b[1] - b[0]
+            logit = window_means(words.means(v), before, start, end - start) + b[1] - b[0]
             top = np.full(len(n), -np.inf)
             np.maximum.at(top, doc, logit)
             y = ((y_doc[doc] == 1) & ((logit > 0) | (logit == top[doc]))).astype(np.int64)
@@ -147,7 +162,9 @@ def _fit(words: _Bag, y_doc: np.ndarray, rng: np.random.Generator):
             k = rows[at : at + BATCH]
             m = end[k] - start[k]
             owner = np.repeat(np.arange(len(k)), m)
-            word = words.inverse[np.repeat(start[k], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            at_word = np.repeat(start[k], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            new = before[at_word] < np.repeat(start[k], m)
+            owner, word = owner[new], words.inverse[at_word[new]]
             size = words.grams[word + 1] - words.grams[word]
             gram = words.buckets[np.repeat(words.grams[word], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
             share = np.repeat((1.0 / (m[owner] * size)).astype(np.float32), size)
@@ -180,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = bounded_sample(named, "_id", sample)
     n = rows.count()
     d = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").cast("string").alias("_t")).where("_t is not null")
-    got = d.join(small_side(rows, n, BROADCAST_ROWS), "_id").toPandas().sort_values(["_id", "_y", "_t"], kind="stable")
+    # one text a row of the sample, however often its id occurs
+    got = d.join(small_side(rows, n, BROADCAST_ROWS), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t")).toPandas().sort_values(["_id", "_y"], kind="stable")
     return train(got["_t"].tolist(), got["_y"].to_numpy())
 
 
@@ -189,7 +207,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the softmax's probability for the worst window, ``worst_word`` the number of its first
     word (of the first such window in a tie). Texts without words (null, empty, signs only) score 0 and are
-    not toxic. Repeated rows are scored alike; a null doc_id is kept; other columns are ignored.
+    not toxic. Texts of any length are scored in every window. Repeated rows are scored alike; a null doc_id is
+    kept; an empty table gives no rows; other columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -198,7 +217,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for part, texts in slices(batches):
             words = Words([t or "" for t in texts])
-            best, where = worst_windows(words, word_scores(words, m.table))
+            best, where = worst_windows(words, m.table)
             logit = best + m.bias
             score = np.round(1 / (1 + np.exp(-np.clip(logit, -50, 50))), 6)
             score[np.diff(words.first) == 0] = 0
