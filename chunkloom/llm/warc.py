@@ -11,8 +11,8 @@ join with their gathered small records. Payloads are never sorted and never coll
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,12 +27,12 @@ from chunkloom.plans.lineage import cut
 CAPTURES = ("response", "resource", "revisit", "conversion")
 SCHEMA = (
     "file string, offset bigint, warc_type string, record_id string, concurrent_to array<string>, target_uri string, warc_date string,"
-    " headers map<string,string>, http_start string, http_headers map<string,string>, payload binary, truncated boolean"
+    " headers map<string,array<string>>, http_start string, http_headers map<string,array<string>>, payload binary, truncated boolean"
 )
 _ARROW = pa.schema([
     ("file", pa.string()), ("offset", pa.int64()), ("warc_type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())),
-    ("target_uri", pa.string()), ("warc_date", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("http_start", pa.string()),
-    ("http_headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("truncated", pa.bool_()),
+    ("target_uri", pa.string()), ("warc_date", pa.string()), ("headers", pa.map_(pa.string(), pa.list_(pa.string()))), ("http_start", pa.string()),
+    ("http_headers", pa.map_(pa.string(), pa.list_(pa.string()))), ("payload", pa.binary()), ("truncated", pa.bool_()),
 ])
 BATCH_BYTES = 8 << 20
 
@@ -81,16 +81,23 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return start.rstrip(b"\r").decode("utf-8", "replace"), fields, body
 
 
+def _by_name(fields: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    out: dict[str, list[str]] = {}
+    for name, value in fields:
+        out.setdefault(name, []).append(value)
+    return list(out.items())
+
+
 def row_of(file: str, offset: int, fields: list[tuple[str, str]], block: bytes, length: int | None) -> dict:
-    """The row of a record; of repeated header names the last counts, but for concurrent-to, of which all do."""
+    """The row of a record; headers have the values of each name in their order."""
     h = dict(fields)
     kind = h.get("warc-type")
     is_http = "application/http" in h.get("content-type", "") and kind in ("request", "response", "revisit")
     start, http, payload = http_parts(block) if is_http else (None, [], block)
     return {
         "file": file, "offset": offset, "warc_type": kind, "record_id": h.get("warc-record-id"), "concurrent_to": [v for k, v in fields if k == "warc-concurrent-to"],
-        "target_uri": h.get("warc-target-uri"), "warc_date": h.get("warc-date"), "headers": list(h.items()), "http_start": start,
-        "http_headers": list(dict(http).items()), "payload": payload, "truncated": "warc-truncated" in h or length is not None and len(block) < length,
+        "target_uri": h.get("warc-target-uri"), "warc_date": h.get("warc-date"), "headers": _by_name(fields), "http_start": start,
+        "http_headers": _by_name(http), "payload": payload, "truncated": "warc-truncated" in h or length is not None and len(block) < length,
     }
 
 
@@ -131,8 +138,9 @@ def batched(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the WARC files of ``path`` (a file, folder or glob), in SCHEMA.
 
-    Files are streamed by the executors record by record, so memory follows the largest record. A file that
-    breaks off gives what came before, its last record marked ``truncated``. An empty file gives no rows.
+    Files are streamed by the executors record by record, so memory follows the largest record. Of a file that
+    breaks off or is damaged, plain or gzip, the records before that place are given and the one it lies in
+    with what could be read, marked ``truncated``. An empty file gives no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     files = files.repartition(max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism)), "path")
@@ -146,52 +154,45 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 with system.open_input_file(at) as raw:
                     packed = raw.read(2) == b"\x1f\x8b"
                     raw.seek(0)
-                    yield from batched(_safely(parse(gzip.GzipFile(fileobj=raw) if packed else _Lines(raw), name)))
+                    yield from batched(parse(io.BufferedReader(_Blocks(_inflated(raw) if packed else iter(lambda: raw.read(1 << 20), b"")), 1 << 16), name))
 
     return files.select("path").mapInArrow(run, SCHEMA)
 
 
-class _Lines:
-    """readline and read over a pyarrow file."""
-
-    def __init__(self, raw) -> None:
-        import io
-
-        self.f = io.BufferedReader(raw) if isinstance(raw, io.RawIOBase) else io.BufferedReader(_Raw(raw), 1 << 20)
-
-    def readline(self) -> bytes:
-        return self.f.readline()
-
-    def read(self, n: int) -> bytes:
-        return self.f.read(n)
-
-
-def _raw_base():
-    import io
-
-    class Raw(io.RawIOBase):
-        def __init__(self, f) -> None:
-            self.f = f
-
-        def readable(self) -> bool:
-            return True
-
-        def readinto(self, b) -> int:
-            data = self.f.read(len(b))
-            b[: len(data)] = data
-            return len(data)
+def _inflated(raw) -> Iterator[bytes]:
+    """The content of the members of a gzip file, as far as it can be read."""
+    d = zlib.decompressobj(31)
+    data = raw.read(1 << 20)
+    while data:
+        try:
+            yield d.decompress(data, 1 << 22)
+        except zlib.error:
+            return
+        data = d.unconsumed_tail or d.unused_data.lstrip(b"\0") if d.eof else d.unconsumed_tail
+        if d.eof:
+            d = zlib.decompressobj(31)
+        data = data or raw.read(1 << 20)
 
-    return Raw
 
+class _Blocks(io.RawIOBase):
+    """A raw stream over blocks of bytes."""
 
-_Raw = _raw_base()
+    def __init__(self, blocks: Iterator[bytes]) -> None:
+        self.blocks, self.left, self.at = blocks, b"", 0
 
+    def readable(self) -> bool:
+        return True
 
-def _safely(rows: Iterator[dict]) -> Iterator[dict]:
-    try:
-        yield from rows
-    except (EOFError, zlib.error, gzip.BadGzipFile):
-        return
+    def readinto(self, b) -> int:
+        while self.at == len(self.left):
+            block = next(self.blocks, None)
+            if block is None:
+                return 0
+            self.left, self.at = memoryview(block), 0
+        n = min(len(b), len(self.left) - self.at)
+        b[:n] = self.left[self.at : self.at + n]
+        self.at += n
+        return n
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -207,7 +208,8 @@ def assemble(records: DataFrame) -> DataFrame:
     ``metadata``. Records that reach no capture give a row each, with a null response. A null record_id
     stands for itself (named by file and offset); nulls in other columns stay null; links to absent records
     don't count. Records that repeat a record_id count once (the first by file and offset). Captures that
-    are linked to each other stay apart. An empty table gives no rows.
+    are linked to each other stay apart. Payloads may be null, empty or of any length that a row can hold; a
+    capture's row holds all the small records that belong to it. An empty table gives no rows.
     """
     columns = ["warc_type", "target_uri", "warc_date", "http_start", "http_headers", "payload", "truncated"]
     own = F.coalesce("record_id", F.concat_ws("#", F.lit("record"), "file", "offset"))
@@ -295,7 +297,6 @@ def transaction(page_id: int, url: str, html: str) -> bytes:
 
 def page_records(pages: DataFrame) -> DataFrame:
     """The records, in SCHEMA, of the WARC bytes of ``(page_id, url, html)``; pages without page_id are left out, other nulls are empty."""
-    import io
 
     def run(batches):
         def rows():
@@ -315,7 +316,7 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
     return a.select(
         F.regexp_extract(info["payload"].cast("string"), r"page-id: (\d+)", 1).cast("bigint").alias("page_id"), "capture_id", "target_uri", "warc_date",
         F.col("n_records").cast("bigint").alias("n_records"), F.col("request.record_id").alias("request_id"), F.col("request.start").alias("request_line"),
-        F.col("request.headers")["host"].alias("request_host"), F.col("response.start").alias("status_line"), F.col("response.headers")["content-type"].alias("content_type"),
+        F.col("request.headers")["host"][0].alias("request_host"), F.col("response.start").alias("status_line"), F.col("response.headers")["content-type"][0].alias("content_type"),
         F.col("response.payload").cast("string").alias("payload"), info["record_id"].alias("metadata_id"), F.size("metadata").cast("bigint").alias("n_metadata"),
     )
 
