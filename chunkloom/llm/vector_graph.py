@@ -16,8 +16,9 @@ The search is audited: AUDIT vectors are compared with all others by brute force
 RECALL of their partners were found, on the mean over the vectors that have any, everything is repeated with
 one more shard a vector and twice the beam. After ROUNDS of this the pairs are sought by brute force.
 
-Shards hold about SHARD vectors whatever the size of the table; the centroids, one per SHARD vectors, are
-what is broadcast, and SHARD grows where they would take more than CENTROID_BYTES.
+A table's first CELLS centroids are fitted on a sample; a shard that comes out at more than TOO_LARGE times
+SHARD is split by centroids of its own, in pieces of CHUNK vectors that meet its centroids as cogroups, so that
+shards hold about SHARD vectors whatever the size of the table, and what is broadcast stays below CELLS vectors.
 """
 
 from __future__ import annotations
@@ -30,18 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm._grams import bounded_sample
-from chunkloom.llm.components import connected_components
-from chunkloom.plans.lineage import cut
+from chunkloom.llm._text import mix
+from chunkloom.llm.components import connected_components, named
+from chunkloom.plans.lineage import cut, small_side
 
 COSINE = 0.95
 SHARD, OVERLAP = 2048, 2
-DEGREE, SLACK, BEAM, ALPHA = 24, 2, 48, 1.2  #: a list is pruned to DEGREE when it exceeds SLACK times that
-ENTRIES = 8  #: medoids, of the about sqrt(n) of a shard, that a search begins from
-PASSES = 2  #: a second insertion links what stood in one batch
+DEGREE, SLACK, BEAM, ALPHA = 24, 2, 8, 1.2  #: a list is pruned to DEGREE when it exceeds SLACK times that
+NEAREST, FAR = 48, 16  #: candidates of a node's list: its nearest ones and drawn ones, for edges that lead away
+ENTRIES = 4  #: medoids, of the about sqrt(n) of a shard, that a search begins from
 BATCH = 256
 AUDIT, RECALL, ROUNDS = 512, 0.95, 4
 SAMPLE = 16384  #: vectors that the centroids are fitted on, at most
-CENTROID_BYTES = 32 << 20
+CELLS, TOO_LARGE, SPLITS, CHUNK = 16384, 4, 4, 65536
+BRUTE = 1 << 22  #: vectors up to which pairs are sought by brute force where the audit fails; beyond, it is an error
 BLOCK_BYTES, TILE = 32 << 20, 1 << 20  #: vectors broadcast at once for comparisons with all; cosines held at once
 
 log = logging.getLogger(__name__)
@@ -119,7 +122,7 @@ class Graph:
         """Robust pruning: the nearest candidate stays and takes out all that are ALPHA times nearer to it than to the node."""
         b = len(nodes)
         dist = np.where((cand < 0) | (cand == nodes[:, None]), np.inf, dist)
-        order = np.argsort(dist, axis=1, kind="stable")[:, : 3 * DEGREE]
+        order = np.argsort(dist, axis=1, kind="stable")
         cand, dist = np.take_along_axis(cand, order, 1), np.take_along_axis(dist, order, 1)
         v = self.x[np.maximum(cand, 0)]
         between = 1 - v @ v.transpose(0, 2, 1)
@@ -135,31 +138,26 @@ class Graph:
             dist[gone & some[:, None]] = np.inf
         return out
 
-    def build(self, beam: int = BEAM, seed: int = 5) -> Graph:
-        rng = np.random.default_rng(seed)
-        for nodes in [k for again in range(PASSES) for k in self._batches(rng.permutation(len(self.x)), 1 if not again else BATCH)]:
-            again = (self.out[nodes] >= 0).any(1)
-            ids, dist, went, went_d = self.greedy(self.x[nodes], beam, nodes if again.all() else None)
-            # what was expanded, the beam itself and the neighbours of the pass before
-            have = self.out[nodes]
-            have_d = 1 - np.einsum("ijk,ik->ij", self.x[np.maximum(have, 0)], self.x[nodes])
-            cand, d = np.concatenate([went, ids, have], 1), np.concatenate([went_d, dist, have_d], 1)
-            by_id = np.argsort(cand, axis=1, kind="stable")
-            cand, d = np.take_along_axis(cand, by_id, 1), np.take_along_axis(d, by_id, 1)
+    def build(self, seed: int = 5) -> Graph:
+        """Robust-prunes for each node its NEAREST nearest ones in the shard and FAR drawn ones, then links back.
+
+        A shard is small enough for all its distances to be taken at once, in blocks of rows.
+        """
+        n, rng = len(self.x), np.random.default_rng(seed)
+        near = min(NEAREST, n)
+        for at in range(0, n, BATCH):
+            nodes = np.arange(at, min(at + BATCH, n))
+            d = 1 - self.x[nodes] @ self.x.T
+            cand = np.argpartition(d, near - 1, axis=1)[:, :near] if near < n else np.tile(np.arange(n), (len(nodes), 1))
+            far = rng.integers(0, n, (len(nodes), FAR))
+            cand = np.sort(np.concatenate([cand, far], 1), axis=1).astype(np.int32)
+            dist = np.take_along_axis(d, cand, 1)
             cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-            self.out[nodes, :DEGREE] = self.prune(nodes, cand, d)
-            self.out[nodes, DEGREE:] = -1
-            self._reverse(nodes)
+            self.out[nodes, :DEGREE] = self.prune(nodes, cand, dist)
+        for at in range(0, n, BATCH):
+            self._reverse(np.arange(at, min(at + BATCH, n)))
         return self
 
-    @staticmethod
-    def _batches(order: np.ndarray, size: int):
-        """Batches that double up to BATCH, so that early ones have a graph to search."""
-        at = 0
-        while at < len(order):
-            yield order[at : at + size]
-            at, size = at + size, min(2 * size, BATCH)
-
     def _reverse(self, nodes: np.ndarray) -> None:
         src = np.repeat(nodes, DEGREE).astype(np.int32)
         dst = self.out[nodes, :DEGREE].ravel()
@@ -199,24 +197,25 @@ class Graph:
         for at in range(0, len(self.x), BATCH):
             nodes = np.arange(at, min(at + BATCH, len(self.x)))
             ids, dist, went, went_d = self.greedy(self.x[nodes], beam, nodes)
-            ids, dist = np.concatenate([ids, went], 1), np.concatenate([dist, went_d], 1)
-            near = (dist <= radius) & (ids >= 0)
-            near |= ids == nodes[:, None]
-            for q in range(len(nodes)):
-                found = np.unique(np.append(ids[q, near[q]], nodes[q]))
-                seen = np.zeros(len(self.x), bool)
-                seen[found] = True
-                front = found
-                while len(front):
-                    size = first[front + 1] - first[front]
-                    n = np.unique(ends[np.repeat(first[front] - np.cumsum(size) + size, size) + np.arange(size.sum())])
-                    n = n[~seen[n]]
-                    seen[n] = True
-                    front = n[1 - self.x[n] @ self.x[nodes[q]] <= radius]
-                    found = np.concatenate([found, front])
-                found = found[found != nodes[q]]
-                a.append(np.full(len(found), nodes[q]))
-                b.append(found)
+            ids, dist = np.concatenate([ids, went, nodes[:, None]], 1), np.concatenate([dist, went_d, np.zeros((len(nodes), 1), np.float32)], 1)
+            seen = np.zeros((len(nodes), len(self.x)), bool)
+            q, k = np.nonzero((dist <= radius) & (ids >= 0))
+            front = np.unique(q * np.int64(len(self.x)) + ids[q, k])
+            while len(front):  # the queries' ranges grow together, a step along the edges at a time
+                q, k = np.divmod(front, len(self.x))
+                seen[q, k] = True
+                size = first[k + 1] - first[k]
+                other = ends[np.repeat(first[k] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                q = np.repeat(q, size)
+                new = np.zeros_like(seen)
+                new[q, other] = True
+                q, other = np.nonzero(new & ~seen)
+                inside = 1 - np.einsum("ij,ij->i", self.x[nodes[q]], self.x[other]) <= radius
+                front = q[inside] * np.int64(len(self.x)) + other[inside]
+            seen[np.arange(len(nodes)), nodes] = False
+            q, k = np.nonzero(seen)
+            a.append(nodes[q])
+            b.append(k)
         return np.concatenate([np.zeros(0, np.int64), *a]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *b]).astype(np.int64)
 
 
@@ -275,6 +274,51 @@ def _assign(v: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
     return v.mapInArrow(run, "shard bigint, id bigint, v array<float>")
 
 
+def _members(v: DataFrame, c: np.ndarray, overlap: int, shard: int) -> DataFrame:
+    """``(shard, id, v)`` with each vector in at least ``overlap`` shards, none of much more than ``shard`` vectors as far as centroids can tell them apart."""
+    done, rest = None, cut(_assign(v, c, overlap))
+    for _ in range(SPLITS):
+        sizes = cut(rest.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > TOO_LARGE * shard))
+        if not (n_large := sizes.count()):
+            break
+        fits = rest.join(small_side(sizes.select("shard"), n_large), "shard", "left_anti")
+        done = fits if done is None else done.unionByName(fits)
+        rest = cut(_split(rest.join(small_side(sizes, n_large), "shard"), sizes, overlap, shard))
+    return rest if done is None else cut(done.unionByName(rest))
+
+
+def _split(large: DataFrame, sizes: DataFrame, overlap: int, shard: int) -> DataFrame:
+    """Members ``(shard, id, v, n)`` of too large shards -> ``(shard, id, v)`` by the nearest of each shard's own centroids."""
+    wanted = F.ceil(F.col("n") / F.lit(shard))  # centroids, and four sampled vectors for each
+    picked = large.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < 4 * wanted / F.col("n") * F.lit(1 << 20))
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        x = _unit(_matrix(table.column("v")))
+        c = centroids(x, max(2, -(-table.column("n")[0].as_py() // shard)))
+        return pa.table({"shard": table.column("shard").slice(0, 1), "c": pa.array([c.astype(np.float32).tobytes()], pa.binary())})
+
+    own = picked.select("shard", "id", "v", "n").groupBy("shard").applyInArrow(fit, "shard bigint, c binary")
+    parts = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
+    own = own.join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "c")
+    pieces = large.select("shard", F.pmod(F.xxhash64("id", F.lit(12)), parts).cast("int").alias("part"), "id", "v")
+
+    def assign(key, table: pa.Table, of: pa.Table) -> pa.Table:
+        x = _unit(_matrix(table.column("v")))
+        if not of.num_rows:  # none of its vectors was drawn
+            return table.select(["shard", "id", "v"])
+        c = np.frombuffer(of.column("c")[0].as_py(), np.float32).reshape(-1, x.shape[1]).astype(np.float64)
+        k = min(overlap, len(c))
+        best = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :k]
+        rows = pa.array(np.repeat(np.arange(len(x)), k))
+        # a number of its own: the old one and the centroid's, mixed
+        number = mix(best.ravel().astype(np.uint64) + np.uint64(1) + mix(np.array([key[0].as_py()], np.int64).view(np.uint64)))
+        return pa.table({"shard": pa.array(number.view(np.int64)), "id": table.column("id").take(rows), "v": table.column("v").take(rows)})
+
+    split = pieces.groupBy("shard", "part").cogroup(own.groupBy("shard", "part")).applyInArrow(assign, "shard bigint, id bigint, v array<float>")
+    return split.dropDuplicates(["shard", "id"])
+
+
 def _brute(v: DataFrame, queries: tuple[np.ndarray, np.ndarray], cosine: float, once: bool = False) -> DataFrame:
     """Pairs of the queries with all of ``v``; with ``once`` only those whose query has the smaller id."""
     shared = v.sparkSession.sparkContext.broadcast(queries)
@@ -328,30 +372,28 @@ def near_pairs(v: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> Data
     dim = v.select(F.size("v")).first()
     if n < 2:
         return spark.createDataFrame([], "a bigint, b bigint, cosine double")
-    shard = max(shard, -(-n * dim[0] * 4 // CENTROID_BYTES))
     sample = bounded_sample(v, "id", SAMPLE).orderBy("id").toPandas()
-    x = _unit(np.stack(sample["v"]).astype(np.float64)) if len(sample) else np.eye(1, dim[0])
-    c = centroids(x, -(-n // shard))
+    x = _unit(np.stack(sample["v"]).astype(np.float64))
+    c = centroids(x, min(CELLS, -(-n // shard), max(1, len(x) // 4)))
     few = bounded_sample(v, "id", AUDIT, 1).orderBy("id").toPandas()
-    true = None
-    if len(few):
-        q = few["id"].to_numpy(np.int64), np.stack(few["v"]).astype(np.float32)
-        true = cut(_brute(v, q, cosine).select("a", "b").distinct())
-        audited = spark.createDataFrame([(int(i),) for i in q[0]], "id bigint")
+    q = few["id"].to_numpy(np.int64), np.stack(few["v"]).astype(np.float32)
+    true = cut(_brute(v, q, cosine).select("a", "b").distinct())
+    audited = spark.createDataFrame([(int(i),) for i in q[0]], "id bigint")
     overlap, beam = OVERLAP, BEAM
     for _ in range(ROUNDS):
-        members = cut(_assign(v, c, overlap))
+        members = _members(v, c, overlap, shard)
         lists = members.groupBy("shard").applyInArrow(_build, "id bigint, out array<bigint>")
         lists = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("out"))).alias("out"))
         found = members.join(lists, "id").select("shard", "id", "v", "out").groupBy("shard").applyInArrow(_search(cosine, beam), "a bigint, b bigint, cosine double")
         found = cut(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-        if true is None:
-            return found
         recall = _recall(true, found, audited)
         if recall >= RECALL:
+            log.info("graph search found %.4f of the audited partners", recall)
             return found
         log.warning("graph search found %.3f of the audited partners with %d shards a vector and beam %d", recall, overlap, beam)
         overlap, beam = overlap + 1, 2 * beam
+    if n > BRUTE:
+        raise RuntimeError(f"graph search found {recall:.3f} of the audited partners, less than {RECALL}, and {n} vectors are too many for brute force")
     log.warning("graph search stays below %.2f: %d vectors are compared by brute force", RECALL, n)
     return all_pairs(v, cosine)
 
@@ -450,27 +492,31 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE, shard:
     others; it alone is kept. ``n_near`` counts the other vec_ids within the cosine, exact copies included.
     Null, empty and zero vectors, those with a null, NaN or infinite part, and those of another length than
     most have no neighbours. Of rows that repeat a vec_id the vector of the smallest hash counts. An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored, whatever their names.
     """
     e = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<float>").alias("v")).where("id is not null")
     e = cut(e.groupBy("id").agg(F.min_by("v", F.coalesce(F.xxhash64("v"), F.lit(0))).alias("v")))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 3e38)) & F.exists("v", lambda x: F.abs(x) > 1e-20)
     size = e.where(good).groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").first()
     ok = F.coalesce(good & (F.size("v") == F.lit(size[0] if size else 0)), F.lit(False))
-    exact = e.where(ok).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.collect_list("id").alias("ids"))
-    exact = cut(exact)
-    rest, near_dense, links = dense_groups(exact.select(F.col("rep").alias("id"), "v", F.col("times").alias("w")), cosine, shard)
+    # equal vectors are known by 128 bits of hash; +0 makes one of both zeros
+    plain = F.transform("v", lambda x: x + F.lit(0).cast("float"))
+    good_ = e.where(ok).select("id", "v", F.xxhash64(plain).alias("h1"), F.xxhash64(plain, F.lit(1)).alias("h2"))
+    copies = cut(good_.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    exact = cut(good_.select("id", "v").join(copies.select(F.col("rep").alias("id"), F.col("copies").alias("w")), "id"))
+    rest, near_dense, links = dense_groups(exact, cosine, shard)
     pairs = near_pairs(rest.select("id", "v"), cosine, shard)
     sides = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    times = exact.select(F.col("rep").alias("other"), F.col("times").alias("more"))
-    near = sides.join(times, "other").select("rep", F.col("more").alias("near"))
+    times = exact.select(F.col("id").alias("other"), F.col("w").alias("near"))
+    near = sides.join(times, "other").select("rep", "near")
     edges = pairs.select("a", "b")
     if links is not None:
         near, edges = near.union(near_dense.select("id", "near")), edges.union(links)
     near = near.groupBy("rep").agg(F.sum("near").alias("near"))
     groups = connected_components(edges).withColumnRenamed("id", "rep")
-    out = exact.join(near, "rep", "left").join(groups, "rep", "left")
-    out = out.select(F.explode("ids").alias("vec_id"), F.coalesce("component", "rep").alias("group_id"), (F.coalesce("near", F.lit(0)) + F.col("times") - 1).alias("n_near"))
+    each = exact.select(F.col("id").alias("rep"), "w").join(near, "rep", "left").join(groups, "rep", "left")
+    each = each.select("rep", F.coalesce("component", "rep").alias("group_id"), (F.coalesce("near", F.lit(0)) + F.col("w") - 1).alias("n_near"))
+    out = named(good_.select("id", "h1", "h2"), copies, "id", ["h1", "h2"]).join(each, "rep").select(F.col("id").alias("vec_id"), "group_id", "n_near")
     lone = e.where(~ok).select(F.col("id").alias("vec_id"), F.col("id").alias("group_id"), F.lit(0).cast("bigint").alias("n_near"))
     return out.unionByName(lone).select("vec_id", "group_id", (F.col("vec_id") == F.col("group_id")).alias("is_kept"), "n_near")
 
