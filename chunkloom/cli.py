@@ -45,8 +45,8 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--unit")
         for n in ("size", "min-size", "max-size", "overlap"):
             s.add_argument(f"--{n}", type=int)
-        s.add_argument("--output", default="output/chunks")
-        s.add_argument("--format", default="jsonl")
+        s.add_argument("--output")
+        s.add_argument("--format", help="one format; without it those of the configuration")
         s.add_argument("--chunk")
         s.add_argument("--search")
         s.add_argument("--section")
@@ -74,18 +74,25 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _run(spark, a: argparse.Namespace) -> int:
+    from pyspark.sql import functions as F
+
+    from chunkloom.functions import exprs as X
     from chunkloom.operators import corpus, search
     from chunkloom.sinks import writers
 
     chunks = _chunks(spark, a)
-    if a.command in ("process", "convert"):
-        writers.export(chunks, a.output, a.format)
+    if a.command == "process" and not a.format:
+        cfg = _config(a)
+        print(*writers.write_dataset(chunks, dataclasses.replace(cfg, output=dataclasses.replace(cfg.output, directory=a.output)) if a.output else cfg), sep="\n")
+    elif a.command in ("process", "convert"):
+        writers.export(chunks, a.output or "output/chunks", a.format or "jsonl")
     elif a.command == "stats":
         print(json.dumps(writers.statistics(chunks), indent=2, ensure_ascii=False, default=str))
     elif a.command == "inspect":
         found = search.find(chunks, a.chunk) if a.chunk else search.page(search.filtered(chunks, search=a.search, section=a.section), ["document_id", "chunk_index"], limit=a.limit)
-        for r in found.toLocalIterator():
-            print(json.dumps({"id": r["id"], "section": r["section"], "size": r["size"], "content": r["content"]}, ensure_ascii=False))
+        text = F.col("content") if a.chunk else X.truncate("content")
+        for r in found.select("id", "section", "size", text.alias("content")).toLocalIterator():
+            print(json.dumps(r.asDict(), ensure_ascii=False))
     else:
         c = _config(a).chunking
         issues = corpus.validate(chunks, duplicate_of="duplicate_of", least=c.min_size, most=c.max_size).cache()

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 WIDE = "[\\u3000-\\u9fff\\uac00-\\ud7af\\uf900-\\ufaff]"
-URL = r"https?://\S+|www\.\S+"
-INVISIBLE = "[\\u200b-\\u200f\\ufeff\\u2060\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
-MARKER = r"^\s*([-*+•]|\d+[.)]|[a-zA-Z][.)])\s+"
 
 
 def _c(c: Column | str) -> Column:
@@ -71,11 +68,6 @@ def section_id(document: Column | str, path: Column | str, index: Column) -> Col
     return F.concat(_c(document), F.lit("_section_"), F.substring(F.sha2(F.concat_ws("\u001f", name, index.cast("string")), 256), 1, 8))
 
 
-def alnum_share(text: Column | str) -> Column:
-    t = _c(text)
-    return F.when(F.length(t) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", "")) / F.length(t))
-
-
 def ends_sentence(text: Column | str) -> Column:
     t = F.rtrim(F.regexp_replace(_c(text), r"\s+$", ""))
     return (t == "") | t.rlike("[.!?:;。！？]$") | t.rlike("[.!?][)\\]}\"'`”’]$")
@@ -90,73 +82,6 @@ def truncate(text: Column | str, limit: int = 120) -> Column:
     return F.when(F.length(one) <= limit, one).otherwise(F.concat(F.rtrim(F.substring(one, 1, limit - 3)), F.lit("...")))
 
 
-def paragraphs(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(_c(text), r"\n\s*\n+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-
-
-def default_title(path: Column | str) -> Column:
-    """Words of the file's stem, each with a capital unless it has capitals of its own throughout."""
-    stem = F.regexp_replace(F.regexp_extract(_c(path), r"([^/]*)$", 1), r"\.[^.]*$", "")
-    words = F.filter(F.split(F.translate(stem, "_-", "  "), r"\s+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.when(w == F.upper(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20))))), " ")
-
-
-def first_line_title(text: Column | str, most: int = 120, lines: int = 9) -> Column:
-    cut = F.slice(F.transform(F.split(_c(text), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), 1, lines)
-    return F.try_element_at(F.filter(cut, lambda x: (x != "") & (F.length(x) <= most)), F.lit(1))
-
-
-def remove_invisible(text: Column | str) -> Column:
-    return F.regexp_replace(_c(text), INVISIBLE, "")
-
-
-def plain_quotes(text: Column | str) -> Column:
-    return F.replace(F.translate(_c(text), "‘’‚‛′“”„‟″«»–—−", "'''''\"\"\"\"\"\"\"---"), F.lit("…"), F.lit("..."))
-
-
-def remove_urls(text: Column | str) -> Column:
-    return F.regexp_replace(_c(text), URL, "")
-
-
-def collapse_blank_lines(text: Column | str) -> Column:
-    return F.regexp_replace(_c(text), "\n{3,}", "\n\n")
-
-
-def remove_navigation(text: Column | str) -> Column:
-    from chunkloom.functions.textkit import NAVIGATION
-
-    any_of = "(?i)^(" + "|".join(f"(?:{p})" for p in NAVIGATION) + ")$"
-    return F.array_join(F.filter(F.split(_c(text), "\n"), lambda x: ~x.rlike(any_of)), "\n")
-
-
-def setext_to_atx(text: Column | str) -> Column:
-    one = F.regexp_replace(_c(text), r"(?m)^([^\n]+)\n={3,}[ \t]*$", "# $1")
-    return F.regexp_replace(one, r"(?m)^([^-*|\n][^\n]*)\n-{3,}[ \t]*$", "## $1")
-
-
-def count_items(text: Column | str) -> Column:
-    return F.size(F.filter(F.split(_c(text), "\n"), lambda x: x.rlike(MARKER)))
-
-
-def normalize_heading(text: Column | str) -> Column:
-    from chunkloom.operators.roles import ORDINAL
-
-    t = F.regexp_replace(F.regexp_replace(_c(text), r"`([^`]+)`", "$1"), r"^\s*#{1,6}\s*", "")
-    t = F.trim(F.translate(F.replace(t, F.lit("*"), F.lit("")), "_", " "))
-    return casefold(squeeze(F.regexp_replace(F.regexp_replace(t, ORDINAL, ""), r"\s*:\s*$", "")))
-
-
-def heading_intent(text: Column | str) -> Column:
-    """STRUCT<role, field>: the first entry of the rule table that the normalised heading matches."""
-    from chunkloom.operators.roles import INTENTS
-
-    name, out = normalize_heading(text), None
-    for role, kind, pattern in INTENTS:
-        value = F.struct(F.lit(role).alias("role"), F.lit(kind).cast("string").alias("field"))
-        out = F.when(name.rlike(pattern), value) if out is None else out.when(name.rlike(pattern), value)
-    return out
-
-
 def shingles(text: Column | str, size: int = 5) -> Column:
     """Distinct word n-grams; the whole of a shorter text. A text without words has none."""
     def of(words: Column) -> Column:
@@ -187,49 +112,12 @@ def broken_list(text: Column | str) -> Column:
     return F.coalesce((number != "") & ~number.isin("0", "1"), F.lit(False))
 
 
-def alias_share(text: Column | str) -> Column:
-    """The share of segments that begin with the most frequent first word; 0 below five segments."""
-    parts = F.filter(F.transform(F.split(_c(text), r"[;\n•]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    heads = F.filter(F.transform(parts, lambda x: F.regexp_extract(casefold(F.regexp_replace(x, r"[^\p{L}\p{N}_\s]", " ")), r"^\s*(\S+)", 1)), lambda x: x != "")
-    # counted over the sorted heads in one pass: (head, its run, the longest run)
-    start = F.struct(F.lit("").alias("h"), F.lit(0).alias("n"), F.lit(0).alias("top"))
-
-    def step(a: Column, h: Column) -> Column:
-        n = F.when(a["h"] == h, a["n"] + 1).otherwise(1)
-        return F.struct(h.alias("h"), n.alias("n"), F.greatest(a["top"], n).alias("top"))
-
-    top = F.aggregate(F.array_sort(heads), start, step, lambda a: a["top"])
-    return F.when(F.size(parts) >= 5, top / F.size(parts)).otherwise(F.lit(0.0))
-
-
 def length_score(size: Column | str, least: int = 100, target: int = 500, most: int = 800) -> Column:
     s = _c(size)
     over = 0.6 - F.least((s - most) / F.lit(float(most)), F.lit(0.6))
     return F.when(s < least, s / F.lit(float(least)) * 0.6).when(s > most, over).otherwise(F.greatest(F.lit(0.0), 1.0 - F.abs(s - target) / F.lit(float(target)) * 0.7))
 
 
-def mergeable(a: Column | str, b: Column | str) -> Column:
-    """Equal paths up to the last name of the shorter; an empty path goes with all."""
-    x, y = _c(a), _c(b)
-    n = F.least(F.size(x), F.size(y)) - 1
-    return F.when(n < 0, F.lit(True)).when(n == 0, F.lit(True)).otherwise(F.slice(x, 1, F.greatest(n, F.lit(1))) == F.slice(y, 1, F.greatest(n, F.lit(1))))
-
-
-def related(a: Column | str, b: Column | str) -> Column:
-    x, y = _c(a), _c(b)
-    n = F.least(F.size(x), F.size(y))
-    same = F.slice(x, 1, F.greatest(n, F.lit(1))) == F.slice(y, 1, F.greatest(n, F.lit(1)))
-    return F.when(n == 0, F.lit(True)).when(F.size(x) == F.size(y), mergeable(x, y)).otherwise(same)
-
-
 def context_prefix(title: Column, path: Column, source: Column, separator: str = " > ") -> Column:
     line = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value))
     return F.concat_ws("\n", line("Document", title), line("Section", F.array_join(path, separator)), line("Source", source))
-
-
-def merge_terms(a: Column, b: Column, limit: int = 512) -> Column:
-    """Union in order; of terms that differ by case the first."""
-    def of(every: Column) -> Column:
-        return let(F.transform(every, lambda x: casefold(x)), lambda folded: F.filter(every, lambda x, i: F.array_position(folded, casefold(x)) == i + 1))
-
-    return F.slice(let(F.concat(a, b), of), 1, limit)

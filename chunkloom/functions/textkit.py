@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 
+from chunkloom.errors import MissingDependency
+
+_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD = re.compile(r"\w+|[^\w\s]")
 ALNUM = re.compile(r"[^\W_]+")
 CJK = re.compile("[\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff]")
@@ -41,8 +47,35 @@ def count_tokens(text: str) -> int:
     return total
 
 
-def measure(text: str, unit: str) -> int:
-    return len(text) if unit == "characters" else len(text.split()) if unit == "words" else count_tokens(text)
+@lru_cache
+def encoding(path: str):
+    """The byte-level BPE of a rank file."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache
+def tokenizer(spec: str = "heuristic") -> Callable[[str], int]:
+    """What counts tokens: the estimate, or ``tiktoken:`` and a rank file (or the name of an installed encoding)."""
+    if spec in ("", "default", "heuristic", "simple"):
+        return count_tokens
+    kind, _, name = spec.partition(":")
+    if kind != "tiktoken":
+        raise MissingDependency(f"unknown tokenizer {spec}", hint="heuristic, or tiktoken:<rank file>")
+    try:
+        import tiktoken
+
+        enc = encoding(name) if "/" in name else tiktoken.get_encoding(name or "cl100k_base")
+    except (ImportError, OSError, ValueError) as e:
+        raise MissingDependency(f"tokenizer {spec}: {e}") from e
+    return lambda text: len(enc.encode_ordinary(text))
+
+
+def measure(text: str, unit: str, spec: str = "heuristic") -> int:
+    return len(text) if unit == "characters" else len(text.split()) if unit == "words" else tokenizer(spec)(text)
 
 
 def _shortened(text: str, dot: int) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -11,13 +12,23 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from chunkloom.config import Cleaning
 from chunkloom.functions import textkit as T
 from chunkloom.operators import roles
 
 
+def each(f: Callable, kind: DataType, *columns: Column | str) -> Column:
+    """``f``, a function of the kernel, on the values of every row; nulls are its own business."""
+
+    @pandas_udf(kind)
+    def run(*values: pd.Series) -> pd.Series:
+        return pd.Series([f(*v) for v in zip(*values)], dtype=object)
+
+    return run(*columns)
+
+
 @pandas_udf(StringType())
 def normalize(text: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(text, form)])
@@ -66,25 +77,13 @@ def terms(text: pd.Series) -> pd.Series:
     return text.map(lambda t: roles.extract_terms(t or ""))
 
 
-@lru_cache
-def _tiktoken(path: str):
-    import base64
-
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def bpe_count(text: Column | str, path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> Column:
-    """Exact counts of a byte-level BPE given as a rank file; loaded once a worker."""
+def tokenizer_count(text: Column | str, spec: str) -> Column:
+    """Counts of the tokenizer that ``textkit.tokenizer`` gives for ``spec``, loaded once a worker."""
 
     @pandas_udf(LongType())
     def run(t: pd.Series) -> pd.Series:
-        enc = _tiktoken(path)
-        return t.map(lambda x: len(enc.encode_ordinary(x or "")))
+        count = T.tokenizer(spec)
+        return t.map(lambda x: count(x or ""))
 
     return run(text)
 

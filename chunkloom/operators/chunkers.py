@@ -13,7 +13,7 @@ from itertools import pairwise
 from chunkloom.config import Chunking, Semantics
 from chunkloom.functions.textkit import MARKER, measure, paragraphs, sentences
 from chunkloom.operators.blocks import Block, analyze
-from chunkloom.operators.roles import classify, extract_terms
+from chunkloom.operators.roles import classify, extract_terms, merge_terms
 
 _FENCE_LINE = re.compile(r"\s*(```+|~~~+)\s*([\w+#.-]*)")
 _PYTHON_DEF = re.compile(r"(?:@|async\s+def\b|class\b|def\b|if\s+__name__)")
@@ -211,6 +211,12 @@ def related(a: list[str], b: list[str]) -> bool:
     return n == 0 or (a[:n] == b[:n] if len(a) != len(b) else a[:-1] == b[:-1])
 
 
+def mergeable(a: list[str], b: list[str]) -> bool:
+    """Equal up to the last name of the shorter path; an empty path goes with all."""
+    n = min(len(a), len(b)) - 1
+    return n < 0 or a[:n] == b[:n]
+
+
 def common_path(paths: list[list[str]]) -> list[str]:
     out = []
     for names in zip(*paths):
@@ -234,7 +240,7 @@ class Structural:
         self.cfg, self.mode = cfg, mode
 
     def size(self, text: str) -> int:
-        return measure(text, self.cfg.unit)
+        return measure(text, self.cfg.unit, self.cfg.tokenizer)
 
     def chunk(self, blocks: list[Block]) -> list[Draft]:
         c = self.cfg
@@ -384,12 +390,12 @@ class Semantic:
         self.cfg, self.semantics = cfg, semantics
 
     def size(self, text: str) -> int:
-        return measure(text, self.cfg.unit)
+        return measure(text, self.cfg.unit, self.cfg.tokenizer)
 
     def chunk(self, blocks: list[Block]) -> list[Draft]:
         sections = build_sections(blocks, self.cfg.max_heading_depth_split if self.cfg.split_on_headings else 0)
         concepts, extra, terms = self.concepts(sections)
-        shared = {k: list(v.values()) for k, v in terms.items()} if self.semantics.attach_terms_to_chunks else {}
+        shared = terms if self.semantics.attach_terms_to_chunks else {}
         out = [d for u in self.merge(concepts) for d in self.emit(u, shared)]
         for i, u in enumerate(extra):
             out.append(Draft(u.render(), u.path, "metadata", u.role, start=(u.heading or u.blocks[0]).start, end=u.blocks[-1].end, block_types=sorted({b.type for b in u.blocks}), terms=shared if i == 0 else {}))
@@ -397,19 +403,17 @@ class Semantic:
             out = [Draft("\n\n".join(s.render() for s in sections), [], "metadata", "retrieval_terms", start=blocks[0].start, end=blocks[-1].end, block_types=sorted({b.type for b in blocks}), terms=shared)]
         return [d for d in out if d.text.strip()]
 
-    def concepts(self, sections: list[Section]) -> tuple[list[_Concept], list[_Concept], dict[str, dict[str, str]]]:
+    def concepts(self, sections: list[Section]) -> tuple[list[_Concept], list[_Concept], dict[str, list[str]]]:
         out: list[_Concept] = []
         extra: list[_Concept] = []
-        terms: dict[str, dict[str, str]] = {}
+        terms: dict[str, list[str]] = {}
         waiting: list[Block] = []
         for s in sections:
             content = [b for b in s.blocks if not b.is_heading]
             body = "\n\n".join(b.text for b in content if b.text.strip())
             r = classify(body, s.title, self.semantics.min_terms, self.semantics.enabled)
             if r.role == "retrieval_terms":
-                bucket = terms.setdefault(r.field or "keywords", {})
-                for t in ([s.title] if s.title else []) + (r.terms or extract_terms(body)):
-                    bucket.setdefault(t.lower(), t)
+                terms[r.field or "keywords"] = merge_terms(terms.get(r.field or "keywords", []), [s.title] * bool(s.title) + (r.terms or extract_terms(body)))
                 continue
             if not content:
                 waiting += [s.heading] * (s.heading is not None)
@@ -435,7 +439,7 @@ class Semantic:
         for u in units:
             p = out[-1] if out else None
             both = p.size + u.size if p else 0
-            near = p and (not p.path or not u.path or (n := min(len(p.path), len(u.path)) - 1) >= 0 and p.path[:n] == u.path[:n])
+            near = p and mergeable(p.path, u.path)
             if p and both <= c.max_size and (not u.blocks or near and (p.size < c.min_size or both <= c.target_size)):
                 p.blocks += u.inlined()
                 p.size = both
@@ -526,7 +530,7 @@ def overlap_tail(text: str, size: Callable[[str], int], amount: int) -> str:
 
 def apply_overlap(drafts: list[Draft], cfg: Chunking) -> list[Draft]:
     """Repeats the end of a piece at the start of the next of the same split unit, in order, each on the text so made."""
-    size = lambda t: measure(t, cfg.unit)
+    size = lambda t: measure(t, cfg.unit, cfg.tokenizer)
     if cfg.overlap_size <= 0:
         return drafts
     for a, b in pairwise(drafts):

@@ -6,11 +6,16 @@ table of ordered texts. Columns that aren't named pass through.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from chunkloom.functions import exprs as X
+from chunkloom.operators.roles import KNOWLEDGE_ROLES
 from chunkloom.plans.lineage import cut
+from chunkloom.plans.skew import named
 
 
 def neighbours(chunks: DataFrame, doc: str, order: str, chunk_id: str) -> DataFrame:
@@ -47,30 +52,48 @@ def exact_duplicates(chunks: DataFrame, chunk_id: str, text: str, order: list[st
     return keyed.withColumn("duplicate_of", F.when(first != F.col(chunk_id), first)).drop("_hash")
 
 
-def shingle_table(texts: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
-    """``(key, n, shingle)``: hashes of the distinct shingles; written once, since joins read it twice."""
-    s = texts.select(F.col(key).alias("key"), X.shingles(text, size).alias("s"))
-    return cut(s.select("key", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("shingle")))
+def shingle_classes(texts: DataFrame, key: str, text: str, size: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Texts by their shingle sets: ``(key, s, n)`` of the first of each class of equal sets, and ``(rep, key)`` of the others.
+
+    ``s`` are the sorted hashes of the distinct shingles, made within the row; a class is known by 128 bits of
+    hash, so copies meet as counts. Texts without shingles belong nowhere.
+    """
+    hashes = F.array_sort(F.array_distinct(F.transform(X.shingles(text, size), lambda x: F.xxhash64(x))))
+    s = texts.select(F.col(key).alias("key"), hashes.alias("s")).where("size(s) > 0")
+    s = cut(s.select("key", "s", F.xxhash64("s").alias("h1"), F.xxhash64("s", F.lit(1)).alias("h2")))
+    copies = cut(s.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count("*").alias("copies")))
+    sets = s.join(copies.select(F.col("rep").alias("key")), "key").select("key", "s", F.size("s").alias("n"))
+    others = named(s.select("key", "h1", "h2"), copies, "key", ["h1", "h2"]).where("key <> rep").select("rep", "key")
+    return cut(sets), others
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) whose sets reach the threshold, with their similarity."""
+    side = lambda k: sets.select(F.col("key").alias(k), F.col("s").alias(f"s{k}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.withColumn("similarity", X.jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
+def _with_copies(pairs: DataFrame, others: DataFrame) -> DataFrame:
+    return pairs.unionByName(others.select(F.col("rep").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 def near_pairs(texts: DataFrame, key: str, text: str, threshold: float, size: int = 5) -> DataFrame:
-    """``(a, b, similarity)``, a < b, of all pairs whose shingle sets reach the threshold, by a prefix-filtered join.
+    """``(a, b, similarity)``, a < b: the first text of each class of equal shingle sets with each of its copies, and
+    the first texts of all classes whose sets reach the threshold, by a prefix-filtered join.
 
     Two sets of Jaccard similarity t share one of the n - ceil(t * n) + 1 rarest shingles of each; only those
     are joined. A shingle that every text has stands last in every prefix, so hot ones drop out.
     """
-    s = shingle_table(texts, key, text, size)
+    sets, others = shingle_classes(texts, key, text, size)
+    s = sets.select("key", "n", F.explode("s").alias("shingle"))
     df = s.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
     prefix = s.join(df, "shingle", "left").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df is not null")
     p = cut(prefix.select("shingle", "key", "n"))
     a, b = p.select("shingle", F.col("key").alias("a"), F.col("n").alias("na")), p.select("shingle", F.col("key").alias("b"), F.col("n").alias("nb"))
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = a.join(b, "shingle").where(fits).select("a", "b", "na", "nb").distinct()
-    sets = s.groupBy("key").agg(F.collect_list("shingle").alias("s"))
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("similarity", common / (F.col("na") + F.col("nb") - common)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return _with_copies(_verified(a.join(b, "shingle").where(fits).select("a", "b").distinct(), sets, threshold), others)
 
 
 def minhash_bands(num_perm: int, threshold: float) -> tuple[int, int]:
@@ -80,28 +103,59 @@ def minhash_bands(num_perm: int, threshold: float) -> tuple[int, int]:
     return num_perm // r, r
 
 
+def signatures(sets: DataFrame, num_perm: int = 64, columns: list[str] | None = None) -> DataFrame:
+    """``signature``: the least value of each of ``num_perm`` hash functions over ``s``, an array of hashes that isn't empty."""
+    rng = np.random.default_rng(1)
+    mul, add = rng.integers(1, 1 << 63, num_perm, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, num_perm, dtype=np.uint64)
+    keep = columns or [c for c in sets.columns if c != "s"]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                column = batch.column(batch.num_columns - 1)
+                h = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                first = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())[:-1]])
+                out = np.empty((batch.num_rows, num_perm), np.uint64)
+                for k in range(num_perm):
+                    x = h * mul[k] + add[k]
+                    x ^= x >> np.uint64(31)
+                    out[:, k] = np.minimum.reduceat(x * np.uint64(0x94D049BB133111EB), first)
+                sig = pa.FixedSizeListArray.from_arrays(pa.array(out.view(np.int64).ravel()), num_perm).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sig], [*keep, "signature"])
+
+    fields = sets.select(*keep).schema.fields
+    return sets.select(*keep, "s").mapInArrow(run, StructType([*fields, StructField("signature", ArrayType(LongType()))]))
+
+
+def estimated_jaccard(a: Column | str, b: Column | str) -> Column:
+    """The share of places in which two signatures agree; 0 for signatures of different lengths or empty ones."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), same / F.size(a)).otherwise(F.lit(0.0))
+
+
 def minhash_pairs(texts: DataFrame, key: str, text: str, threshold: float, size: int = 5, num_perm: int = 64) -> DataFrame:
     """As near_pairs, with candidates from banded MinHash signatures and exact verification."""
+    sets, others = shingle_classes(texts, key, text, size)
     bands, rows = minhash_bands(num_perm, threshold - 0.1)
-    s = shingle_table(texts, key, text, size)
-    signature = [F.min(F.xxhash64(F.lit(i), "shingle")).alias(f"h{i}") for i in range(num_perm)]
-    sig = s.groupBy("key").agg(F.collect_list("shingle").alias("s"), *signature)
-    band = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    sig = cut(sig.select("key", "s", band.alias("bands")))
-    k = sig.select("key", F.explode("bands").alias("band"))
+    band = F.array(*[F.xxhash64(F.lit(b), *[F.col("signature")[b * rows + r] for r in range(rows)]) for b in range(bands)])
+    k = cut(signatures(sets.select("key", "s"), num_perm).select("key", F.explode(band).alias("band")))
     pairs = k.select("band", F.col("key").alias("a")).join(k.select("band", F.col("key").alias("b")), "band").where("a < b").select("a", "b").distinct()
-    both = pairs.join(sig.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sig.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    return both.withColumn("similarity", X.jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return _with_copies(_verified(pairs, sets, threshold), others)
 
 
 def greedy_originals(pairs: DataFrame) -> DataFrame:
     """``(a, b, similarity)``, a before b -> ``(dup, original, similarity)`` in order of first come, first kept.
 
-    A text is a duplicate of the earliest kept text it is similar to; duplicates are nobody's original. In
+    A text is a duplicate of the earliest kept text it is similar to; duplicates are nobody's original. Pairs of
+    similarity 1 may name the first of equal texts alone: a copy of a duplicate goes to the same original. In
     each round the texts whose earlier neighbours are all decided are decided; rounds follow the longest
     chain of mutually undecided neighbours, and each is a written table.
     """
-    p = cut(pairs.select("a", "b", "similarity").distinct())
+    every = cut(pairs.select("a", "b", "similarity").distinct())
+    # copies wait for what becomes of the first of them
+    twins = every.where("similarity = 1").groupBy("b").agg(F.min("a").alias("a"))
+    p = cut(every.join(twins.select(F.col("b").alias("a")), "a", "left_anti").join(twins.select("b"), "b", "left_anti"))
     out, rounds = None, 0
     while not p.isEmpty():
         # kept for certain: those that are nobody's later neighbour any more
@@ -117,7 +171,10 @@ def greedy_originals(pairs: DataFrame) -> DataFrame:
         gone = found.select(F.col("dup").alias("id"))
         p = p.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
         p = cut(p)
-    return out.drop("_round") if out is not None else p.select(F.col("b").alias("dup"), F.col("a").alias("original"), "similarity")
+    found = out.drop("_round") if out is not None else p.select(F.col("b").alias("dup"), F.col("a").alias("original"), "similarity")
+    of = found.select(F.col("dup").alias("a"), "original", F.col("similarity").alias("_s"))
+    copies = twins.join(of, "a", "left").select(F.col("b").alias("dup"), F.coalesce("original", "a").alias("original"), F.coalesce("_s", F.lit(1.0)).alias("similarity"))
+    return found.unionByName(copies)
 
 
 def size_statistics(chunks: DataFrame, size: str, by: list[str] | None = None) -> DataFrame:
@@ -147,38 +204,40 @@ def breakdown(chunks: DataFrame, key: Column, missing: str, top: int | None = No
     return out.orderBy(F.desc("n"), "key").limit(top) if top else out
 
 
+def flag_counts(chunks: DataFrame, flags: str | Column) -> DataFrame:
+    return chunks.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+def knowledge_counts(chunks: DataFrame, role: str = "semantic_role") -> DataFrame:
+    """One row: chunks of roles that carry knowledge, and the others."""
+    known = F.coalesce(F.col(role).isin(*KNOWLEDGE_ROLES), F.lit(False))
+    return chunks.agg(F.count_if(known).alias("knowledge"), F.count_if(~known).alias("metadata"))
+
+
 def distinct_terms(chunks: DataFrame, terms: str, by: str) -> DataFrame:
     return chunks.select(F.col(by).alias("field"), F.explode(terms).alias("t")).groupBy("field").agg(F.countDistinct(X.casefold("t")).alias("n"))
 
 
 def validate(chunks: DataFrame, chunk_id: str = "id", text: str = "content", doc: str = "document_id", size: str = "size", before: str = "previous_chunk", after: str = "next_chunk", duplicate_of: str | None = None, flags: str | None = None, least: int = 100, most: int = 800, max_duplicates: float = 0.25) -> DataFrame:
     """``(level, code, chunk_id)`` rows: what is wrong with a dataset. One row, EMPTY_DATASET, for an empty one."""
-    c = chunks
     i = F.col(chunk_id).cast("string")
-
-    def rule(level: str, code: str, rows: DataFrame, at: Column = i) -> DataFrame:
-        return rows.select(F.lit(level).alias("level"), F.lit(code).alias("code"), at.alias("chunk_id"))
-
     blank = lambda x: F.coalesce(F.regexp_replace(F.col(x).cast("string"), r"\s+", ""), F.lit("")) == ""
-    ids = c.select(i.alias("_known")).where("_known is not null").distinct()
-    broken = [rule("error", "BROKEN_NEIGHBOR", c.where(F.col(x).isNotNull()).join(ids, F.col(x).cast("string") == F.col("_known"), "left_anti")) for x in (before, after)]
-    out = [
-        rule("error", "DUPLICATE_ID", c.groupBy(chunk_id).count().where("count > 1").where(F.col(chunk_id).isNotNull())), rule("error", "MISSING_ID", c.where(blank(chunk_id))),
-        rule("error", "EMPTY_CONTENT", c.where(blank(text))), rule("warning", "MISSING_DOCUMENT_ID", c.where(blank(doc))), *broken,
-        rule("warning", "OVERSIZED", c.where(F.col(size) > most)), rule("warning", "UNDERSIZED", c.where(F.col(size) < least)),
-    ]
-    none = F.lit(None).cast("string")
-    out.append(rule("warning", "EMPTY_DATASET", c.agg(F.count("*").alias("n")).where("n = 0"), none))
-    if duplicate_of:
-        ratio = F.count_if(F.col(duplicate_of).isNotNull()) / F.nullif(F.count("*"), F.lit(0))
-        out.append(rule("warning", "HIGH_DUPLICATION", c.agg(ratio.alias("r")).where(F.col("r") > max_duplicates), none))
+    issue = lambda level, code: F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))
+    on = {("error", "MISSING_ID"): blank(chunk_id), ("error", "EMPTY_CONTENT"): blank(text), ("warning", "MISSING_DOCUMENT_ID"): blank(doc), ("warning", "OVERSIZED"): F.col(size) > most, ("warning", "UNDERSIZED"): F.col(size) < least}
+    found = [F.when(F.coalesce(test, F.lit(False)), issue(*name)) for name, test in on.items()]
     if flags:
-        f = c.select(i.alias("_i"), F.explode(flags).alias("_f")).where(F.col("_f").isin("code_split", "broken_sentence"))
-        out.append(f.select(F.lit("warning").alias("level"), F.upper("_f").alias("code"), F.col("_i").alias("chunk_id")))
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result
+        found += [F.when(F.coalesce(F.array_contains(flags, f), F.lit(False)), issue("warning", f.upper())) for f in ("code_split", "broken_sentence")]
+    rows = chunks.select(i.alias("chunk_id"), F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.level", "x.code", "chunk_id")
+    # ids, counted once, say which are there twice and which neighbours are there at all
+    ids = cut(chunks.select(i.alias("chunk_id")).where("chunk_id is not null").groupBy("chunk_id").count())
+    twice = ids.where("count > 1").select(F.lit("error").alias("level"), F.lit("DUPLICATE_ID").alias("code"), "chunk_id")
+    named_ = chunks.select(i.alias("chunk_id"), F.explode(F.array_compact(F.array(F.col(before).cast("string"), F.col(after).cast("string")))).alias("_known"))
+    broken = named_.join(ids.select(F.col("chunk_id").alias("_known")), "_known", "left_anti").select(F.lit("error").alias("level"), F.lit("BROKEN_NEIGHBOR").alias("code"), "chunk_id")
+    copies = F.count_if(F.col(duplicate_of).isNotNull()) if duplicate_of else F.lit(0)
+    whole = chunks.agg(F.count("*").alias("n"), copies.alias("copies"))
+    about = F.array_compact(F.array(F.when(F.col("n") == 0, issue("warning", "EMPTY_DATASET")), F.when(F.col("copies") > max_duplicates * F.col("n"), issue("warning", "HIGH_DUPLICATION"))))
+    whole = whole.select(F.explode(about).alias("x")).select("x.level", "x.code", F.lit(None).cast("string").alias("chunk_id"))
+    return rows.unionByName(twice).unionByName(broken).unionByName(whole)
 
 
 def issue_summary(issues: DataFrame) -> DataFrame:

@@ -82,8 +82,13 @@ register_provider("ollama", _ollama)
 register_provider("openai-compatible", _compatible)
 
 
+def embedding_text(prefix: bool = True) -> Column:
+    """What is embedded of a chunk: its context prefix, where it has one, and its content."""
+    head = F.nullif("context_prefix", F.lit("")) if prefix else F.lit(None).cast("string")
+    return F.concat_ws("\n\n", head, "content")
+
+
 def embed_chunks(chunks: DataFrame, cfg: Embeddings) -> DataFrame:
     if cfg.provider not in _PROVIDERS:
         raise EmbeddingError(f"unknown provider {cfg.provider}", hint=", ".join(available_providers()))
-    prefix = F.nullif("context_prefix", F.lit("")) if cfg.embed_context_prefix and "context_prefix" in chunks.columns else F.lit(None).cast("string")
-    return chunks.withColumn("embedding", _PROVIDERS[cfg.provider](cfg)(F.concat_ws("\n\n", prefix, "content")))
+    return chunks.withColumn("embedding", _PROVIDERS[cfg.provider](cfg)(embedding_text(cfg.embed_context_prefix and "context_prefix" in chunks.columns)))

@@ -154,6 +154,14 @@ def extract_terms(text: str, limit: int | None = None) -> list[str]:
     return list(found.values())[:limit]
 
 
+def merge_terms(terms: list[str], more: list[str]) -> list[str]:
+    """Both in order; of terms that differ by case the first."""
+    found: dict[str, str] = {}
+    for t in (*terms, *more):
+        found.setdefault(casefold(t), t)
+    return list(found.values())
+
+
 @dataclass
 class Role:
     role: str = "knowledge"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,13 @@ def find(chunks: DataFrame, selector: str, chunk_id: str = "id", index: str = "c
     return hit.orderBy("_rank", *order).limit(1).drop("_rank")
 
 
+def previews(documents: DataFrame, chunks: DataFrame, doc: str = "document_id", chunk_id: str = "id", order: str = "chunk_index", start: str = "start_offset", end: str = "end_offset", section: str = "section", kind: str = "content_type") -> DataFrame:
+    """``documents`` with ``spans``, where its chunks begin and end in its text, in their order; [] for a document without chunks."""
+    span = F.struct(F.col(order).alias("chunk_index"), F.col(chunk_id).alias("chunk_id"), F.col(start).alias("start"), F.col(end).alias("end"), F.col(section).alias("section"), F.col(kind).alias("content_type"))
+    spans = chunks.groupBy(doc).agg(F.array_sort(F.collect_list(span)).alias("spans"))  # chunks of one document
+    return documents.join(spans, doc, "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
+
+
 def terms_of(texts: DataFrame, key: str, text: str) -> DataFrame:
     words = F.regexp_extract_all(X.casefold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return texts.select(F.col(key).alias("key"), F.explode(words).alias("term")).where(~F.col("term").isin(*STOPWORDS))
@@ -77,10 +86,62 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, top: int = 5) -> DataFrame:
-    """``(query, key, cosine, rank)`` by full scan; the query itself isn't its own neighbour."""
-    unit = lambda v: F.sqrt(dot(v, v))
-    v = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).withColumn("norm", unit(F.col("v")))
-    q = queries.select(F.col(query_key).alias("query"), F.col(vector).alias("qv")).withColumn("qnorm", unit(F.col("qv")))
-    s = v.join(q, F.col("key") != F.col("query")).select("query", "key", F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qnorm")), 6).alias("cosine"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "key"))).where(F.col("rank") <= top)
+def _best(query: np.ndarray, cosine: np.ndarray, key: np.ndarray, top: int) -> np.ndarray:
+    """The places of each query's ``top`` highest cosines; of equal ones those of the smallest keys."""
+    order = np.lexsort((key, -cosine, query))
+    q = query[order]
+    return order[np.arange(len(q)) - np.searchsorted(q, q) < top]
+
+
+def cosine_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, top: int = 5, block: int = 4096) -> DataFrame:
+    """``(query, key, cosine, rank)`` by full scan; the query itself isn't its own neighbour.
+
+    Queries are broadcast in blocks of ``block`` and multiplied with Arrow batches; each task keeps the best of
+    what it saw, so no pair leaves it but ``top`` for each query. Null vectors and those of another length than
+    the query have no cosine; a zero vector has 0.
+    """
+    spark = vectors.sparkSession
+    v = vectors.select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and key is not null")
+    q = queries.select(F.col(query_key).cast("bigint").alias("query"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and query is not null")
+    blocks, out = max(1, -(-q.count() // block)), None
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toArrow().sort_by("query")
+        shared = spark.sparkContext.broadcast((rows.column("query").to_numpy(), rows.column("v").combine_chunks()))
+        found = v.mapInArrow(_scan(shared, top), "query bigint, key bigint, cosine double")
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "key"))).where(F.col("rank") <= top)
+
+
+def _scan(shared, top: int):
+    def by_length(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        n, flat = column.value_lengths().to_numpy(), column.flatten().to_numpy(zero_copy_only=False)
+        first = np.cumsum(n) - n
+        out = {}
+        for d in np.unique(n):
+            at = np.flatnonzero(n == d)
+            x = flat[first[at][:, None] + np.arange(d)]
+            out[int(d)] = at, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        return out
+
+    def run(batches):
+        ids, column = shared.value
+        of = by_length(column)
+        query, near, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        worst = np.full(len(ids), -np.inf)  # the last cosine of each query's full list
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for d, (at, x) in by_length(batch.column(1)).items():
+                if d not in of:
+                    continue
+                mine, units = of[d]
+                s = np.round(units @ x.T, 6)
+                r, c = np.nonzero((s >= worst[mine][:, None]) & (ids[mine][:, None] != keys[at]))
+                query, near, cosine = np.concatenate([query, mine[r]]), np.concatenate([near, keys[at[c]]]), np.concatenate([cosine, s[r, c]])
+                best = _best(query, cosine, near, top)
+                query, near, cosine = query[best], near[best], cosine[best]
+                n = np.bincount(query, minlength=len(ids))
+                full = np.flatnonzero(n >= top)
+                worst[full] = cosine[np.cumsum(n)[full] - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(near), pa.array(cosine)], ["query", "key", "cosine"])
+
+    return run

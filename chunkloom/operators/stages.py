@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chunkloom.config import Config
 from chunkloom.functions import exprs as X
 from chunkloom.functions import textkit as T
+from chunkloom.functions import udfs as U
 from chunkloom.operators import corpus
 from chunkloom.operators.blocks import analyze
 from chunkloom.operators.chunkers import chunk_blocks
@@ -31,7 +32,7 @@ _EXTRA = pa.struct([
     ("block_split", pa.bool_()), ("code_split", pa.bool_()), ("heading_only", pa.bool_()),
 ])
 _MEASURES = pa.struct([
-    ("body", pa.string()), ("is_terms", pa.bool_()), ("fenced", pa.float64()), ("verb_ratio", pa.float64()), ("sentences", pa.int32()), ("brackets", pa.bool_()), ("topic_shift", pa.bool_()),
+    ("first", pa.string()), ("last", pa.string()), ("is_terms", pa.bool_()), ("fenced", pa.float64()), ("verb_ratio", pa.float64()), ("sentences", pa.int32()), ("brackets", pa.bool_()), ("topic_shift", pa.bool_()),
     ("words", pa.int32()), ("meaningful", pa.int32()), ("distinct", pa.int32()), ("alnum", pa.float64()), ("alias", pa.float64()),
 ])
 _CHUNK = pa.struct([
@@ -39,7 +40,7 @@ _CHUNK = pa.struct([
     ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("overlap_prefix_chars", pa.int32()), ("sentence_count", pa.int32()), ("size", pa.int32()), ("word_count", pa.int32()), ("token_count", pa.int32()),
     ("retrieval", pa.struct([(f, pa.list_(pa.string())) for f in FIELDS])), ("extra", _EXTRA), ("measures", _MEASURES),
 ])
-_OUT = [("strategy", pa.string()), ("content", pa.string()), ("characters", pa.int64()), ("error", pa.string()), ("blocks", pa.list_(_BLOCK)), ("chunks", pa.list_(_CHUNK))]
+_OUT = [("strategy", pa.string()), ("content", pa.string()), ("characters", pa.int64()), ("error", pa.string()), ("n_blocks", pa.int32()), ("blocks", pa.list_(_BLOCK)), ("chunks", pa.list_(_CHUNK))]
 
 
 def _ddl(t: pa.DataType) -> str:
@@ -75,21 +76,26 @@ def topic_shift(parts: list[str]) -> bool:
     return min(len(a), len(b)) >= 5 and len(a & b) < 0.05 * min(len(a), len(b))
 
 
+def alias_share(body: str) -> float:
+    """The share of segments that begin with the most frequent first word; 0 below five segments."""
+    segments = [x for x in map(str.strip, T.re.split(r"[;\n•]", body)) if x]
+    heads = Counter(T.casefold(w[0]) for w in (T.re.sub(r"[^\w\s]", " ", x).split() for x in segments) if w)
+    return max(heads.values(), default=0) / len(segments) if len(segments) >= 5 else 0.0
+
+
 def _measures(text: str, kind: str) -> dict:
     body = "\n".join(x for x in text.split("\n") if not T.re.match(r"\s{0,3}#{1,6}\s", x)).strip()
     s, parts = shape_of(text), T.sentences(body)
     words = body.split()
     meaning = [w for w in (T.casefold(x.strip(".,;:!?()[]{}\"'`*")) for x in words) if w and w not in _STOP]
-    segments = [x for x in map(str.strip, T.re.split(r"[;\n•]", body)) if x]
-    heads = Counter(T.casefold(w[0]) for w in (T.re.sub(r"[^\w\s]", " ", x).split() for x in segments) if w)
-    return {"words": len(words), "meaningful": len(meaning), "distinct": len(set(meaning)), "alnum": T.alnum_share(body), "alias": max(heads.values(), default=0) / len(segments) if len(segments) >= 5 else 0.0,
-        "body": body, "is_terms": s.is_terms, "fenced": s.fenced, "verb_ratio": s.verb_ratio, "sentences": len(parts), "brackets": brackets_balanced(text), "topic_shift": kind == "text" and topic_shift(parts)}
+    return {"words": len(words), "meaningful": len(meaning), "distinct": len(set(meaning)), "alnum": T.alnum_share(body), "alias": alias_share(body),
+        "first": body.split("\n", 1)[0], "last": body.rsplit("\n", 1)[-1], "is_terms": s.is_terms, "fenced": s.fenced, "verb_ratio": s.verb_ratio, "sentences": len(parts), "brackets": brackets_balanced(text), "topic_shift": kind == "text" and topic_shift(parts)}
 
 
-def kernel(text: str | None, cfg: Config) -> dict:
+def kernel(text: str | None, cfg: Config, with_blocks: bool = True) -> dict:
     """What the stages up to chunking make of one document; an error is a value, so one bad document stops nothing."""
     raw = text or ""
-    out = {"strategy": None, "content": None, "characters": len(raw), "error": None, "blocks": [], "chunks": []}
+    out = {"strategy": None, "content": None, "characters": len(raw), "error": None, "n_blocks": 0, "blocks": [], "chunks": []}
     try:
         out["content"] = content = T.clean(raw, cfg.cleaning)
         blocks = analyze(content)
@@ -99,12 +105,13 @@ def kernel(text: str | None, cfg: Config) -> dict:
     out["blocks"] = [{
         "block": i, "type": b.type, "text": b.text, "level": b.level, "heading_path": b.path, "language": b.language, "first_line": b.first_line, "last_line": b.last_line,
         "start_offset": b.start, "end_offset": b.end, "items": b.items, "rows": b.rows, "has_header": b.has_header, "fenced": b.fenced, "closed": b.closed,
-    } for i, b in enumerate(blocks)]
+    } for i, b in enumerate(blocks)] if with_blocks else []
+    out["n_blocks"] = len(blocks)
     for i, d in enumerate(drafts):
         t = d.text.strip()
         out["chunks"].append({
             "chunk_index": i, "content": t, "heading_path": d.path, "content_type": d.content_type, "semantic_role": d.role, "language": d.language, "start_offset": d.start, "end_offset": d.end,
-            "overlap_prefix_chars": d.overlap_chars, "sentence_count": len(T.sentences(t)), "size": T.measure(t, cfg.chunking.unit), "word_count": len(t.split()), "token_count": T.count_tokens(t),
+            "overlap_prefix_chars": d.overlap_chars, "sentence_count": len(T.sentences(t)), "size": T.measure(t, cfg.chunking.unit, cfg.chunking.tokenizer), "word_count": len(t.split()), "token_count": T.measure(t, "tokens", cfg.chunking.tokenizer),
             "retrieval": {f: d.terms.get(f, [])[: cfg.semantics.max_terms_per_field] for f in FIELDS},
             "extra": {k: getattr(d, k) for k in ("block_types", "merged_sections", "part_index", "part_total", "block_split", "code_split", "heading_only")},
             "measures": _measures(t, d.content_type),
@@ -112,10 +119,11 @@ def kernel(text: str | None, cfg: Config) -> dict:
     return out
 
 
-def process(documents: DataFrame, cfg: Config | None = None) -> DataFrame:
+def process(documents: DataFrame, cfg: Config | None = None, with_blocks: bool = True) -> DataFrame:
     """``(document_id, title, source, content)`` -> a row per document with its cleaned text, blocks and chunks.
 
-    Null texts are empty documents; other columns are ignored.
+    Null texts are empty documents; other columns are ignored. Blocks, which only the audit reads, hold the
+    text once more and may be left out.
     """
     cfg = cfg or Config()
     d = documents.select(F.col("document_id").cast("string"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("source", F.lit("")).alias("source"), F.col("content").cast("string"))
@@ -124,7 +132,7 @@ def process(documents: DataFrame, cfg: Config | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = [kernel(t, cfg) for t in part.column(3).to_pylist()]
+                rows = [kernel(t, cfg, with_blocks) for t in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array([r[n] for r in rows], t) for n, t in _OUT)], ["document_id", "title", "source", *(n for n, _ in _OUT)])
 
     return d.mapInArrow(run, SCHEMA)
@@ -156,7 +164,9 @@ def enrich(chunks: DataFrame, cfg: Config | None = None) -> DataFrame:
     out = out.withColumn("context_prefix", prefix if x.add_prefix else F.lit(None).cast("string"))
     if x.add_prefix and x.prepend_context_to_content:
         out = out.withColumn("content", F.when(F.col("context_prefix") != "", F.concat("context_prefix", F.lit("\n\n"), "content")).otherwise(F.col("content")))
-        out = out.withColumns({"size": X.measure("content", cfg.chunking.unit), "char_count": F.length("content"), "word_count": X.count_words("content"), "token_count": X.count_tokens("content")})
+        tokens = X.count_tokens("content") if cfg.chunking.tokenizer == "heuristic" else U.tokenizer_count("content", cfg.chunking.tokenizer)
+        out = out.withColumns({"token_count": tokens.cast("int"), "char_count": F.length("content"), "word_count": X.count_words("content")})
+        out = out.withColumn("size", F.col({"characters": "char_count", "words": "word_count"}.get(cfg.chunking.unit, "token_count")))
     return out
 
 
@@ -194,18 +204,18 @@ def score(chunks: DataFrame, cfg: Config | None = None) -> DataFrame:
     cfg = cfg or Config()
     q, c = cfg.quality, cfg.chunking
     m = F.col("measures")
-    body, kind, role = m["body"], F.col("content_type"), F.col("semantic_role")
+    # the body has no white space at its ends: if it is empty, so is its first line
+    first, last, kind, role = m["first"], m["last"], F.col("content_type"), F.col("semantic_role")
     n = m["words"]
-    empty = F.trim(F.regexp_replace(body, r"\s+", " ")) == ""
+    empty = first == ""
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     minus = lambda condition, x: F.when(F.coalesce(condition, F.lit(False)), F.lit(x)).otherwise(F.lit(0.0))
 
     length = X.length_score("size", c.min_size, c.target_size, c.max_size)
-    fences, table, cut_list = ~X.balanced_fences("content"), X.broken_table("content"), F.col("extra")["block_split"] & X.broken_list(body)
+    fences, table, cut_list = ~X.balanced_fences("content"), X.broken_table("content"), F.col("extra")["block_split"] & X.broken_list(first)
     prose = ~empty & ~kind.isin("table", "list", "code", "heading", "metadata")
-    last = F.substring_index(body, "\n", -1)  # the body has no white space at its end
     open_end = prose & ~F.trim(last).rlike(r"^(- |\* |\+ |\||>|```|~~~|(?:\d+|[a-zA-Z])[.)]\s)") & ~X.ends_sentence(last)
-    low_start = prose & (kind == "text") & X.starts_lower(body)
+    low_start = prose & (kind == "text") & X.starts_lower(first)
     shift = (kind == "text") & m["topic_shift"] & (m["sentences"] > 5)
     coherence = unit(1.0 - minus(fences, 0.3) - minus(F.col("extra")["code_split"], 0.2) - minus(table, 0.25) - minus(cut_list, 0.15) - minus(open_end, 0.3) - minus(low_start, 0.15) - minus(~m["brackets"], 0.1) - minus(shift, 0.1))
 
@@ -259,11 +269,19 @@ def audit(processed: DataFrame, chunks: DataFrame, strict: bool = False) -> Data
 
 def reports(processed: DataFrame) -> DataFrame:
     """A row per document, failed ones too: characters before cleaning, blocks, chunks, strategy, error."""
-    return processed.select("document_id", "title", "source", "characters", F.size("blocks").alias("blocks"), F.size("chunks").alias("chunks"), "strategy", "error")
+    return processed.select("document_id", "title", "source", "characters", F.col("n_blocks").alias("blocks"), F.size("chunks").alias("chunks"), "strategy", "error")
+
 
+def run(documents: DataFrame, cfg: Config | None = None, audited: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """The finished chunk table and the per-document kernel output it was made of (written once).
 
-def run(documents: DataFrame, cfg: Config | None = None) -> tuple[DataFrame, DataFrame]:
-    """The finished chunk table and the per-document kernel output it was made of (written once)."""
+    Blocks are kept for ``audit`` unless quality.validate_information_loss (or ``audited``) says otherwise.
+    """
     cfg = cfg or Config()
-    processed = corpus.cut(process(documents, cfg))
-    return finalize(enrich(chunks_of(processed, cfg), cfg), cfg), processed
+    processed = corpus.cut(process(documents, cfg, cfg.quality.validate_information_loss if audited is None else audited))
+    chunks = finalize(enrich(chunks_of(processed, cfg), cfg), cfg)
+    if cfg.embeddings.enabled:
+        from chunkloom.operators.embeddings import embed_chunks
+
+        chunks = embed_chunks(chunks, cfg.embeddings)
+    return chunks, processed

@@ -8,15 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from chunkloom.config import Chunking, Config, Semantics
+from chunkloom.config import Chunking, Cleaning, Config, Embeddings, Semantics
 from chunkloom.functions import exprs as X
 from chunkloom.functions import udfs as U
-from chunkloom.operators import corpus, search, stages
-from chunkloom.operators.roles import INTENTS, KNOWLEDGE_ROLES
-from chunkloom.sources import tables
+from chunkloom.functions import textkit as T
+from chunkloom.operators import blocks, chunkers, corpus, embeddings, roles, search, stages
+from chunkloom.operators.roles import INTENTS, NEEDS_PARENT
+from chunkloom.plans.lineage import checkpoint_dir, cut
+from chunkloom.sinks import records, writers
+from chunkloom.sources import files, parsers, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +39,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+TEXT, TEXTS, COUNT = StringType(), ArrayType(StringType()), LongType()
+
+
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -71,24 +80,36 @@ _HASH = "sha256(" + _FOLD.format(x=_SQUEEZE.format(x="{x}")) + ")"
 
 @query("A4_default_title", "SELECT doc_id, upper(source[1:1]) || lower(source[2:]) || ' ' || upper(lang[1:1]) || lower(lang[2:]) || ' NOTES' AS title FROM documents")
 def a4(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.default_title(F.concat(F.lit("in/"), "source", F.lit("_"), "lang", F.lit("-NOTES.md"))).alias("title"))
+    path = F.concat(F.lit("in/"), "source", F.lit("_"), "lang", F.lit("-NOTES.md"))
+    return _t(spark, d, "documents").select("doc_id", U.each(parsers.default_title, TEXT, path).alias("title"))
 
 
-@query("A5_title_policy", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_extract(html, '<title>(.*?)</title>', 1) ELSE 'Page ' || page_id END AS title FROM pages")
+@query("A5_title_policy", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) ELSE 'Page ' || page_id END AS title FROM pages")
 def a5(spark, d):
-    own, given = F.regexp_extract("html", "<title>(.*?)</title>", 1), X.default_title(F.concat(F.lit("/x/page_"), F.col("page_id").cast("string"), F.lit(".html")))
-    return _t(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.coalesce(F.nullif(own, F.lit("")), given)).otherwise(given).alias("title"))
+    html = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise("<p>nothing that names it</p>")
+    path = F.concat(F.lit("/x/page_"), F.col("page_id").cast("string"), F.lit(".html"))
+    return _t(spark, d, "pages").select("page_id", U.each(lambda h, p: parsers.parse_bytes(h.encode(), p).title, TEXT, html, path).alias("title"))
 
 
-@query("A6_text_title", "SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:9], lambda x: trim(x)), lambda x: x <> '' AND length(x) <= 120)[1] AS title FROM documents")
+@query("A6_text_title", "SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:9], lambda x: trim(x)), lambda x: x <> '' AND length(x) <= 120)[1], '') AS title, text AS content FROM documents")
 def a6(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.first_line_title("text").alias("title"))
+    parsed = U.each(lambda t: [(p := parsers.parse_text(t)).title, p.content], TEXTS, "text")
+    return _t(spark, d, "documents").select("doc_id", parsed.alias("p")).select("doc_id", F.col("p")[0].alias("title"), F.col("p")[1].alias("content"))
 
 
 @query("A7b_setext_headings", "SELECT conv_id, turn, '# ' || role || chr(10) || 'text' || chr(10) || '## ' || 'part ' || turn || chr(10) || '- item' || chr(10) || '---' AS text FROM conversations")
 def a7b(spark, d):
     raw = F.concat("role", F.lit("\n====\ntext\npart "), F.col("turn").cast("string"), F.lit("\n-----\n- item\n---"))
-    return _t(spark, d, "conversations").select("conv_id", "turn", X.setext_to_atx(raw).alias("text"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", U.each(lambda t: parsers.parse_markdown(t).content, TEXT, raw).alias("text"))
+
+
+@query("A7_front_matter", """
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Talk ' || conv_id ELSE role END AS title, CASE WHEN turn % 2 = 0 THEN role END AS speaker, '## ' || role || chr(10) || 'said' AS content FROM conversations""")
+def a7(spark, d):
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn") % 2 == 0
+    raw = F.concat(F.when(turn, F.concat(F.lit("---\ntitle: Talk "), conv, F.lit("\nspeaker: "), "role", F.lit("\n---\n"))).otherwise(""), F.lit("## "), "role", F.lit("\nsaid"))
+    parsed = U.each(lambda t: [(p := parsers.parse_markdown(t)).title, p.metadata.get("speaker"), p.content], TEXTS, raw)
+    return _t(spark, d, "conversations").select("conv_id", "turn", parsed.alias("p")).select("conv_id", "turn", F.col("p")[0].alias("title"), F.col("p")[1].alias("speaker"), F.col("p")[2].alias("content"))
 
 
 @query("A8_html_to_markdown")
@@ -96,11 +117,55 @@ def a8(spark, d):
     return tables.pages_as_documents(_t(spark, d, "pages"))
 
 
-@query("A9b_record_heading", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END, CASE WHEN o_orderkey % 3 = 1 THEN o_orderpriority END, CAST(o_orderkey AS VARCHAR)) AS heading FROM orders")
+@query("A8a_tags_to_markdown", """
+SELECT p_partkey, p_name AS title, '# ' || p_name || chr(10) || chr(10) || 'Made by **' || p_brand || '** as *' || p_type || '*.' || chr(10) || chr(10) || '- size ' || p_size || chr(10) || chr(10) || '  1. ' || p_brand || chr(10) || chr(10) || '> ' || p_brand || chr(10) || chr(10)
+  || '| key | price |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_partkey || ' | a\\|b |' || chr(10) || chr(10) || '```sql' || chr(10) || 'select  ' || p_partkey || chr(10) || '```' || chr(10) || chr(10) || '[image: ' || p_type || ']' AS markdown FROM part""")
+def a8a(spark, d):
+    part = lambda c: F.col(c).cast("string")
+    html = F.concat(
+        F.lit("<html><head><title> "), part("p_name"), F.lit(" </title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><h1>"), part("p_name"), F.lit("</h1><p>Made by <b>"), part("p_brand"), F.lit("</b>\n as <em>"), part("p_type"),
+        F.lit("</em>.</p><ul><li>size "), part("p_size"), F.lit("<ol><li>"), part("p_brand"), F.lit("</li></ol></li></ul><blockquote>"), part("p_brand"), F.lit("</blockquote><table><tr><th>key<th>price</tr><tr><td>"), part("p_partkey"),
+        F.lit("</td><td>a|b</td></tr></table><pre><code class='language-sql'>select  "), part("p_partkey"), F.lit("</code></pre><script>no()</script><img alt='"), part("p_type"), F.lit("'><footer>x</footer></body></html>"),
+    )
+    pages = _t(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    return tables.pages_as_documents(pages).select(F.col("page_id").alias("p_partkey"), "title", F.col("content").alias("markdown"))
+
+
+@query("A9b_record_heading", "SELECT o_orderkey, '## ' || CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE CAST(o_orderkey AS VARCHAR) END AS heading FROM orders")
 def a9b(spark, d):
     k = F.col("o_orderkey") % 3
     record = F.to_json(F.struct(F.when(k == 0, F.col("o_orderstatus")).alias("title"), F.when(k == 1, F.col("o_orderpriority")).alias("name"), F.col("o_orderkey").alias("id")))
-    return _t(spark, d, "orders").select("o_orderkey", tables.record_heading(record).alias("heading"))
+    heading = U.each(lambda r: parsers.parse_json(f"[{r}]").content.split("\n")[0], TEXT, record)
+    return _t(spark, d, "orders").select("o_orderkey", heading.alias("heading"))
+
+
+@query("A9_json_documents", """
+SELECT c_custkey, c_name AS title, '# ' || c_name || chr(10) || '- name: ' || c_name || chr(10) || '- mkt segment: ' || c_mktsegment || chr(10) || '- active: ' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || chr(10) || '- none: ' || chr(10)
+  || '## nation' || chr(10) || '- key: ' || c_nationkey || chr(10) || '### codes' || chr(10) || c_nationkey || ', x' || chr(10) || '## rows' || chr(10) || '### rows 1' || chr(10) || '- a: 1' || chr(10) || '- plain' || chr(10) || '## empty' || chr(10) || '(empty)' AS content FROM customer""")
+def a9(spark, d):
+    nation = F.struct(F.col("c_nationkey").alias("key"), F.array(F.col("c_nationkey").cast("string"), F.lit("x")).alias("codes"))
+    record = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("mkt_segment"), (F.col("c_custkey") % 2 == 0).alias("active"), nation.alias("nation")))
+    text = F.regexp_replace(F.regexp_replace(record, r'"nation":', '"none":null,"nation":'), r"\}\}$", '},"rows":[{"a":1},"plain"],"empty":[]}')
+    parsed = U.each(lambda t: [(p := parsers.parse_json(t)).title, p.content], TEXTS, text)
+    return _t(spark, d, "customer").select("c_custkey", parsed.alias("p")).select("c_custkey", F.col("p")[0].alias("title"), F.col("p")[1].alias("content"))
+
+
+@query("A9a_json_lines", "SELECT n_regionkey, string_agg('## ' || n_name || chr(10) || '- name: ' || n_name || chr(10) || '- key: ' || n_nationkey, chr(10) || chr(10) ORDER BY n_nationkey) AS content FROM nation GROUP BY n_regionkey")
+def a9a(spark, d):
+    line = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key")))
+    lines = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("x")))).alias("l"))
+    return lines.select("n_regionkey", U.each(lambda t: parsers.parse_json(t).content, TEXT, F.array_join(F.transform("l", lambda x: x["x"]), "\n\n")).alias("content"))
+
+
+def _nation_csv(spark, d) -> DataFrame:
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(";"), "n_name", F.lit(";;a, b"))
+    lines = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("x")))).alias("l"))
+    return lines.select("n_regionkey", F.concat(F.lit("n_nationkey;n_name;none;\n"), F.array_join(F.transform("l", lambda x: x["x"]), "\n"), F.lit("\n;;;\n")).alias("text"))
+
+
+@query("A10_csv_sections", "SELECT n_regionkey, string_agg('## ' || n_nationkey || chr(10) || '- n_name: ' || n_name || chr(10) || '- column_4: a, b', chr(10) || chr(10) ORDER BY n_nationkey) AS content FROM nation GROUP BY n_regionkey")
+def a10(spark, d):
+    return _nation_csv(spark, d).select("n_regionkey", U.each(lambda t: parsers.parse_csv(t, "x.csv").content, TEXT, "text").alias("content"))
 
 
 @query("A10b_rows_as_sections", "SELECT p_partkey, '## ' || p_partkey || chr(10) || '- p_name: ' || p_name || chr(10) || '- p_brand: ' || p_brand || chr(10) || '- p_type: ' || p_type || chr(10) || '- p_size: ' || p_size AS section FROM part")
@@ -108,9 +173,9 @@ def a10b(spark, d):
     return _t(spark, d, "part").select("p_partkey", tables.row_section(["p_partkey", "p_name", "p_brand", "p_type", "p_size"]).alias("section"))
 
 
-@query("A10c_rows_as_table", "SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")
+@query("A10c_rows_as_table", "SELECT n_regionkey, '| n_nationkey | n_name | none | column_4 |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |  | a, b |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey")
 def a10c(spark, d):
-    return tables.markdown_table(_t(spark, d, "nation"), ["n_nationkey", "n_name"], "n_nationkey", by="n_regionkey")
+    return _nation_csv(spark, d).select("n_regionkey", U.each(lambda t: parsers.parse_csv(t, "x.csv", "table").content, TEXT, "text").alias("markdown"))
 
 
 @query("A11b_page_boilerplate", """
@@ -119,16 +184,44 @@ c AS (SELECT conv_id, turn, unnest(CASE WHEN len(xs) >= 4 THEN list_concat(xs[1:
 p AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY 1)
 SELECT c.conv_id, line, count(*) AS n FROM c JOIN p USING (conv_id) WHERE pages >= 3 AND length(line) BETWEEN 3 AND 120 GROUP BY c.conv_id, line, pages HAVING count(*) >= greatest(3, CAST(floor(0.6 * pages) AS BIGINT))""")
 def a11b(spark, d):
-    return tables.page_boilerplate(_t(spark, d, "conversations").select("conv_id", "turn", F.replace(F.concat(F.lit("Report "), F.col("conv_id").cast("string"), F.lit(". "), "text"), F.lit(". "), F.lit("\n")).alias("text")), "conv_id", "text")
+    pages = _t(spark, d, "conversations").select("conv_id", "turn", F.replace(F.concat(F.lit("Report "), F.col("conv_id").cast("string"), F.lit(". "), "text"), F.lit(". "), F.lit("\n")).alias("text"))
+    whole = pages.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pages"))
+    found = U.each(lambda p: list(parsers.boilerplate_lines([[x.strip() for x in t.split("\n")] for t in p]).items()), ArrayType(StructType([StructField("line", TEXT), StructField("n", COUNT)])), "pages")
+    return whole.select("conv_id", F.inline(found))
 
 
 @query("A11d_heading_lines", """
-WITH l AS (SELECT doc_id, trim(unnest(string_split(CASE WHEN doc_id % 2 = 0 THEN '2.1 Heading' ELSE 'SUMMARY' END || chr(10) || text, chr(10)))) AS line FROM documents)
-SELECT doc_id, line, CASE WHEN regexp_matches(line, '^\\d+(\\.\\d+)*\\.?\\s+\\p{Lu}') THEN least(6, 2 + length(regexp_replace(regexp_extract(line, '^[\\d.]*\\d'), '[^.]', '', 'g'))) ELSE 2 END AS level FROM l
-WHERE line <> '' AND len(string_split(line, ' ')) <= 10 AND NOT regexp_matches(line, '[.!?,;:]$') AND (regexp_matches(line, '^\\d+(\\.\\d+)*\\.?\\s+\\p{Lu}') OR (line = upper(line) AND regexp_matches(line, '\\p{Lu}')))""")
+WITH l AS (SELECT doc_id, trim(unnest(string_split(CASE WHEN doc_id % 3 = 0 THEN '2.1 Heading' WHEN doc_id % 3 = 1 THEN 'SUMMARY' ELSE 'Tables of the Year' END || chr(10) || text, chr(10)))) AS line FROM documents),
+w AS (SELECT *, regexp_extract_all(line, '\\S+') AS w, regexp_matches(line, '^\\d+(\\.\\d+)*\\.?\\s+[A-Z]') AS numbered FROM l WHERE line <> '')
+SELECT doc_id, line, CAST(CASE WHEN numbered THEN least(6, 2 + length(regexp_replace(regexp_extract(line, '^[\\d.]*\\d'), '[^.]', '', 'g'))) ELSE 2 END AS BIGINT) AS level FROM w
+WHERE len(w) <= 10 AND NOT regexp_matches(line, '[.!?,;:]$') AND (numbered OR (line = upper(line) AND NOT regexp_matches(line, '\\p{Ll}') AND regexp_matches(line, '\\p{Lu}'))
+  OR (len(w) > 1 AND len(list_filter(w, lambda x: NOT (regexp_matches(x, '^\\p{Lu}') OR length(x) <= 3))) = 0))""")
 def a11d(spark, d):
-    made = F.concat(F.when(F.col("doc_id") % 2 == 0, "2.1 Heading").otherwise("SUMMARY"), F.lit("\n"), "text")
-    return tables.heading_lines(_t(spark, d, "documents").withColumn("text", made), "doc_id", "text")
+    k = F.col("doc_id") % 3
+    made = F.concat(F.when(k == 0, "2.1 Heading").when(k == 1, "SUMMARY").otherwise("Tables of the Year"), F.lit("\n"), "text")
+    lines = U.each(lambda t: [(x.strip(), n) for x in t.split("\n") if (n := parsers.heading_level(x.strip()))], ArrayType(StructType([StructField("line", TEXT), StructField("level", COUNT)])), made)
+    return _t(spark, d, "documents").select("doc_id", F.inline(lines))
+
+
+@query("A11_reflowed_pages", """
+SELECT conv_id, string_agg('## ' || (turn + 1) || '. ' || upper(role[1:1]) || role[2:] || chr(10) || chr(10) || 'It reads on page ' || turn || ' as something longer than a heading would ever be.' || chr(10) || chr(10) || '- item ' || turn, chr(10) || chr(10) ORDER BY turn) AS content
+FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 3) GROUP BY conv_id""")
+def a11(spark, d):
+    title = F.concat(F.upper(F.substring("role", 1, 1)), F.expr("substring(role, 2)"))
+    page = F.concat(F.lit("Report of the House\n"), (F.col("turn") + 1).cast("string"), F.lit(". "), title, F.lit("\nIt reads on page "), F.col("turn").cast("string"), F.lit("\nas some-\nthing longer than\na heading would ever be.\n- item "), F.col("turn").cast("string"), F.lit("\nPage "), F.col("turn").cast("string"), F.lit(" of 9"))
+    pages = _t(spark, d, "conversations").select("conv_id", "turn", page.alias("text")).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pages")).where("size(pages) >= 3")
+    return pages.select("conv_id", U.each(parsers.reflow, TEXT, "pages").alias("content"))
+
+
+@query("A1_files_and_records", "SELECT lower(n_name) || '.json' AS name, '# ' || n_name || chr(10) || '- name: ' || n_name || chr(10) || '- key: ' || n_nationkey AS content, n_name AS title FROM nation")
+def a1(spark, d):
+    """A file for every nation, found, decoded and parsed again; the folder also has what is to be passed over."""
+    folder = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    for r in _t(spark, d, "nation").select("n_name", "n_nationkey").collect():  # 25 rows at every scale
+        writers.write_text(spark, f"{folder}/{r[0].lower()}.json", f'{{"name": "{r[0]}", "key": {r[1]}}}')
+    writers.write_text(spark, f"{folder}/node_modules/x.md", "# no")
+    writers.write_text(spark, f"{folder}/image.png", "no")
+    return files.read_documents(spark, folder).select(F.substring_index(F.url_decode("source"), "/", -1).alias("name"), "content", "title")
 
 
 @query("A13_dataset_sniff", "SELECT doc_id, contains(('{\"documents\": [{\"content\": \"' || text)[1:4096], '\"documents\"') AND contains((CASE WHEN doc_id % 2 = 0 THEN '{\"documents\": [{\"content\": \"' ELSE '' END || text)[1:4096], '\"content\"') AS is_dataset FROM documents")
@@ -140,26 +233,39 @@ def a13(spark, d):
 # ---- cleaning ---------------------------------------------------------------------------------------------
 
 
-@query("B3_invisible_signs", f"SELECT doc_id, regexp_replace({_NOISE}, '[\\x{{200b}}-\\x{{200f}}\\x{{feff}}\\x{{2060}}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS text FROM documents")
+def _only(*steps: str, **more) -> Cleaning:
+    off = dict.fromkeys(("normalize_whitespace", "collapse_blank_lines", "normalize_unicode"), False)
+    return Cleaning(**(off | dict.fromkeys(steps, True) | more))
+
+
+_CLEAN = "trim(regexp_replace({x}, '[\\x{{200b}}-\\x{{200f}}\\x{{feff}}\\x{{2060}}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query("B3_invisible_signs", f"SELECT doc_id, {_CLEAN.format(x=_NOISE)} AS text FROM documents")
 def b3(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.remove_invisible(_noise()).alias("text"))
+    return _t(spark, d, "documents").select("doc_id", U.clean(_noise(), _only()).alias("text"))
 
 
-@query("B4_unicode_forms", "SELECT doc_id, length(nfc_normalize(text)) AS nfc_length, nfc_normalize(text) AS nfc FROM documents")
+_ACCENTS = "text || ' e' || chr(769) || ' o' || chr(776)"
+
+
+@query("B4_unicode_forms", f"SELECT doc_id, length(nfc_normalize({_CLEAN.format(x=_ACCENTS)})) AS nfc_length, nfc_normalize({_CLEAN.format(x=_ACCENTS)}) AS nfc FROM documents")
 def b4(spark, d):
-    nfd = U.normalize(F.col("text"), F.lit("NFD"))
-    nfc = U.normalize(nfd, F.lit("NFC"))
+    nfc = U.clean(F.concat("text", F.lit(" e\u0301 o\u0308")), _only("normalize_unicode", unicode_form="NFC"))
     return _t(spark, d, "documents").select("doc_id", F.length(nfc).cast("bigint").alias("nfc_length"), nfc.alias("nfc"))
 
 
-@query("B5_plain_quotes", f"SELECT doc_id, replace(translate({_NOISE}, '‘’‚‛′“”„‟″«»–—−', '''''''''''\"\"\"\"\"\"\"---'), '…', '...') AS text FROM documents")
+@query("B5_plain_quotes", f"SELECT doc_id, replace(translate({_CLEAN.format(x=_NOISE)}, '‘’‚‛′“”„‟″«»–—−', '''''''''''\"\"\"\"\"\"\"---'), '…', '...') AS text FROM documents")
 def b5(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.plain_quotes(_noise()).alias("text"))
+    return _t(spark, d, "documents").select("doc_id", U.clean(_noise(), _only("normalize_quotes")).alias("text"))
+
 
+_NO_NAVIGATION = _CLEAN.format(x="array_to_string(list_filter(string_split(%s, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^\\s*(home|back to top|next|previous|skip to (main )?content)\\s*[|>»]*\\s*$|^\\s*(table of contents|contents|menu|navigation|breadcrumbs?)\\s*$|^\\s*(share (this|on)|follow us|subscribe|cookies? policy)\\b.*$')), chr(10))" % _CLEAN.format(x=_NOISE))
 
-@query("B6_navigation_lines", f"SELECT doc_id, array_to_string(list_filter(string_split({_NOISE}, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^\\s*(home|back to top|next|previous|skip to (main )?content)\\s*[|>»]*\\s*$|^\\s*(table of contents|contents|menu|navigation|breadcrumbs?)\\s*$|^\\s*(share (this|on)|follow us|subscribe|cookies? policy)\\b.*$')), chr(10)) AS text FROM documents")
+
+@query("B6_navigation_lines", f"SELECT doc_id, {_NO_NAVIGATION} AS text FROM documents")
 def b6(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.remove_navigation(_noise()).alias("text"))
+    return _t(spark, d, "documents").select("doc_id", U.clean(_noise(), _only("remove_navigation")).alias("text"))
 
 
 @query("B7_repeated_lines", """
@@ -169,14 +275,23 @@ def b7(spark, d):
     return tables.repeated_lines(_t(spark, d, "documents"), "source", "doc_id", "text", least=3)
 
 
-@query("B8_urls", f"SELECT doc_id, regexp_replace({_NOISE}, 'https?://\\S+|www\\.\\S+', '', 'g') AS text FROM documents")
+@query("B7_headers_within_texts", """
+SELECT conv_id, trim(string_agg(CASE WHEN n >= 3 THEN '' ELSE 'Head of page ' || (conv_id % 7) || chr(10) END || 'said ' || turn || ': ' || md5(text) || chr(10) || 'and ' || role, chr(10) || chr(10) || chr(10) ORDER BY turn), chr(10)) AS text
+FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id, n""")
+def b7_within(spark, d):
+    page = F.concat(F.lit("Head of page "), (F.col("conv_id") % 7).cast("string"), F.lit("\nsaid "), F.col("turn").cast("string"), F.lit(": "), F.md5("text"), F.lit("\nand "), "role", F.when(F.col("turn") % 2 == 0, "").otherwise(""))
+    pages = _t(spark, d, "conversations").select("conv_id", "turn", page.alias("text")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n\n").alias("text"))
+    return pages.select("conv_id", U.clean("text", _only("remove_headers", repeated_line_threshold=0.9)).alias("text"))
+
+
+@query("B8_urls", f"SELECT doc_id, {_CLEAN.format(x="regexp_replace(" + _CLEAN.format(x=_NOISE) + ", 'https?://\\S+|www\\.\\S+', '', 'g')")} AS text FROM documents")
 def b8(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.remove_urls(_noise()).alias("text"))
+    return _t(spark, d, "documents").select("doc_id", U.clean(_noise(), _only("remove_urls")).alias("text"))
 
 
-@query("B10_blank_lines", f"SELECT doc_id, regexp_replace({_NOISE}, '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM documents")
+@query("B10_blank_lines", f"SELECT doc_id, {_CLEAN.format(x="regexp_replace(" + _CLEAN.format(x=_NOISE) + ", '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM documents")
 def b10(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.collapse_blank_lines(_noise()).alias("text"))
+    return _t(spark, d, "documents").select("doc_id", U.clean(_noise(), _only("collapse_blank_lines")).alias("text"))
 
 
 @query("B1_clean")
@@ -204,14 +319,14 @@ def c1(spark, d):
 
 @query("C9_list_items", f"SELECT conv_id, turn, len(list_filter(string_split({_MD}, chr(10)), lambda x: regexp_matches(x, '^\\s*([-*+•]|\\d+[.)]|[a-zA-Z][.)])\\s+'))) AS items FROM conversations")
 def c9(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", X.count_items(_md()).cast("bigint").alias("items"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", U.each(blocks.count_items, COUNT, _md()).alias("items"))
 
 
 @query("C10_heading_census", f"SELECT length(regexp_extract(line, '^(#+)', 1)) AS level, regexp_extract(line, '^#{{1,6}}\\s+(.+?)\\s*#*\\s*$', 1) AS heading, count(*) AS n FROM (SELECT trim(unnest(string_split({_MD}, chr(10)))) AS line FROM conversations) WHERE regexp_matches(line, '^#{{1,6}}\\s+(.+?)\\s*#*\\s*$') GROUP BY 1, 2")
 def c10(spark, d):
-    atx = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
-    lines = _t(spark, d, "conversations").select(F.explode(F.split(_md(), "\n")).alias("line")).select(F.trim("line").alias("line")).where(F.col("line").rlike(atx))
-    return lines.groupBy(F.length(F.regexp_extract("line", atx, 1)).cast("bigint").alias("level"), F.regexp_extract("line", atx, 2).alias("heading")).agg(F.count("*").alias("n"))
+    docs = _t(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("document_id"), F.lit("").alias("title"), F.lit("").alias("source"), _md().alias("content"))
+    heads = stages.blocks_of(stages.process(docs)).where(F.col("type").isin(*blocks.HEADINGS))
+    return heads.groupBy(F.col("level").cast("bigint").alias("level"), F.col("text").alias("heading")).agg(F.count("*").alias("n"))
 
 
 # ---- text scalars -----------------------------------------------------------------------------------------
@@ -224,23 +339,31 @@ def d1(spark, d):
 
 @query("D5_bpe_token_counts")
 def d5(spark, d):
-    return _t(spark, d, "documents").select("doc_id", U.bpe_count("text").alias("tokens"))
+    return _t(spark, d, "documents").select("doc_id", U.tokenizer_count("text", "tiktoken:/opt/tokenizers/byte_bpe_50k.tiktoken").alias("tokens"))
 
 
 @query("D7_paragraphs", f"SELECT conv_id, turn, len(list_filter(list_transform(string_split_regex({_MD}, '\\n\\s*\\n+'), lambda p: trim(p)), lambda p: p <> '')) AS paragraphs FROM conversations")
 def d7(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", F.size(X.paragraphs(_md())).cast("bigint").alias("paragraphs"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", U.each(lambda t: len(T.paragraphs(t)), COUNT, _md()).alias("paragraphs"))
 
 
-@query("D8_sentences_keep_text", "SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS letters FROM documents")
-def d8(spark, d):
-    s = U.sentences("text")
-    return _t(spark, d, "documents").select("doc_id", F.regexp_replace(F.array_join(s, ""), r"\s+", "").alias("letters"))
+_ABBREVIATIONS = "|".join(a.replace(".", "[.]") for a in sorted(T.ABBREVIATIONS, key=len, reverse=True))
+#: A dot that ends nothing becomes chr(1): after an abbreviation, an initial or a dotted acronym, or before a small letter.
+_DOTS = f"regexp_replace({{x}}, '(?i)(^|[\\s\\[(\"''])((?:{_ABBREVIATIONS}|[a-z]|(?:[a-z][.])+[a-z]?))[.]([)\\]\"''’”]*(?:\\s|$))', '\\1\\2' || chr(1) || '\\3', 'g')"
+_SENTENCES = f"""
+WITH l AS (SELECT doc_id, row_number() OVER () AS r, string_split(text, chr(10)) AS ls FROM documents),
+i AS (SELECT doc_id, r, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM l),
+m AS (SELECT *, regexp_matches(line, '^\\s*([-*+•]|\\d+[.)]|[a-zA-Z][.)])\\s+') AS item, regexp_matches(line, '^\\s*([-*+•]|\\d+[.)]|[a-zA-Z][.)])\\s+|^\\s*>') AS alone FROM i),
+g AS (SELECT *, sum(CASE WHEN alone OR was THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY k) AS part FROM (SELECT *, coalesce(lag(alone) OVER (PARTITION BY r ORDER BY k), FALSE) AS was FROM m)),
+t AS (SELECT doc_id, r, part, bool_or(item) AS item, string_agg(line, chr(10) ORDER BY k) AS x FROM g GROUP BY ALL),
+d AS (SELECT doc_id, r, part, item, regexp_replace({_DOTS.format(x=_DOTS.format(x='x'))}, '[.]([)\\]\"''’”]*\\s+\\p{{Ll}})', chr(1) || '\\1', 'g') AS x FROM t),
+c AS (SELECT doc_id, r, part, unnest(CASE WHEN item THEN [x] ELSE string_split(regexp_replace(x, '([.!?][)\\]\"''’”]*)(\\s)', '\\1' || chr(2) || '\\2', 'g'), chr(2)) END) AS s, unnest(CASE WHEN item THEN [1] ELSE generate_series(1, len(string_split(regexp_replace(x, '([.!?][)\\]\"''’”]*)(\\s)', '\\1' || chr(2) || '\\2', 'g'), chr(2)))) END) AS k FROM d)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY r ORDER BY part, k) - 1 AS BIGINT) AS position, sentence FROM (SELECT *, regexp_replace(replace(s, chr(1), '.'), '^\\s+|\\s+$', '', 'g') AS sentence FROM c) WHERE sentence <> ''"""
 
 
-@query("D9_sentences")
-def d9(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.posexplode(U.sentences("text")).alias("position", "sentence"))
+@query("D8_sentences", _SENTENCES)
+def d8(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(U.sentences("text")).alias("position", "sentence")).withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("D13_sentence_ends", "SELECT doc_id, regexp_matches(regexp_replace(text, '\\s+$', ''), '[.!?:;。！？]$|[.!?][)\\]}\"''`”’]$|^$') AS ends, regexp_matches(text, '^\\s*\\p{Ll}') AS starts_lower FROM documents")
@@ -248,9 +371,9 @@ def d13(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.ends_sentence("text").alias("ends"), X.starts_lower("text").alias("starts_lower"))
 
 
-@query("D15_alnum_share", "SELECT doc_id, round(length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / length(text), 9) AS share FROM documents WHERE text <> ''")
+@query("D15_alnum_share", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE round(length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / length(text), 9) END AS share FROM documents")
 def d15(spark, d):
-    return _t(spark, d, "documents").where("text <> ''").select("doc_id", F.round(X.alnum_share("text"), 9).alias("share"))
+    return _t(spark, d, "documents").select("doc_id", F.round(U.each(T.alnum_share, DoubleType(), "text"), 9).alias("share"))
 
 
 @query("D16_truncate", f"SELECT doc_id, CASE WHEN length({_SQUEEZE.format(x='text')}) <= 120 THEN {_SQUEEZE.format(x='text')} ELSE rtrim({_SQUEEZE.format(x='text')}[1:117]) || '...' END AS preview FROM documents")
@@ -273,7 +396,7 @@ _NAME_SQL = _FOLD.format(x="trim(regexp_replace(regexp_replace(regexp_replace(tr
 
 @query("E1_normalized_headings", f"SELECT doc_id, {_NAME_SQL} AS name FROM documents")
 def e1(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.normalize_heading(_heading()).alias("name"))
+    return _t(spark, d, "documents").select("doc_id", U.each(roles.normalize_heading, TEXT, _heading()).alias("name"))
 
 
 def _intent_case(part: int) -> str:
@@ -284,8 +407,8 @@ def _intent_case(part: int) -> str:
 
 @query("E2_heading_intents", f"SELECT doc_id, {_intent_case(0)} AS role, {_intent_case(1)} AS field FROM (SELECT doc_id, {_NAME_SQL} AS name FROM documents)")
 def e2(spark, d):
-    intent = X.heading_intent(_heading())
-    return _t(spark, d, "documents").select("doc_id", intent["role"].alias("role"), intent["field"].alias("field"))
+    intent = U.each(lambda h: list(roles.heading_intent(h)), TEXTS, _heading())
+    return _t(spark, d, "documents").select("doc_id", intent.alias("i")).select("doc_id", F.col("i")[0].alias("role"), F.col("i")[1].alias("field"))
 
 
 @query("E3_shapes")
@@ -312,7 +435,7 @@ def _role() -> F.Column:
 
 @query("E10_role_predicates", f"SELECT {_ROLE_SQL} IN ('code', 'definition', 'knowledge') AS knowledge, {_ROLE_SQL} IN ('code', 'example') AS needs_parent, count(*) AS n FROM documents GROUP BY 1, 2")
 def e10(spark, d):
-    return _t(spark, d, "documents").groupBy(_role().isin(*KNOWLEDGE_ROLES).alias("knowledge"), _role().isin("code", "example").alias("needs_parent")).agg(F.count("*").alias("n"))
+    return _t(spark, d, "documents").groupBy(_role().isin(*roles.KNOWLEDGE_ROLES).alias("knowledge"), _role().isin(*NEEDS_PARENT).alias("needs_parent")).agg(F.count("*").alias("n"))
 
 
 # ---- chunking ---------------------------------------------------------------------------------------------
@@ -335,18 +458,20 @@ for _s in ("semantic", "structural", "recursive", "sentence", "code", "auto"):
     query(f"F1_chunks_{_s}")(_chunk_query(_s))
 
 
-@query("F2_strategy_choice", "SELECT 'semantic' AS strategy, count(*) AS n FROM pages")
+@query("F2_strategy_choice", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'semantic' ELSE 'sentence' END AS strategy FROM conversations")
 def f2(spark, d):
-    cfg = Config(chunking=Chunking(strategy="auto"))
-    p = stages.process(tables.pages_as_documents(_t(spark, d, "pages")).withColumnRenamed("page_id", "document_id"), cfg)
-    return p.groupBy("strategy").agg(F.count("*").alias("n"))
+    k = F.col("turn") % 3
+    text = F.when(k == 0, "# t\n\n```\nx = 1\n```\n\nword").when(k == 1, F.concat(F.lit("# t\n\n"), F.lit("```\nx\n```\n\n"), F.lit("one\n\ntwo\n\nthree\n\nfour"))).otherwise("words alone")
+    docs = _t(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("document_id"), F.lit("").alias("title"), F.lit("").alias("source"), text.alias("content"))
+    key = F.split("document_id", "/")
+    return stages.process(docs, Config(chunking=Chunking(strategy="auto"))).select(key[0].cast("bigint").alias("conv_id"), key[1].cast("bigint").alias("turn"), "strategy")
 
 
 @query("F4_sizes_within_limits", "SELECT CAST(doc_id AS VARCHAR) AS document_id FROM documents WHERE FALSE")
 def f4(spark, d):
     """Violations: chunks beyond max_size, or whose words aren't in their document in this order."""
     cfg = Config(chunking=Chunking(strategy="sentence", overlap=0))
-    p = corpus.cut(stages.process(_docs(spark, d), cfg))
+    p = cut(stages.process(_docs(spark, d), cfg))
     c = stages.chunks_of(p, cfg)
     solid = lambda x: F.regexp_replace(x, r"\s+", "")
     joined = c.groupBy("document_id").agg(F.max("size").alias("largest"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: solid(x["content"])), "").alias("all"))
@@ -354,12 +479,13 @@ def f4(spark, d):
 
 
 @query("F6_sections", """
-WITH s AS (SELECT conv_id, turn, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations)
-SELECT conv_id, CAST(section AS BIGINT) AS section, count(*) AS blocks, min(turn) AS first_turn, sum(length(text)) AS characters FROM s GROUP BY conv_id, section""")
+WITH s AS (SELECT conv_id, turn, sum(CASE WHEN turn % 3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY section) - 1 AS BIGINT) AS position, CASE WHEN section = 0 THEN '' ELSE 'part ' || (3 * section - 2) END AS title, CAST(count(*) AS BIGINT) AS blocks FROM s GROUP BY conv_id, section""")
 def f6(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    s = _t(spark, d, "conversations").withColumn("section", F.sum((F.col("role") == "user").cast("int")).over(w))
-    return s.groupBy("conv_id", "section").agg(F.count("*").alias("blocks"), F.min("turn").alias("first_turn"), F.sum(F.length("text")).alias("characters"))
+    one = F.concat(F.when(F.col("turn") % 3 == 1, F.concat(F.lit("## part "), F.col("turn").cast("string"), F.lit("\n\n"))).otherwise(""), F.lit("word "), F.col("turn").cast("string"))
+    text = _t(spark, d, "conversations").select("conv_id", "turn", one.alias("x")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda x: x["x"]), "\n\n").alias("text"))
+    found = U.each(lambda t: [(x.title, len(x.blocks)) for x in chunkers.build_sections(blocks.analyze(t), 6)], ArrayType(StructType([StructField("title", TEXT), StructField("blocks", COUNT)])), "text")
+    return text.select("conv_id", F.posexplode(found).alias("position", "s")).select("conv_id", F.col("position").cast("bigint").alias("position"), "s.title", "s.blocks")
 
 
 _PATH_SQL = "(CASE WHEN turn % 3 = 0 THEN [role] WHEN turn % 3 = 1 THEN ['top', role] ELSE ['top', role, CAST(turn AS VARCHAR)] END)"
@@ -377,7 +503,8 @@ SELECT conv_id, turn, CASE WHEN least(len(a), len(b)) <= 1 THEN TRUE ELSE a[1:le
 def f9(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     p = _t(spark, d, "conversations").select("conv_id", "turn", _path().alias("a"), F.lead(_path()).over(w).alias("b")).where("b is not null")
-    return p.select("conv_id", "turn", X.mergeable("a", "b").alias("mergeable"), X.related("a", "b").alias("related"))
+    pair = lambda f: U.each(lambda a, b: f(list(a), list(b)), BooleanType(), "a", "b")
+    return p.select("conv_id", "turn", pair(chunkers.mergeable).alias("mergeable"), pair(chunkers.related).alias("related"))
 
 
 @query("F19_common_paths", f"""
@@ -386,8 +513,8 @@ n AS (SELECT conv_id, count(*) AS n FROM p GROUP BY 1), l AS (SELECT conv_id, i,
 g AS (SELECT l.conv_id, i, name, max(CASE WHEN d > 1 OR c < n THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id ORDER BY i) AS bad FROM l JOIN n USING (conv_id))
 SELECT n.conv_id, coalesce(string_agg(name, '/' ORDER BY i) FILTER (WHERE bad = 0), '') AS common FROM n LEFT JOIN g USING (conv_id) GROUP BY n.conv_id""")
 def f19(spark, d):
-    c = corpus.common_prefix(_t(spark, d, "conversations").select("conv_id", _path().alias("path")), "conv_id", "path")
-    return c.select("conv_id", F.array_join("common", "/").alias("common"))
+    paths = _t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(_path()).alias("paths"))
+    return paths.select("conv_id", F.array_join(U.each(lambda p: chunkers.common_path([list(x) for x in p]), TEXTS, "paths"), "/").alias("common"))
 
 
 @query("F20_content_types", """
@@ -395,10 +522,9 @@ WITH w AS (SELECT conv_id, CASE WHEN role = 'system' THEN 'code' WHEN role = 'us
 s AS (SELECT conv_id, kind, n, sum(n) OVER (PARTITION BY conv_id) AS total, count(*) OVER (PARTITION BY conv_id) AS kinds, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, kind) AS r FROM w WHERE kind <> 'text')
 SELECT c.conv_id, CASE WHEN s.kind IS NULL THEN 'text' WHEN kinds > 1 AND n < 0.6 * total THEN 'mixed' ELSE s.kind END AS content_type FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id = c.conv_id AND r = 1""")
 def f20(spark, d):
-    w = _t(spark, d, "conversations").groupBy("conv_id").pivot("role", ["system", "user", "assistant"]).agg(F.sum(F.length("text")))
-    code, items = F.coalesce("system", F.lit(0)), F.coalesce("user", F.lit(0))
-    special = F.when((code == 0) & (items == 0), "text").when((F.least(code, items) > 0) & (F.greatest(code, items) < 0.6 * (code + items)), "mixed").when(code >= items, "code").otherwise("list")
-    return w.select("conv_id", special.alias("content_type"))
+    kind = F.when(F.col("role") == "system", "code").when(F.col("role") == "user", "numbered_list").otherwise("paragraph")
+    w = _t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(kind).alias("kinds"), F.collect_list(F.length("text")).alias("sizes"))
+    return w.select("conv_id", U.each(lambda k, n: chunkers.content_type(list(zip(k, map(int, n)))), TEXT, "kinds", "sizes").alias("content_type"))
 
 
 # ---- context ----------------------------------------------------------------------------------------------
@@ -430,10 +556,11 @@ def g3(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", X.context_prefix(F.concat(F.lit("Talk "), F.col("conv_id").cast("string")), _path(), source).alias("prefix"))
 
 
-@query("G5_embedding_text", "SELECT conv_id, turn, 'Document: ' || role || chr(10) || chr(10) || text AS text FROM conversations")
+@query("G5_embedding_text", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Document: ' || role || chr(10) || chr(10) ELSE '' END || text AS text FROM conversations")
 def g5(spark, d):
     prefix = X.context_prefix(F.col("role"), F.array().cast("array<string>"), F.lit(""))
-    return _t(spark, d, "conversations").select("conv_id", "turn", F.concat(prefix, F.lit("\n\n"), "text").alias("text"))
+    c = _t(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, prefix).otherwise("").alias("context_prefix"), F.col("text").alias("content"))
+    return c.select("conv_id", "turn", embeddings.embedding_text().alias("text"))
 
 
 @query("G6_reindex", f"""
@@ -459,7 +586,9 @@ w AS (SELECT doc_id, regexp_extract_all({_FOLD.format(x='text')}, '[\\p{{L}}\\p{
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS s FROM w, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (x.n + y.n - count(*)) AS j FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
-  GROUP BY 1, 2, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*)))"""
+  GROUP BY 1, 2, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*))),
+c AS (SELECT b, min(a) AS a FROM e WHERE j = 1 GROUP BY b),
+f AS (SELECT a, b, 1.0 AS j FROM c UNION ALL SELECT a, b, j FROM e WHERE j < 1 AND a NOT IN (SELECT b FROM c) AND b NOT IN (SELECT b FROM c))"""
 
 
 @query("H3_shingles", f"WITH {_SHINGLES} SELECT doc_id, n FROM n")
@@ -467,24 +596,27 @@ def h3(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(X.shingles("text")).cast("bigint").alias("n")).where("n > 0")
 
 
-@query("H5_minhash_pairs", f"WITH {_SHINGLES} SELECT a, b, round(j, 6) AS similarity FROM e WHERE j >= 0.92")
+@query("H5_minhash_pairs", f"WITH {_SHINGLES} SELECT a, b, round(j, 6) AS similarity FROM f WHERE j >= 0.92")
 def h5(spark, d):
     return corpus.minhash_pairs(_t(spark, d, "documents"), "doc_id", "text", 0.92).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("H7_near_pairs", f"WITH {_SHINGLES} SELECT a, b, round(j, 6) AS similarity FROM e")
+@query("H7_near_pairs", f"WITH {_SHINGLES} SELECT a, b, round(j, 6) AS similarity FROM f")
 def h7(spark, d):
     return corpus.near_pairs(_t(spark, d, "documents"), "doc_id", "text", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("H9_greedy_originals", f"""
-WITH RECURSIVE {_SHINGLES},
-o AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id FROM documents),
-g AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS dup, CAST(NULL AS BIGINT) AS original
-  UNION ALL SELECT g.r + 1, CASE WHEN m.o IS NULL THEN list_append(kept, d.doc_id) ELSE kept END, CASE WHEN m.o IS NOT NULL THEN d.doc_id END, m.o
-  FROM g JOIN (SELECT row_number() OVER (ORDER BY b) AS r, b AS doc_id FROM (SELECT DISTINCT b FROM e)) d ON d.r = g.r + 1,
-  LATERAL (SELECT min(e.a) AS o FROM e WHERE e.b = d.doc_id AND (list_contains(g.kept, e.a) OR e.a NOT IN (SELECT b FROM e))) m)
-SELECT dup, original FROM g WHERE dup IS NOT NULL""")
+@query("H8_estimated_similarity", """
+WITH s AS (SELECT doc_id, list_transform(generate_series(0, 15), lambda i: CASE WHEN doc_id % 16 > i THEN i ELSE 100 + doc_id % 3 END) AS x, list_transform(generate_series(0, 15), lambda i: CASE WHEN doc_id % 5 = 0 THEN i ELSE 100 + i % 3 END) AS y FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0.0 ELSE len(list_filter(generate_series(1, 16), lambda i: x[i] = y[i])) / 16 END AS similarity FROM s""")
+def h8(spark, d):
+    places, i = F.sequence(F.lit(0), F.lit(15)), F.col("doc_id")
+    x = F.transform(places, lambda k: F.when(i % 16 > k, k.cast("bigint")).otherwise(100 + i % 3))
+    y = F.when(i % 7 == 0, F.array().cast("array<bigint>")).otherwise(F.transform(places, lambda k: F.when(i % 5 == 0, k.cast("bigint")).otherwise((100 + k % 3).cast("bigint"))))
+    return _t(spark, d, "documents").select("doc_id", corpus.estimated_jaccard(x, y).alias("similarity"))
+
+
+@query("H9_greedy_originals")
 def h9(spark, d):
     pairs = corpus.near_pairs(_t(spark, d, "documents"), "doc_id", "text", 0.8)
     return corpus.greedy_originals(pairs).select("dup", "original")
@@ -514,7 +646,7 @@ WITH s AS (SELECT p_brand, lower(regexp_extract(p_name, '^\\S+')) AS h, count(*)
 SELECT p_brand, round(CASE WHEN sum(n) >= 5 THEN max(n) / sum(n) ELSE 0 END, 9) AS share FROM s GROUP BY p_brand""")
 def i9(spark, d):
     t = _t(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.collect_list("p_name"), "; ").alias("text"))
-    return t.select("p_brand", F.round(X.alias_share("text"), 9).alias("share"))
+    return t.select("p_brand", F.round(U.each(stages.alias_share, DoubleType(), "text"), 9).alias("share"))
 
 
 @query("I1_quality_scores")
@@ -583,7 +715,7 @@ def i16(spark, d):
 def i14_pages(spark, d):
     """Violations: blocks of pages that reach no chunk and no term list; terms are cut to no number here."""
     cfg = Config(semantics=Semantics(max_terms_per_field=1 << 30))
-    p = corpus.cut(stages.process(tables.pages_as_documents(_t(spark, d, "pages")).withColumnRenamed("page_id", "document_id"), cfg))
+    p = cut(stages.process(tables.pages_as_documents(_t(spark, d, "pages")).withColumnRenamed("page_id", "document_id"), cfg))
     return stages.audit(p, stages.chunks_of(p, cfg)).where("destination = 'dropped'").select("doc")
 
 
@@ -619,7 +751,7 @@ def j4(spark, d):
 def j5(spark, d):
     t = F.col("t")
     flags = F.array_compact(F.array(F.when(t < 100, F.lit("too_short")), F.when(t > 800, F.lit("too_long")), F.when(t > 800, F.lit("oversized"))))
-    return _t(spark, d, "documents").select(X.count_tokens("text").alias("t")).select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    return corpus.flag_counts(_t(spark, d, "documents").select(X.count_tokens("text").alias("t")), flags)
 
 
 @query("J6_distinct_terms", "SELECT p_type AS field, count(DISTINCT lower(w)) AS n FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1")
@@ -629,8 +761,7 @@ def j6(spark, d):
 
 @query("J7_knowledge_counts", f"SELECT count(*) FILTER (WHERE {_ROLE_SQL} IN ('code', 'definition', 'knowledge')) AS knowledge, count(*) FILTER (WHERE {_ROLE_SQL} NOT IN ('code', 'definition', 'knowledge')) AS metadata FROM documents")
 def j7(spark, d):
-    known = _role().isin(*KNOWLEDGE_ROLES)
-    return _t(spark, d, "documents").agg(F.count_if(known).alias("knowledge"), F.count_if(~known).alias("metadata"))
+    return corpus.knowledge_counts(_t(spark, d, "documents").select(_role().alias("semantic_role")))
 
 
 @query("J8_document_reports", "SELECT CAST(doc_id AS VARCHAR) AS document_id, length(text) AS characters, CAST(NULL AS VARCHAR) AS error FROM documents")
@@ -673,11 +804,16 @@ def k5(spark, d):
     return search.find(_conv(spark, d), "7_2", "cid", "turn").select(F.col("cid").alias("id"))
 
 
-@query("K6_preview_spans", "SELECT d.doc_id, count(c.turn) AS spans, CAST(coalesce(sum(length(c.text)), 0) AS BIGINT) AS characters FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id GROUP BY d.doc_id")
+@query("K6_preview_spans", f"""
+WITH c AS (SELECT *, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations)
+SELECT doc_id, coalesce(string_agg(turn || ':' || {_CID} || ':' || (e - length(c.text) - 2) || '-' || (e - 2) || ':' || role || ':' || CASE WHEN turn % 2 = 0 THEN 'text' ELSE 'list' END, ' ' ORDER BY turn), '') AS spans FROM documents d LEFT JOIN c ON c.conv_id = d.doc_id GROUP BY doc_id""")
 def k6(spark, d):
-    spans = _t(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("s"))
-    size = F.coalesce(F.size("s"), F.lit(0))
-    return _t(spark, d, "documents").join(spans, "doc_id", "left").select("doc_id", F.when(F.col("s").isNull(), 0).otherwise(size).cast("bigint").alias("spans"), F.coalesce(F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]), F.lit(0)).alias("characters"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    end = F.sum(F.length("text") + 2).over(w) - 2
+    c = _conv(spark, d).select(F.col("conv_id").alias("doc_id"), F.col("cid").alias("id"), F.col("turn").alias("chunk_index"), (end - F.length("text")).alias("start_offset"), end.alias("end_offset"), F.col("role").alias("section"), F.when(F.col("turn") % 2 == 0, "text").otherwise("list").alias("content_type"))
+    p = search.previews(_t(spark, d, "documents").select("doc_id"), c, "doc_id")
+    shown = F.transform("spans", lambda x: F.concat(x["chunk_index"].cast("string"), F.lit(":"), x["chunk_id"], F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(":"), x["section"], F.lit(":"), x["content_type"]))
+    return p.select("doc_id", F.array_join(shown, " ").alias("spans"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in search.STOPWORDS)
@@ -695,11 +831,12 @@ def k8(spark, d):
 
 
 @query("K9_cosine_top", """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS key, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v, v q WHERE q.vec_id <> v.vec_id)
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS key, round(list_cosine_similarity(q.e, v.e), 6) AS cosine FROM v, v q WHERE q.vec_id <> v.vec_id AND q.vec_id % 100 = 0)
 SELECT query, key, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, key) AS rank FROM s) WHERE rank <= 5""")
 def k9(spark, d):
+    """The stated query set, every hundredth id, against all rows."""
     v = _t(spark, d, "embeddings")
-    return search.cosine_top(v, "vec_id", "embedding", v, "vec_id").select("query", "key", "cosine", F.col("rank").cast("bigint").alias("rank"))
+    return search.cosine_top(v, "vec_id", "embedding", v.where("vec_id % 100 = 0"), "vec_id").select("query", "key", "cosine", F.col("rank").cast("bigint").alias("rank"))
 
 
 # ---- embeddings, exports ----------------------------------------------------------------------------------
@@ -711,18 +848,70 @@ def l2(spark, d):
     return e.select("doc_id", F.round(F.sqrt(search.dot(F.col("e"), F.col("e"))), 5).alias("norm"), F.size("e").cast("bigint").alias("dimensions"))
 
 
-@query("M3_flat_records", f"SELECT {_CID} AS id, 'Talk ' || conv_id AS title, role AS section, text AS content, array_to_string(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}]+'))[1:0], '; ') AS keywords FROM conversations")
+@query("M3_flat_records", f"SELECT {_CID} AS id, CAST(conv_id AS VARCHAR) AS document_id, 'Talk ' || conv_id AS title, role AS section, array_to_string({_PATH_SQL}, ' > ') AS heading_path, 'text' AS content_type, length(text) AS token_count, turn / 10 AS quality_score, array_to_string(list_concat(regexp_extract_all(lower(text), '[\\p{{L}}]+')[1:30], regexp_extract_all(text, '[\\p{{L}}]+')[1:30])[1:40], '; ') AS keywords, text AS content FROM conversations")
 def m3(spark, d):
-    from chunkloom.sinks.records import flat_keywords
-
-    return _conv(spark, d).select(F.col("cid").alias("id"), F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("title"), F.col("role").alias("section"), F.col("text").alias("content"), flat_keywords(F.array().cast("array<string>")).alias("keywords"))
+    word = lambda t: F.slice(F.regexp_extract_all(t, F.lit(r"[\p{L}]+"), F.lit(0)), 1, 30)
+    none = F.array().cast("array<string>")
+    terms = {f: none for f in stages.FIELDS} | {"keywords": word(F.lower("text")), "aliases": word(F.col("text")), "questions": F.array(F.lit("not in it"))}
+    c = _conv(spark, d).select(
+        F.col("cid").alias("id"), F.col("conv_id").cast("string").alias("document_id"), F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("title"), F.col("role").alias("section"), _path().alias("heading_path"), F.lit("text").alias("content_type"),
+        F.length("text").alias("token_count"), F.struct((F.col("turn") / 10).alias("quality_score")).alias("quality"), F.struct(*[v.alias(k) for k, v in terms.items()]).alias("retrieval"), F.col("text").alias("content"),
+    )
+    return records.flat(c)
 
 
-@query("M5_records", "SELECT doc_id, '{\"id\":\"' || doc_id || '\",\"lang\":\"' || lang || '\"' || CASE WHEN doc_id % 2 = 0 THEN ',\"source\":\"' || source || '\"' ELSE '' END || '}' AS record FROM documents")
+@query("M5_records", "SELECT doc_id, '{\"id\":\"' || doc_id || '\",\"content\":\"c\",\"metadata\":{\"title\":\"' || lang || '\"' || CASE WHEN doc_id % 2 = 0 THEN ',\"source\":\"' || source || '\"' ELSE '' END || '}' || CASE WHEN doc_id % 3 = 0 THEN ',\"context_prefix\":\"p\"' ELSE '' END || '}' AS record FROM documents")
 def m5(spark, d):
-    from chunkloom.sinks.records import to_record
+    c = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("c").alias("content"), F.col("lang").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source"), F.when(F.col("doc_id") % 3 == 0, "p").otherwise("").alias("context_prefix"))
+    n = records.nested(c)
+    return n.select(F.col("id").cast("bigint").alias("doc_id"), F.to_json(F.struct(*n.columns)).alias("record"))
+
+
+def _saved(spark, c: DataFrame, fmt: str) -> str:
+    path = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    writers.export(c, path, fmt)
+    return path
+
+
+def _chunk_like(spark, d) -> DataFrame:
+    """Conversations as a chunk table with all that exporters look at."""
+    none = F.array().cast("array<string>")
+    terms = F.struct(*[(F.array("role") if f == "tags" else none).alias(f) for f in stages.FIELDS])
+    return _conv(spark, d).select(
+        F.col("cid").alias("id"), F.col("conv_id").cast("string").alias("document_id"), F.lit("T").alias("title"), F.lit("s").alias("source"), F.col("role").alias("section"), _path().alias("heading_path"), F.lit("text").alias("content_type"), F.lit("knowledge").alias("semantic_role"),
+        F.col("turn").cast("int").alias("chunk_index"), F.length("text").alias("token_count"), terms.alias("retrieval"), F.lit("").alias("context_prefix"), F.col("text").alias("content"),
+    )
+
+
+@query("M1_jsonl_round_trip", f"SELECT {_CID} AS id, text AS content, CAST(conv_id AS VARCHAR) AS document_id, CAST(turn AS BIGINT) AS chunk_index, array_to_string({_PATH_SQL}, '/') AS path, role AS tag FROM conversations")
+def m1(spark, d):
+    back = files.read_dataset(spark, _saved(spark, _chunk_like(spark, d), "jsonl"))
+    return back.select("id", "content", "metadata.document_id", "metadata.chunk_index", F.array_join("metadata.heading_path", "/").alias("path"), F.col("retrieval.tags")[0].alias("tag"))
+
+
+@query("M3_csv_round_trip", f"SELECT {_CID} AS id, role AS section, array_to_string({_PATH_SQL}, ' > ') AS heading_path, CAST(length(text) AS VARCHAR) AS token_count, role AS keywords, text AS content FROM conversations")
+def m3_csv(spark, d):
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(_saved(spark, _chunk_like(spark, d), "csv"))
+    return back.select("id", "section", "heading_path", "token_count", "keywords", "content")
+
+
+@query("M4_markdown_report", f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split('## ' || {_CID} || chr(10) || chr(10) || '- section: ' || array_to_string({_PATH_SQL}, ' > ') || chr(10) || '- type: text, role: knowledge' || chr(10) || '- tokens: ' || length(text) || chr(10) || chr(10) || text || chr(10), chr(10))) AS line FROM conversations) GROUP BY line")
+def m4(spark, d):
+    return spark.read.text(_saved(spark, _chunk_like(spark, d), "markdown")).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("M9_streamed_chunks", "SELECT CAST(conv_id AS VARCHAR) AS document_id, text AS content FROM conversations WHERE turn = 0")
+def m9(spark, d):
+    """A stream of JSON documents to a folder of records, run until nothing is left; these texts are a chunk each."""
+    from chunkloom.streaming.chunks import stream_to_json
+
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = _t(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("document_id"), F.lit("t").alias("title"), F.lit("s").alias("source"), F.col("text").alias("content"))
+    docs.write.json(f"{base}/in")
+    off = Cleaning(enabled=False)
+    stream_to_json(spark, f"{base}/in", f"{base}/out", f"{base}/state", Config(cleaning=off, chunking=Chunking(strategy="sentence", max_size=100_000, target_size=90_000, overlap=0)), once=True).awaitTermination()
+    return files.read_dataset(spark, f"{base}/out").select("metadata.document_id", "content")
 
-    return _t(spark, d, "documents").select("doc_id", to_record({"id": F.col("doc_id").cast("string"), "lang": F.col("lang"), "source": F.when(F.col("doc_id") % 2 == 0, F.col("source"))}).alias("record"))
 
 
 @query("M10_term_union", """
@@ -730,12 +919,12 @@ WITH t AS (SELECT p_partkey, list_concat(string_split(p_name, ' '), [upper(strin
 SELECT p_partkey, array_to_string(list_filter(xs, lambda x, i: list_position(list_transform(xs, lambda y: lower(y)), lower(x)) = i), '|') AS terms FROM t""")
 def m10(spark, d):
     a = F.split("p_name", " ")
-    return _t(spark, d, "part").select("p_partkey", F.array_join(X.merge_terms(a, F.array(F.upper(a[0]), F.col("p_type"))), "|").alias("terms"))
+    return _t(spark, d, "part").select("p_partkey", F.array_join(U.each(lambda x, y: roles.merge_terms(list(x), list(y)), TEXTS, a, F.array(F.upper(a[0]), F.col("p_type"))), "|").alias("terms"))
 
 
 @query("P_full_pipeline")
 def full(spark, d):
-    chunks, _ = stages.run(_docs(spark, d), Config(chunking=Chunking(strategy="auto")))
+    chunks, _ = stages.run(_docs(spark, d), Config(chunking=Chunking(strategy="auto")), audited=False)
     return chunks.select("id", "document_id", "chunk_index", "total_chunks", "content", "size", "duplicate_of", "duplicate_kind", F.round("similarity", 4).alias("similarity"), "quality.quality_score", F.array_join("quality.flags", ",").alias("flags"), "previous_chunk", "next_chunk")
 
 

@@ -336,27 +336,40 @@ def parse_csv(text: str, source: str = "", mode: str = "records") -> Parsed:
     return Parsed("\n\n".join("\n".join([f"## {r[0].strip()}", *(f"- {k}: {v.strip()}" for k, v in zip(head[1:], r[1:]) if v.strip())]) for r in body))
 
 
-def reflow(pages: list[str]) -> str:
-    """Pages of running text -> paragraphs: no boilerplate or page numbers, hyphens joined, headings marked."""
-    split = [[x.strip() for x in re.sub(r"(\w)-\n(\w)", r"\1\2", p).split("\n")] for p in pages]
+def boilerplate_lines(pages: list[list[str]], share: float = 0.6) -> dict[str, int]:
+    """Short lines among the first or last two of many pages (of three at least), and how often they stand there."""
     seen: dict[str, int] = {}
-    for lines in split:
+    for lines in pages:
         solid = [x for x in lines if x]
         for x in solid[:2] + solid[-2:]:
             seen[x] = seen.get(x, 0) + (3 <= len(x) <= 120)
-    odd = {x for x, n in seen.items() if len(pages) >= 3 and n >= max(3, int(0.6 * len(pages)))}
+    return {x: n for x, n in seen.items() if len(pages) >= 3 and n >= max(3, int(share * len(pages)))}
+
+
+def heading_level(line: str) -> int:
+    """The level of a line that reads as a heading by its number, capitals or capitalised words; 0 if it doesn't."""
+    words = line.split()
+    if not 0 < len(words) <= 10 or line[-1] in ".!?,;:":
+        return 0
+    if re.match(r"\d+(?:\.\d+)*\.?\s+[A-Z]", line):
+        return min(6, 2 + words[0].rstrip(".").count("."))
+    return 2 * (line.isupper() or len(words) > 1 and all(w[0].isupper() or len(w) <= 3 for w in words))
+
+
+def reflow(pages: list[str]) -> str:
+    """Pages of running text -> paragraphs: no boilerplate or page numbers, hyphens joined, headings marked."""
+    split = [[x.strip() for x in re.sub(r"(\w)-\n(\w)", r"\1\2", p).split("\n")] for p in pages]
+    odd = boilerplate_lines(split)
     out, held = [], []
     flush = lambda: (out.append(" ".join(held)), held.clear()) if held else None
     for x in (x for lines in split for x in [*lines, ""]):
         if x in odd or re.fullmatch(r"(?:page )?\d+(?: (?:of|/) \d+)?", x, re.I):
             continue
-        numbered = re.match(r"\d+(?:\.\d+)*\.?\s+[A-Z]", x)
-        words = x.split()
-        heading = 0 < len(words) <= 10 and x[-1] not in ".!?,;:" and (numbered or x.isupper() or (len(words) > 1 and all(w[0].isupper() or len(w) <= 3 for w in words)))
+        heading = heading_level(x)
         if not x or heading or re.match(r"(?:[-*•]|\d+[.)])\s", x):
             flush()
             if heading:
-                out.append(f"{'#' * min(6, 2 + x.split()[0].rstrip('.').count('.')) if numbered else '##'} {x}")
+                out.append(f"{'#' * heading} {x}")
             elif x:
                 out.append(x)
             continue
