@@ -84,7 +84,7 @@ def a4(spark, d):
     return _t(spark, d, "documents").select("doc_id", U.each(parsers.default_title, TEXT, path).alias("title"))
 
 
-@query("A5_title_policy", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) ELSE 'Page ' || page_id END AS title FROM pages")
+@query("A5_title_policy", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') ELSE 'Page ' || page_id END AS title FROM pages")
 def a5(spark, d):
     html = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise("<p>nothing that names it</p>")
     path = F.concat(F.lit("/x/page_"), F.col("page_id").cast("string"), F.lit(".html"))
@@ -411,7 +411,26 @@ def e2(spark, d):
     return _t(spark, d, "documents").select("doc_id", intent.alias("i")).select("doc_id", F.col("i")[0].alias("role"), F.col("i")[1].alias("field"))
 
 
-@query("E3_shapes")
+_QUOTED = lambda words: ", ".join(f"'{w}'" for w in sorted(words))
+_ITEM_SQL = "'^\\s*(?:\\d+[.)]|[-*+•]|[a-zA-Z][.)])\\s+(.*)$'"
+_PIECES_SQL = "string_split_regex(regexp_replace({x}, ',(\\s*[`A-Z0-9])', chr(1) || '\\1', 'g'), chr(1) || '|[•;]|\\s+\\|\\s+')"
+_VERB_SQL = f"len(list_filter(list_transform(regexp_extract_all(x, '\\S+'), lambda w: {_FOLD.format(x='trim(w, chr(96) || chr(39) || chr(34) || ' + chr(39) + '*_(),.;:' + chr(39) + ')')}), lambda w: w IN ({_QUOTED(roles.VERBS)}) OR (length(w) > 4 AND w NOT IN ({_QUOTED(roles.NOUNS)}) AND regexp_matches(w, 'ed$|[^s]s$')))) > 0"
+#: The shape of texts without code fences, which the tables don't have.
+_SHAPES = f"""
+l AS (SELECT doc_id, r, h, list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9)) <> '') AS ls FROM d),
+b AS (SELECT *, list_filter(ls, lambda x: NOT regexp_matches(x, '^\\s*#')) AS body FROM l),
+g AS (SELECT doc_id, r, h, ls, body, array_to_string(body, chr(10)) AS prose,
+  list_filter(list_transform(flatten(list_transform(body, lambda x: CASE WHEN regexp_matches(x, {_ITEM_SQL}) THEN [regexp_extract(x, {_ITEM_SQL}, 1)] ELSE {_PIECES_SQL.format(x='x')} END)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS seg FROM b),
+s AS (SELECT doc_id, r, h, body, len(seg) AS segments, len(regexp_extract_all(prose, '[.!?](\\s|$)')) AS sentences, len(list_filter(seg, lambda x: {_VERB_SQL})) / greatest(len(seg), 1) AS verb_ratio,
+  coalesce(list_sum(list_transform(seg, lambda x: len(regexp_extract_all(x, '\\S+')))), 0) / greatest(len(seg), 1) AS mean_words, len(list_filter(body, lambda x: regexp_matches(x, {_ITEM_SQL}))) AS list_items, len(list_filter(body, lambda x: regexp_matches(x, {_ITEM_SQL}) AND regexp_matches(x, '^\\s*\\d'))) AS numbered,
+  len(list_filter(body, lambda x: regexp_matches(x, '^\\s*[-*]?\\s*\\*{{0,2}}[-\\p{{L}}\\p{{N}}_ ./()]{{2,40}}\\*{{0,2}}\\s*:\\s+\\S'))) AS pairs, len(list_filter(body, lambda x: regexp_matches(x, '\\?\\s*$'))) AS questions, len(regexp_extract_all(prose, '\\S+')) AS words,
+  CAST(0 AS DOUBLE) AS fenced, len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*\\|.*\\|\\s*$'))) / greatest(len(ls), 1) AS table_share FROM g),
+z AS (SELECT *, segments >= 5 AND table_share < 0.5 AND verb_ratio < 0.25 AND mean_words <= 7 AS is_terms FROM s)"""
+
+
+@query("E3_shapes", f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, '' AS h, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents), {_SHAPES}
+SELECT doc_id, segments, sentences, verb_ratio, mean_words, list_items, numbered, pairs, questions, words, fenced, table_share AS "table", is_terms FROM z""")
 def e3(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.inline(F.array(U.shape("text"))))
 
@@ -421,7 +440,20 @@ def e6(spark, d):
     return _t(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.collect_list("p_name"), "; ").alias("text")).select("p_brand", F.array_sort(U.terms("text")).alias("terms"))
 
 
-@query("E7_roles")
+_TERMS_SQL = f"list_filter(list_transform(flatten(list_transform(list_filter(list_transform(body, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: {_PIECES_SQL.format(x=f'CASE WHEN regexp_matches(x, {_ITEM_SQL}) THEN regexp_extract(x, {_ITEM_SQL}, 1) ELSE x END')})), lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), chr(96) || '*_.,;• ')), lambda x: length(x) BETWEEN 1 AND 120)"
+
+
+@query("E7_roles", f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_NAME_SQL} AS h, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents), {_SHAPES},
+i AS (SELECT *, {_intent_case(0).replace('name', 'h')} AS intent, {_intent_case(1).replace('name', 'h')} AS kind, {_TERMS_SQL} AS xs FROM z),
+x AS (SELECT *, list_filter(xs, lambda x, k: list_position(list_transform(xs, lambda y: {_FOLD.format(x='y')}), {_FOLD.format(x='x')}) = k) AS terms, questions >= greatest(3, 0.6 * segments) AS asks, intent = 'retrieval_terms' AND NOT (verb_ratio >= 0.5 AND sentences >= 2) AS named FROM i),
+c AS (SELECT *, CASE WHEN words = 0 AND segments = 0 AND table_share = 0 AND len(body) = 0 THEN 'empty' WHEN table_share >= 0.5 THEN 'table' WHEN is_terms AND len(terms) >= 5 THEN 'terms' WHEN asks THEN 'asks'
+  WHEN intent = 'retrieval_terms' AND NOT named THEN 'prose' WHEN named AND len(terms) >= 5 THEN 'named' WHEN intent = 'document_meta' THEN CASE WHEN words <= 60 OR pairs >= greatest(2, 0.6 * segments) THEN 'meta' ELSE 'no meta' END
+  WHEN intent = 'navigation' THEN 'navigation' WHEN intent <> 'retrieval_terms' THEN 'intent' WHEN numbered >= 3 AND verb_ratio >= 0.4 AND (intent IS NULL OR intent = 'retrieval_terms') THEN CASE WHEN intent IS NULL THEN 'steps' ELSE 'other' END ELSE 'plain' END AS why FROM x)
+SELECT doc_id, CASE why WHEN 'table' THEN 'reference' WHEN 'terms' THEN 'retrieval_terms' WHEN 'asks' THEN 'retrieval_terms' WHEN 'named' THEN 'retrieval_terms' WHEN 'meta' THEN intent WHEN 'navigation' THEN intent WHEN 'intent' THEN intent WHEN 'other' THEN intent WHEN 'steps' THEN 'procedure' WHEN 'plain' THEN coalesce(intent, 'knowledge') ELSE 'knowledge' END AS role,
+  CASE why WHEN 'terms' THEN coalesce(kind, CASE WHEN questions >= 3 THEN 'questions' ELSE 'keywords' END) WHEN 'asks' THEN 'questions' WHEN 'named' THEN kind END AS field,
+  CAST(CASE why WHEN 'empty' THEN 0.0 WHEN 'table' THEN 0.85 WHEN 'terms' THEN CASE WHEN intent = 'retrieval_terms' THEN 0.9 ELSE 0.7 END WHEN 'asks' THEN 0.85 WHEN 'named' THEN 0.8 WHEN 'prose' THEN 0.7 WHEN 'meta' THEN 0.8 WHEN 'no meta' THEN 0.6 WHEN 'navigation' THEN 0.8 WHEN 'intent' THEN 0.7 WHEN 'other' THEN 0.7 WHEN 'steps' THEN 0.6 ELSE CASE WHEN intent IS NULL THEN 0.5 ELSE 0.7 END END AS DOUBLE) AS confidence,
+  CASE WHEN why IN ('terms', 'asks', 'named') THEN terms ELSE [] END AS terms FROM c""")
 def e7(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.inline(F.array(U.role("text", _heading()))))
 
@@ -458,6 +490,76 @@ for _s in ("semantic", "structural", "recursive", "sentence", "code", "auto"):
     query(f"F1_chunks_{_s}")(_chunk_query(_s))
 
 
+def _made(spark, d, content: F.Column) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("").alias("title"), F.lit("").alias("source"), content.alias("content"))
+
+
+def _joined(n: F.Column, part, glue: str) -> F.Column:
+    return F.array_join(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: part(i.cast("string"))), glue)
+
+
+def _chunked(spark, d, content: F.Column, **cfg) -> DataFrame:
+    c = Config(chunking=Chunking(**({"overlap": 0} | cfg)))
+    return stages.chunks_of(stages.process(_made(spark, d, content), c), c).withColumn("doc_id", F.col("document_id").cast("bigint"))
+
+
+# sentences of 8 tokens: 62 fill a target of 500; a rest below 100 joins the chunk before
+_PACKED = "WITH n AS (SELECT doc_id, 1 + doc_id % 300 AS n FROM documents), g AS (SELECT doc_id, n, n // 62 AS k, n % 62 AS r FROM n), c AS (SELECT doc_id, n, CASE WHEN k = 0 THEN 1 WHEN r = 0 OR r * 8 < 100 THEN k ELSE k + 1 END AS chunks FROM g)"
+
+
+@query("F21_sentence_packing", f"""{_PACKED}, i AS (SELECT *, unnest(generate_series(0, chunks - 1)) AS i FROM c)
+SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(chunks AS INT) AS total_chunks, CAST(8 * ((CASE WHEN i = chunks - 1 THEN n ELSE (i + 1) * 62 END) - i * 62) AS INT) AS size, 'It is number ' || (i * 62) || ' of them all.' AS first_sentence FROM i""")
+def f21(spark, d):
+    text = _joined(1 + F.col("doc_id") % 300, lambda i: F.concat(F.lit("It is number "), i, F.lit(" of them all.")), " ")
+    return _chunked(spark, d, text, strategy="sentence").select("doc_id", "chunk_index", "total_chunks", "size", F.concat(F.substring_index("content", ".", 1), F.lit(".")).alias("first_sentence"))
+
+
+# sections of 2 + 1 + 60 tokens ('## part 7' and its text)
+_SECTIONS = "WITH n AS (SELECT doc_id, 1 + doc_id % 40 AS n FROM documents)"
+
+
+def _sections() -> F.Column:
+    return _joined(1 + F.col("doc_id") % 40, lambda i: F.concat(F.lit("## part "), i, F.lit("\n\n"), F.lit(" ".join(["It does as it was told, and then some."] * 6))), "\n\n")
+
+
+@query("F8_semantic_merging", f"""{_SECTIONS}, i AS (SELECT doc_id, n, unnest(generate_series(0, (n - 1) // 7)) AS i FROM n)
+SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(least(n - 7 * i, 7) AS INT) AS sections, 'part ' || (7 * i) AS section FROM i""")
+def f8(spark, d):
+    c = _chunked(spark, d, _sections(), strategy="semantic")
+    return c.select("doc_id", "chunk_index", F.coalesce(F.size("extra.merged_sections"), F.lit(1)).alias("sections"), F.regexp_extract("content", r"^## (part \d+)", 1).alias("section")).withColumn("sections", F.when(F.col("sections") < 1, 1).otherwise(F.col("sections")))
+
+
+@query("F14_structural_merging", f"""{_SECTIONS}, i AS (SELECT doc_id, n, unnest(generate_series(0, (n - 1) // 2)) AS i FROM n)
+SELECT doc_id, CAST(i AS INT) AS chunk_index, 'part ' || (2 * i) AS section, CAST(least(n - 2 * i, 2) AS INT) AS sections FROM i""")
+def f14(spark, d):
+    c = _chunked(spark, d, _sections(), strategy="structural")
+    return c.select("doc_id", "chunk_index", F.regexp_extract("content", r"^## (part \d+)", 1).alias("section"), F.size(F.regexp_extract_all("content", F.lit(r"(?m)^## part"), F.lit(0))).alias("sections"))
+
+
+@query("F22_recursive_split", """
+WITH n AS (SELECT doc_id, 1 + doc_id % 60 AS n FROM documents), c AS (SELECT *, CASE WHEN n % 7 = 1 AND n > 7 THEN n // 7 ELSE (n + 6) // 7 END AS chunks FROM n), i AS (SELECT *, unnest(generate_series(0, chunks - 1)) AS i FROM c)
+SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(66 * CASE WHEN i = chunks - 1 THEN n - 7 * i ELSE 7 END AS INT) AS size FROM i""")
+def f22(spark, d):
+    return _chunked(spark, d, _joined(1 + F.col("doc_id") % 60, lambda i: F.lit(" ".join(["It does as it was told, and then some."] * 6)), "\n\n"), strategy="recursive").select("doc_id", "chunk_index", "size")
+
+
+@query("F24_code_chunks", """
+WITH n AS (SELECT doc_id, 1 + doc_id % 9 AS n FROM documents), i AS (SELECT doc_id, n, unnest(generate_series(0, 2 * n - 1)) AS i FROM n)
+SELECT doc_id, CAST(i AS INT) AS chunk_index, CASE WHEN i % 2 = 0 THEN 'text' ELSE 'code' END AS content_type, CASE WHEN i % 2 = 1 THEN 'python' END AS language,
+  '## part ' || (i // 2) || chr(10) || chr(10) || CASE WHEN i % 2 = 0 THEN 'It shows how.' ELSE '```python' || chr(10) || 'def f' || (i // 2) || '():' || chr(10) || '    return 1' || chr(10) || '```' END AS content FROM i""")
+def f24(spark, d):
+    part = lambda i: F.concat(F.lit("## part "), i, F.lit("\n\nIt shows how.\n\n```python\ndef f"), i, F.lit("():\n    return 1\n```"))
+    return _chunked(spark, d, _joined(1 + F.col("doc_id") % 9, part, "\n\n"), strategy="code").select("doc_id", "chunk_index", "content_type", "language", "content")
+
+
+@query("F28_overlap", f"""
+WITH n AS (SELECT doc_id, 63 + doc_id % 240 AS n FROM documents), c AS (SELECT doc_id, n, CASE WHEN n % 62 = 0 OR (n % 62) * 8 < 100 THEN n // 62 ELSE n // 62 + 1 END AS chunks FROM n), i AS (SELECT *, unnest(generate_series(0, chunks - 1)) AS i FROM c)
+SELECT doc_id, CAST(i AS INT) AS chunk_index, 'It is number ' || (i * 62 - CASE WHEN i = 0 THEN 0 ELSE 5 END) || ' of them all.' AS first_sentence FROM i""")
+def f28(spark, d):
+    text = _joined(63 + F.col("doc_id") % 240, lambda i: F.concat(F.lit("It is number "), i, F.lit(" of them all.")), " ")
+    return _chunked(spark, d, text, strategy="sentence", overlap=40).select("doc_id", "chunk_index", F.concat(F.substring_index("content", ".", 1), F.lit(".")).alias("first_sentence"))
+
+
 @query("F2_strategy_choice", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'semantic' ELSE 'sentence' END AS strategy FROM conversations")
 def f2(spark, d):
     k = F.col("turn") % 3

@@ -7,8 +7,6 @@ import pytest
 
 from chunkloom import queries as Q
 
-SLOW = {"H9_greedy_originals"}  # its SQL is a recursive program that takes long
-
 
 def canonical(v):
     if isinstance(v, float):
@@ -25,7 +23,7 @@ def con(sf):
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in Q.QUERIES if n in Q.SQL and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in Q.QUERIES if n in Q.SQL])
 def test_same_rows_as_sql(spark, sf, con, name):
     df = Q.QUERIES[name](spark, sf)
     got = sorted(repr(tuple(canonical(r[c]) for c in sorted(df.columns))) for r in df.collect())
