@@ -1,4 +1,4 @@
-"""Command line: process, inspect, stats, validate, convert, init, formats."""
+"""Command line: process, inspect, stats, validate, convert, init, formats, serve."""
 
 from __future__ import annotations
 
@@ -54,6 +54,10 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--strict", action="store_true")
     sub.add_parser("init").add_argument("path", nargs="?", default="chunkloom.json")
     sub.add_parser("formats")
+    s = sub.add_parser("serve")
+    s.add_argument("--jobs", default="output/jobs", help="a folder that all executors share")
+    s.add_argument("--host", default="127.0.0.1")
+    s.add_argument("--port", type=int, default=8000)
     a = p.parse_args(argv)
     try:
         if a.command == "formats":
@@ -67,7 +71,13 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         from pyspark.sql import SparkSession
 
-        return _run(SparkSession.builder.appName("chunkloom").getOrCreate(), a)
+        spark = SparkSession.builder.appName("chunkloom").getOrCreate()
+        if a.command == "serve":
+            from chunkloom.service import server
+
+            print(f"http://{a.host}:{a.port}/")
+            server(spark, a.jobs, a.host, a.port).serve_forever()
+        return _run(spark, a)
     except LoomError as e:
         print(e, file=sys.stderr)
         return 2

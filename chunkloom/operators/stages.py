@@ -19,6 +19,7 @@ from chunkloom.functions import udfs as U
 from chunkloom.operators import corpus
 from chunkloom.operators.blocks import analyze
 from chunkloom.operators.chunkers import chunk_blocks
+from chunkloom.progress import Progress, Silent
 from chunkloom.operators.roles import AUXILIARY_ROLES, NEEDS_PARENT, shape_of
 
 FIELDS = ("keywords", "tags", "aliases", "entities", "related_concepts", "questions")
@@ -272,16 +273,20 @@ def reports(processed: DataFrame) -> DataFrame:
     return processed.select("document_id", "title", "source", "characters", F.col("n_blocks").alias("blocks"), F.size("chunks").alias("chunks"), "strategy", "error")
 
 
-def run(documents: DataFrame, cfg: Config | None = None, audited: bool | None = None) -> tuple[DataFrame, DataFrame]:
+def run(documents: DataFrame, cfg: Config | None = None, audited: bool | None = None, progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:
     """The finished chunk table and the per-document kernel output it was made of (written once).
 
     Blocks are kept for ``audit`` unless quality.validate_information_loss (or ``audited``) says otherwise.
     """
-    cfg = cfg or Config()
+    cfg, progress = cfg or Config(), progress or Silent()
+    progress.start(2, "chunking")
     processed = corpus.cut(process(documents, cfg, cfg.quality.validate_information_loss if audited is None else audited))
+    progress.advance("context, duplicates and scores")
     chunks = finalize(enrich(chunks_of(processed, cfg), cfg), cfg)
+    progress.advance("embeddings" if cfg.embeddings.enabled else "ready")
     if cfg.embeddings.enabled:
         from chunkloom.operators.embeddings import embed_chunks
 
         chunks = embed_chunks(chunks, cfg.embeddings)
+    progress.finish()
     return chunks, processed
