@@ -294,9 +294,15 @@ def b10(spark, d):
     return _t(spark, d, "documents").select("doc_id", U.clean(_noise(), _only("collapse_blank_lines")).alias("text"))
 
 
-@query("B1_clean")
+_TIDY = "trim(array_to_string(list_transform(string_split({x}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\x{{a0}}\\x{{2000}}-\\x{{200a}}]+', ' ', 'g'))), chr(10)), ' ' || chr(10))"
+_QUOTES_SQL = "replace(translate({x}, '‘’‚‛′“”„‟″«»–—−', '''''''''''\"\"\"\"\"\"\"---'), '…', '...')"
+_ALL_STEPS = _CLEAN.format(x="regexp_replace(" + _TIDY.format(x="regexp_replace(" + _NO_NAVIGATION.replace(_CLEAN.format(x=_NOISE), _QUOTES_SQL.format(x="nfc_normalize(" + _CLEAN.format(x=_NOISE) + ")")) + ", 'https?://\\S+|www\\.\\S+', '', 'g')") + ", '\\n{3,}', chr(10) || chr(10), 'g')")
+
+
+@query("B1_clean", f"SELECT doc_id, {_ALL_STEPS} AS text FROM documents")
 def b1(spark, d):
-    return _t(spark, d, "documents").select("doc_id", U.clean(_noise()).alias("text"))
+    steps = ("normalize_unicode", "normalize_quotes", "remove_navigation", "remove_urls", "normalize_whitespace", "collapse_blank_lines")
+    return _t(spark, d, "documents").select("doc_id", U.clean(_noise(), _only(*steps, unicode_form="NFC")).alias("text"))
 
 
 @query("B9_tidy_spaces", "SELECT doc_id, trim(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), chr(10)), ' ' || chr(10)) AS text FROM documents")
