@@ -5,7 +5,8 @@ A document's words count where they have a letter. Per language, smoothed freque
 probability. A document is a bag of words drawn from a mixture of languages; EM estimates the proportions.
 The language set is chosen by penalised likelihood: starting from all languages, each in turn, the one of the
 smallest share first, is taken out if that raises log-likelihood - PENALTY * |set| * log(words). EM runs until
-a bound on what is left to gain falls below GAIN, or for ROUNDS * REPEATS rounds.
+a bound on what is left to gain falls below GAIN, or for ROUNDS rounds; a smaller set begins from the
+proportions of the larger one.
 
 One scan: EM runs for all the documents of an Arrow slice at once, over a words x languages matrix.
 """
@@ -26,7 +27,7 @@ SAMPLE = 1500  #: labelled documents a language at most, about
 BITS, SIZES = 16, (3,)
 TEMPER = 0.5  #: overlapping trigrams aren't independent
 SMOOTHING, UNKNOWN = 0.02, 2e-6  #: added to each trigram's count; probability of a trigram in ``und``
-ROUNDS, REPEATS, GAIN, PENALTY = 8, 8, 0.5, 1.0
+ROUNDS, GAIN, PENALTY = 64, 0.5, 1.0
 REJECT = 0.5  #: share of ``und`` above which a document is in no known language
 UND = "und"
 
@@ -87,7 +88,7 @@ def word_likelihoods(words: Words, model: Languages) -> tuple[np.ndarray, np.nda
     return np.exp(logs - top[:, None]).astype(np.float32)[g.inverse], top[g.inverse]
 
 
-def em(p: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS, pi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def em(p: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int = 8, pi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Proportions (documents, languages) within the allowed sets, from ``pi`` on if given; each document's log-likelihood under them; what more rounds can add to it at most."""
     n = np.diff(first)
     pi = allowed / np.maximum(allowed.sum(1, keepdims=True), 1) if pi is None else pi
@@ -105,15 +106,15 @@ def em(p: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int = ROUN
     return pi, segments(np.log(s).astype(np.float64), first, np.add), n * np.log(np.maximum(step, 1))
 
 
-def settled(p: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``em`` until no document has more than GAIN left, REPEATS times at most."""
-    pi, ll, left = em(p, first, allowed)
-    for _ in range(REPEATS - 1):
-        more = np.flatnonzero(left > GAIN)
-        if not len(more):
-            break
+def settled(p: np.ndarray, first: np.ndarray, allowed: np.ndarray, pi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``em`` until no document has more than GAIN left, ROUNDS rounds at most; from ``pi`` on, where given, it takes few."""
+    step = done = 4 if pi is None else 1
+    pi, ll, left = em(p, first, allowed, step, pi)
+    while done < ROUNDS and len(more := np.flatnonzero(left > GAIN)):
         rows, start = _rows(first, more)
-        pi[more], ll[more], left[more] = em(p[rows], start, allowed[more], pi=pi[more])
+        step = min(2 * step, 8)
+        pi[more], ll[more], left[more] = em(p[rows], start, allowed[more], step, pi[more])
+        done += step
     return pi, ll
 
 
@@ -146,7 +147,7 @@ def mixtures(texts: list[str], model: Languages) -> tuple[np.ndarray, np.ndarray
         less[np.arange(len(active)), least] = 0
         open_[active, least] = False
         rows, start = _rows(first, active)
-        new_pi, new_ll = settled(p[rows], start, less)
+        new_pi, new_ll = settled(p[rows], start, less, (near := (pi[active] + 1e-9) * less) / near.sum(1, keepdims=True))
         better = new_ll + PENALTY * np.log(n[active] + 1) >= ll[active]
         went = active[better]
         allowed[went], pi[went], ll[went] = less[better], new_pi[better], new_ll[better]
@@ -164,7 +165,8 @@ def identified(docs: DataFrame, model: Languages) -> DataFrame:
     Languages stand by falling share, by name in a tie; shares are rounded to 4 places. ``score`` is the mean
     tempered log-likelihood a word. Texts without words of letters (null, empty, signs and numbers only) have no language, main_lang
     ``und``, and aren't accepted. Without any labelled row there is no model and everything is accepted as
-    ``und``. Repeated rows come out alike, a null doc_id is kept, other columns are ignored.
+    ``und``. Texts of any length are taken whole. Repeated rows come out alike, a null doc_id is kept, an empty
+    table gives no rows, other columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -186,7 +188,11 @@ def identified(docs: DataFrame, model: Languages) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Languages) -> DataFrame:
-    """The rows of ``docs`` that ``identified`` accepts, all columns as they are."""
+    """The rows of ``docs`` that ``identified`` accepts, all columns as they are.
+
+    Null, empty and wordless texts go; texts of any length are taken whole; repeated rows fare alike, null
+    doc_ids don't matter, columns of any name pass through, an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

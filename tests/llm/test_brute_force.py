@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm import decontaminate, html_content, near_dup, pack_bfd, pack_dp, pii, queries, toxicity, vector_graph
 from chunkloom.llm._text import Words
-from chunkloom.llm.components import connected_components, named
+from chunkloom.llm.components import connected_components
+from chunkloom.plans.skew import named
 
 DOCS = "doc_id bigint, text string"
 
@@ -165,7 +166,7 @@ def test_near_duplicates_in_blocks_and_hot_buckets_are_the_same(spark, monkeypat
     whole = sorted(map(tuple, near_dup.near_duplicate_groups(docs).collect()))
     monkeypatch.setattr(near_dup, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(near_dup, "HOT", 3)
-    monkeypatch.setattr("chunkloom.llm.components.COPIES", 10)
+    monkeypatch.setattr("chunkloom.plans.skew.COPIES", 10)
     assert sorted(map(tuple, near_dup.near_duplicate_groups(docs).collect())) == whole
     assert sum(kept for _, _, kept in whole) < 40
 
