@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from chunkloom.llm._text import CHUNK_CHARS
@@ -46,6 +47,15 @@ def replacing(df: DataFrame, column: str, kernel: Callable[[list[str | None]], l
     return df.mapInArrow(run, StructType(df.schema.fields))
 
 
+def by_shard(df: DataFrame, shard: str, shards: int) -> GroupedData:
+    """The groups of ``shard``, numbers below ``shards``: each a partition of its own, several in turn beyond TASKS shards.
+
+    A hash of the shard would put two or three into one partition by chance, and none into others.
+    """
+    (task,), tasks = free(df, "task"), max(1, min(shards, TASKS))
+    return df.withColumn(task, F.pmod(shard, F.lit(tasks)).cast("int")).repartitionById(tasks, task).groupBy(task, shard)
+
+
 def spread(df: DataFrame, shard: str, shards: int) -> DataFrame:
     """``df`` shuffled by ``shard`` into as many partitions as there are shards, so that a task's share doesn't grow with the table."""
     return df.repartition(max(1, min(shards, TASKS)), shard)

@@ -13,18 +13,22 @@ start again at 0 with each segment. ``write_matrices`` writes them as binary fil
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm import _bpe
-from chunkloom.llm._frames import slices, spread
+from chunkloom.llm._frames import by_shard, slices
 from chunkloom.plans.lineage import cut, small_side
 
 WINDOW = 2048
 PAD = _bpe.EOS
 SHARD_CHARS = 12 << 20
+ROWS = 256  #: rows of a matrix that are handed on at once
 SCHEMA = "shard bigint, row bigint, n_tokens int, doc_ids array<bigint>, pieces array<int>, cu_seqlens array<int>, ids array<int>, positions array<int>"
 
 
@@ -78,42 +82,42 @@ def best_fit_decreasing(sizes: np.ndarray, window: int) -> np.ndarray:
     return row
 
 
-def _matrix(shard: int, doc_ids: pa.Array, ids: list[np.ndarray], window: int) -> pa.Table:
-    pieces, of, number = [], [], []
-    for d, x in enumerate(ids):
-        for k, at in enumerate(range(0, len(x), window)):
-            pieces.append(x[at : at + window])
-            of.append(d)
-            number.append(k)
-    size = np.array([len(p) for p in pieces], np.int64)
+def _matrix(shard: int, doc_ids: pa.Array, start: np.ndarray, size: np.ndarray, flat: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a shard's matrix, ROWS at a time; document d's ids are ``flat[start[d] : start[d] + size[d]]``."""
+    count = -(-size // window)
+    of = np.repeat(np.arange(len(size)), count)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start, size = start[of] + number * window, np.minimum(window, size[of] - number * window)
     row = best_fit_decreasing(size, window)
     order = np.argsort(row, kind="stable")  # within a row in the order of documents
-    n = int(row.max()) + 1
-    segments = np.bincount(row, minlength=n)
-    first = np.concatenate([[0], np.cumsum(segments)])
-    size, used = size[order], np.bincount(row, size, n).astype(np.int64)
-    begin = np.cumsum(size) - size  # in the concatenation of all rows
-    inside = begin - np.repeat(np.concatenate([[0], np.cumsum(used)[:-1]]), segments)
-    flat = np.concatenate([pieces[i] for i in order])
-    at = np.repeat(row[order] * window + inside, size) + np.arange(len(flat)) - np.repeat(begin, size)
-    out, pos = np.full(n * window, PAD, np.int32), np.zeros(n * window, np.int32)
-    out[at] = flat
-    pos[at] = np.arange(len(flat)) - np.repeat(begin, size)
-    bounds = np.zeros(len(size) + n, np.int32)
-    lead = first[:-1] + np.arange(n)
-    is_end = np.ones(len(bounds), bool)
-    is_end[lead] = False
-    bounds[is_end] = inside + size
-    whole = np.arange(n + 1, dtype=np.int32) * window
-    lists = lambda offsets, values, kind: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
-    return pa.Table.from_arrays(
-        [
-            pa.array(np.full(n, shard)), pa.array(np.arange(n)), pa.array(used.astype(np.int32)),
-            pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), doc_ids.take(pa.array(np.array(of, np.int64)[order]))), lists(first, np.array(number, np.int32)[order], pa.int32()),
-            lists(np.append(lead, len(bounds)), bounds, pa.int32()), lists(whole, out, pa.int32()), lists(whole, pos, pa.int32()),
-        ],
-        ["shard", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "ids", "positions"],
-    )
+    start, size, of, number = start[order], size[order], of[order], number[order].astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(np.bincount(row))])
+    for a in range(0, len(first) - 1, ROWS):
+        heads = first[a : a + ROWS + 1]
+        n, part = len(heads) - 1, slice(heads[0], heads[-1])
+        segments, heads = np.diff(heads), heads - heads[0]
+        length, ends = size[part], np.concatenate([[0], np.cumsum(size[part])])
+        used = np.diff(ends[heads])
+        inside = ends[:-1] - np.repeat(ends[heads[:-1]], segments)
+        step = np.arange(ends[-1]) - np.repeat(ends[:-1], length)
+        at = np.repeat(np.repeat(np.arange(n) * window, segments) + inside, length) + step
+        out, pos = np.full(n * window, PAD, np.int32), np.zeros(n * window, np.int32)
+        out[at], pos[at] = flat[np.repeat(start[part], length) + step], step
+        lead = heads[:-1] + np.arange(n)
+        bounds = np.zeros(len(length) + n, np.int32)
+        is_end = np.ones(len(bounds), bool)
+        is_end[lead] = False
+        bounds[is_end] = inside + length
+        whole = np.arange(n + 1) * window
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(n, shard)), pa.array(np.arange(a, a + n)), pa.array(used.astype(np.int32)),
+                lists(heads, doc_ids.take(pa.array(of[part]))), lists(heads, pa.array(number[part])),
+                lists(np.append(lead, len(bounds)), pa.array(bounds)), lists(whole, pa.array(out)), lists(whole, pa.array(pos)),
+            ],
+            ["shard", "row", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "ids", "positions"],
+        )
 
 
 def packed_ids(docs: DataFrame, window: int = WINDOW, tokenizer: str = _bpe.DEFAULT, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -144,13 +148,21 @@ def packed_ids(docs: DataFrame, window: int = WINDOW, tokenizer: str = _bpe.DEFA
             ids = [np.append(_bpe.encode(t, tokenizer), _bpe.EOS).astype(np.int32).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("shard", "doc_id", "h")), pa.array(ids, pa.binary())], ["shard", "doc_id", "h", "ids"])
 
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("h", "ascending")])
-        ids = [np.frombuffer(b, np.int32) for b in table.column("ids").to_pylist()]
-        return _matrix(table.column("shard")[0].as_py(), table.column("doc_id").combine_chunks(), ids, window)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, flat = [], [], []
+        for batch in batches:
+            keys.append(batch.select(["shard", "doc_id", "h"]))
+            ids = batch.column("ids").to_pylist()
+            sizes += map(len, ids)
+            flat.append(np.frombuffer(b"".join(ids), np.int32))
+        key, size = pa.Table.from_batches(keys), np.array(sizes, np.int64) // 4
+        order = pc.sort_indices(key, [("doc_id", "ascending"), ("h", "ascending")]).to_numpy()
+        start = np.cumsum(size) - size
+        doc_ids = key.column("doc_id").combine_chunks().take(pa.array(order))
+        yield from _matrix(key.column("shard")[0].as_py(), doc_ids, start[order], size[order], np.concatenate(flat), window)
 
     encoded = d.mapInArrow(encode, "shard bigint, doc_id bigint, h bigint, ids binary")
-    return spread(encoded, "shard", shards).groupBy("shard").applyInArrow(pack, SCHEMA)
+    return by_shard(encoded, "shard", shards).applyInArrow(pack, SCHEMA)
 
 
 def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
