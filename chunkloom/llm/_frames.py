@@ -54,8 +54,3 @@ def by_shard(df: DataFrame, shard: str, shards: int) -> GroupedData:
     """
     (task,), tasks = free(df, "task"), max(1, min(shards, TASKS))
     return df.withColumn(task, F.pmod(shard, F.lit(tasks)).cast("int")).repartitionById(tasks, task).groupBy(task, shard)
-
-
-def spread(df: DataFrame, shard: str, shards: int) -> DataFrame:
-    """``df`` shuffled by ``shard`` into as many partitions as there are shards, so that a task's share doesn't grow with the table."""
-    return df.repartition(max(1, min(shards, TASKS)), shard)

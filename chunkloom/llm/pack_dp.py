@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm import _bpe
-from chunkloom.llm._frames import slices, spread
+from chunkloom.llm._frames import by_shard, slices
 from chunkloom.plans.lineage import cut
 
 WINDOW = 2048
@@ -217,7 +217,7 @@ def packed(docs: DataFrame, window: int = WINDOW, sentence_cut: int = SENTENCE_C
             ["shard", "window", "n_tokens", "padding", "ends_inside", "doc_ids", "start_chars", "end_chars"],
         )
 
-    return spread(counted.where("length(n) > 0"), "shard", len(firsts)).groupBy("shard").applyInArrow(pack, _WINDOWS)
+    return by_shard(counted.where("length(n) > 0"), "shard", len(firsts)).applyInArrow(pack, _WINDOWS)
 
 
 def op4_pack_dp(spark, sf_dir: str) -> DataFrame:
