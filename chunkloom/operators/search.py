@@ -36,12 +36,16 @@ def page(chunks: DataFrame, order: list[Column | str], offset: int = 0, limit: i
     return chunks.orderBy(*order).offset(max(0, offset)).limit(max(0, min(limit, most)))
 
 
-def find(chunks: DataFrame, selector: str, chunk_id: str = "id", index: str = "chunk_index", order: list[str] | None = None) -> DataFrame:
-    """At most one row: equal id, else equal index, else position, else part of an id; the first in order."""
+def find(chunks: DataFrame, selector: str, chunk_id: str = "id", index: str = "chunk_index", order: list[str] | None = None, pattern: bool = False) -> DataFrame:
+    """At most one row: equal id, else equal index, else position, else part of an id; the first in order.
+
+    With ``pattern`` the part is one of LIKE: _ stands for any sign, % for any number of them.
+    """
     order = order or [index, chunk_id]
     i = F.col(chunk_id).cast("string")
     n = F.lit(selector).try_cast("bigint")
-    ranked = chunks.where(F.coalesce((i == selector) | (F.col(index) == n) | F.contains(i, F.lit(selector)), F.lit(False)))
+    part = i.like(f"%{selector}%") if pattern else F.contains(i, F.lit(selector))
+    ranked = chunks.where(F.coalesce((i == selector) | (F.col(index) == n) | part, F.lit(False)))
     rank = F.when(i == selector, 0).when(F.col(index) == n, 1).otherwise(3)
     hit = ranked.withColumn("_rank", rank)
     if selector.isdigit():
