@@ -100,8 +100,8 @@ def _best(query: np.ndarray, cosine: np.ndarray, key: np.ndarray, top: int) -> n
 def cosine_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, top: int = 5, block: int = 4096) -> DataFrame:
     """``(query, key, cosine, rank)`` by full scan; the query itself isn't its own neighbour.
 
-    Queries are broadcast in blocks of ``block`` and multiplied with Arrow batches; each task keeps the best of
-    what it saw, so no pair leaves it but ``top`` for each query. Null vectors and those of another length than
+    Queries are broadcast in blocks of ``block`` and multiplied with Arrow batches in tiles of 256 by 1024, so a
+    task's memory doesn't grow with their number; it keeps the best of what it saw, so no pair leaves it but ``top`` for each query. Null vectors and those of another length than
     the query have no cosine; a zero vector has 0.
     """
     spark = vectors.sparkSession
@@ -129,23 +129,29 @@ def _scan(shared, top: int):
 
     def run(batches):
         ids, column = shared.value
-        of = by_length(column)
-        query, near, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        tiles = {d: [(at[i : i + 256], x[i : i + 256]) for i in range(0, len(at), 256)] for d, (at, x) in by_length(column).items()}
         worst = np.full(len(ids), -np.inf)  # the last cosine of each query's full list
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        best = {(d, t): none for d, mine in tiles.items() for t in range(len(mine))}
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for d, (at, x) in by_length(batch.column(1)).items():
-                if d not in of:
-                    continue
-                mine, units = of[d]
-                s = np.round(units @ x.T, 6)
-                r, c = np.nonzero((s >= worst[mine][:, None]) & (ids[mine][:, None] != keys[at]))
-                query, near, cosine = np.concatenate([query, mine[r]]), np.concatenate([near, keys[at[c]]]), np.concatenate([cosine, s[r, c]])
-                best = _best(query, cosine, near, top)
-                query, near, cosine = query[best], near[best], cosine[best]
-                n = np.bincount(query, minlength=len(ids))
-                full = np.flatnonzero(n >= top)
-                worst[full] = cosine[np.cumsum(n)[full] - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(near), pa.array(cosine)], ["query", "key", "cosine"])
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                keys = part.column(0).to_numpy()
+                for d, (at, x) in by_length(part.column(1)).items():
+                    for t, (mine, units) in enumerate(tiles.get(d, ())):
+                        s = np.round(units @ x.T, 6)
+                        s[ids[mine][:, None] == keys[at]] = -np.inf
+                        # no more than the best of this tile can come in, equal ones aside
+                        least = np.partition(s, len(at) - top, axis=1)[:, -top] if len(at) > top else np.full(len(mine), -1.5)
+                        r, c = np.nonzero(s >= np.maximum(np.maximum(worst[mine], least), -1.5)[:, None])
+                        if len(r):
+                            query, near, cosine = (np.concatenate(p) for p in zip(best[d, t], (mine[r], keys[at[c]], s[r, c])))
+                            keep = _best(query, cosine, near, top)
+                            query, near, cosine = best[d, t] = query[keep], near[keep], cosine[keep]
+                            n = np.bincount(query, minlength=len(ids))
+                            full = np.flatnonzero(n >= top)
+                            worst[full] = cosine[np.cumsum(n)[full] - 1]
+        for query, near, cosine in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(near), pa.array(cosine)], ["query", "key", "cosine"])
 
     return run
