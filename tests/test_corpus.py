@@ -83,6 +83,22 @@ def test_near_pairs_and_greedy_originals_against_brute_force(spark, texts, monke
     assert originals == _greedy(texts, 0.6)
 
 
+def test_frequent_shingles_stand_last_and_lose_no_pair(spark, monkeypatch):
+    common = "it is said in every text of this table that nothing in it may be left out at all by anyone"
+    rows = [(i, f"{common} {' '.join(f'w{i // 2}x{k}' for k in range(60 + i % 2))}") for i in range(60)] + [(100, common), (101, f"{common} or so"), (102, None), (103, "one two")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    want = _pairs(rows, 0.8)
+    sets, _ = corpus.shingle_classes(df, "id", "text")
+    last = corpus._frequent(sets, 0.8)
+    assert len(last) and len(want) == 31
+    # none stands in a prefix that has room without it
+    assert not corpus._prefixes(sets, 0.8, last).where("n > 40").where(F.col("shingle").isin(last.tolist())).count()
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(corpus, "HOT_MOST", most)
+        got = {(r.a, r.b): r.similarity for r in corpus.near_pairs(df, "id", "text", 0.8).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_greedy_query_against_brute_force(spark, sf):
     from chunkloom.queries import QUERIES
 
