@@ -145,3 +145,15 @@ def test_config():
     for bad in ({"chunking": {"nope": 1}}, {"x": {}}, {"chunking": {"min_size": 900}}):
         with pytest.raises(ConfigError):
             Config.of(bad)
+
+
+def test_words_are_counted_once_and_the_cache_is_bounded(monkeypatch):
+    from chunkloom.functions import textkit as T
+
+    plain = lambda t: sum((len(T.CJK.findall(w)) if not w.isascii() else 0) + T.subwords(len(w) - (len(T.CJK.findall(w)) if not w.isascii() else 0)) if len(w) > 6 else 1 for w in T.WORD.findall(t))
+    texts = ["", " ", "_", "x_", "abcdefgh_", "abcdefgh,", "abcdefgh\x1c.,", "a,b c;d", "中文字符很长的一段话", "straße, Straßenbahnhaltestelle", "x" * 100, "a　b\x85c", "²³ٳ Ⅷ"]
+    assert [T.count_tokens(t) for t in texts] == [plain(t) for t in texts]
+    seen = []
+    words = T.Words(lambda w: seen.append(w) or len(w), most=2)
+    assert [words[w] for w in ("a", "a", "bb", "ccc", "d" * 40, "d" * 40)] == [1, 1, 2, 3, 40, 40]
+    assert seen == ["a", "bb", "ccc", "d" * 40, "d" * 40] and len(words) <= 2
